@@ -56,24 +56,52 @@ def _stack(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in series])
 
 
+def _lex_topk(D: np.ndarray, V: np.ndarray, k: int) -> np.ndarray:
+    """Per row, the column indices of the k smallest (distance, value)."""
+    kk = min(k, D.shape[1])
+    if kk < D.shape[1]:
+        # keep everything tied with the k-th distance, then order exactly
+        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1:kk]
+        cand = D <= kth
+    else:
+        cand = np.ones_like(D, dtype=bool)
+    out = np.full((D.shape[0], kk), -1, dtype=np.int64)
+    for r in range(D.shape[0]):
+        idx = np.flatnonzero(cand[r] & np.isfinite(D[r]))
+        order = idx[np.lexsort((V[idx], D[r, idx]))][:kk]
+        out[r, :order.size] = order
+    return out
+
+
 # ---------------------------------------------------------------- E6 / E13
 
 CAND_SCHEMA = "_qid long, _rid long, _dist double, _y double"
 
 
+def _sq_dists(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances; exact differences for moderate width so
+    equal rows tie exactly, the dot-product expansion beyond that."""
+    if Q.shape[1] <= 256:
+        out = np.zeros((Q.shape[0], R.shape[0]))
+        for c in range(Q.shape[1]):
+            diff = Q[:, c][:, None] - R[:, c][None, :]
+            out += diff * diff
+        return out
+    return np.maximum((Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * Q @ R.T, 0.0)
+
+
 def _topk_pairs(k: int):
     def fn(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or rdf.empty:
-            return pd.DataFrame({"_qid": [], "_rid": [], "_dist": [], "_y": []})
+            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"),
+                                 "_dist": pd.Series([], dtype=float), "_y": pd.Series([], dtype=float)})
         Q, R = _stack(qdf["_vec"]), _stack(rdf["_vec"])
-        d2 = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * Q @ R.T
-        d2 = np.maximum(d2, 0.0)
-        kk = min(k, R.shape[0])
-        idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < R.shape[0] else \
-            np.tile(np.arange(R.shape[0]), (Q.shape[0], 1))
-        rows = np.repeat(np.arange(Q.shape[0]), idx.shape[1])
-        cols = idx.ravel()
-        return pd.DataFrame({"_qid": qdf["_qid"].to_numpy()[rows], "_rid": rdf["_rid"].to_numpy()[cols],
+        d2 = _sq_dists(Q, R)
+        rids = rdf["_rid"].to_numpy()
+        top = _lex_topk(d2, rids.astype(float), k)
+        rows, slot = np.nonzero(top >= 0)
+        cols = top[rows, slot]
+        return pd.DataFrame({"_qid": qdf["_qid"].to_numpy()[rows], "_rid": rids[cols],
                              "_dist": np.sqrt(d2[rows, cols]), "_y": rdf["_y"].to_numpy(dtype=float)[cols]})
     return fn
 
@@ -164,14 +192,17 @@ def _impute_pairs(k: int, d: int):
             return empty
         Q, R = _stack(qdf["_vec"]), _stack(rdf["_vec"])
         qm, rm = np.isnan(Q), np.isnan(R)
-        Q0, R0 = np.where(qm, 0.0, Q), np.where(rm, 0.0, R)
-        qp, rp = (~qm).astype(float), (~rm).astype(float)
-        # squared distance over coordinates present in both rows
-        sq = (Q0 * Q0) @ rp.T + qp @ (R0 * R0).T - 2.0 * Q0 @ R0.T
-        sq = np.maximum(sq, 0.0)
-        common = qp @ rp.T
+        # squared distance over the coordinates present in both rows, exact
+        # differences column by column (no expansion, so ties stay ties)
+        sq = np.zeros((Q.shape[0], R.shape[0]))
+        common = np.zeros_like(sq)
+        for c in range(d):
+            both = (~qm[:, c])[:, None] & (~rm[:, c])[None, :]
+            diff = np.where(both, Q[:, c][:, None] - R[:, c][None, :], 0.0)
+            sq += diff * diff
+            common += both
         with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.sqrt(np.where(common > 0, sq * d / common, np.nan))
+            dist = np.where(common > 0, np.sqrt(sq * d / np.where(common > 0, common, 1.0)), np.inf)
         out = []
         qids = qdf["_qid"].to_numpy()
         for j in range(d):
@@ -180,16 +211,14 @@ def _impute_pairs(k: int, d: int):
             if recv.size == 0 or donors.size == 0:
                 continue
             D = dist[np.ix_(recv, donors)]
-            D = np.where(np.isnan(D), np.inf, D)
-            kk = min(k, donors.size)
-            idx = np.argpartition(D, kk - 1, axis=1)[:, :kk] if kk < donors.size else \
-                np.tile(np.arange(donors.size), (recv.size, 1))
-            rr = np.repeat(np.arange(recv.size), idx.shape[1])
-            cc = idx.ravel()
-            dd = D[rr, cc]
+            V = R[donors, j]
+            top = _lex_topk(D, V, k)
+            rr, cc = np.nonzero(top >= 0)
+            pick = top[rr, cc]
+            dd = D[rr, pick]
             ok = np.isfinite(dd)
-            out.append(pd.DataFrame({"_qid": qids[recv[rr[ok]]], "_j": np.full(ok.sum(), j, dtype=np.int32),
-                                     "_dist": dd[ok], "_v": R[donors[cc[ok]], j]}))
+            out.append(pd.DataFrame({"_qid": qids[recv[rr[ok]]], "_j": np.full(int(ok.sum()), j, dtype=np.int32),
+                                     "_dist": dd[ok], "_v": V[pick[ok]]}))
         return pd.concat(out, ignore_index=True) if out else empty
     return fn
 
