@@ -138,6 +138,7 @@ class KNeighbors(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defau
     def __init__(self, k=5, task="classification", featuresCol="features", labelCol="label",
                  predictionCol="prediction", blockRows=BLOCK_ROWS):
         super().__init__()
+        self._setDefault(k=5, task="classification", blockRows=BLOCK_ROWS)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
@@ -166,6 +167,7 @@ class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defa
     def __init__(self, k=5, task="classification", featuresCol="features", labelCol="label",
                  predictionCol="prediction", trainPath=None, nTrain=0, blockRows=BLOCK_ROWS):
         super().__init__()
+        self._setDefault(k=5, task="classification", nTrain=0, blockRows=BLOCK_ROWS)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -234,6 +236,7 @@ class KnnImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWr
     @keyword_only
     def __init__(self, inputCols=None, k=3):
         super().__init__()
+        self._setDefault(k=3)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
@@ -258,7 +261,7 @@ class KnnImputerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsW
     @keyword_only
     def __init__(self, inputCols=None, k=3, donorPath=None, nDonors=0, means=None, blockRows=BLOCK_ROWS):
         super().__init__()
-        self._setDefault(blockRows=BLOCK_ROWS)
+        self._setDefault(k=3, nDonors=0, blockRows=BLOCK_ROWS)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:

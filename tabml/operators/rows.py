@@ -20,6 +20,14 @@ from ..functions.hashing import seeded_bucket, seeded_hash60
 # The offsets table has one row per (range partition, group); it is broadcast
 # only while it stays under this many rows.
 MAX_OFFSET_ROWS = 2_000_000
+# Target rows per partition for tables the ML steps iterate over.
+ROWS_PER_PARTITION = 250_000
+
+
+def partitions_for(n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION, cap: int = 100_000) -> int:
+    """Partition count proportional to the data: few tasks for small tables
+    (job overhead dominates), ~rows_per_partition rows each at scale."""
+    return max(1, min(cap, math.ceil(max(n_rows, 1) / rows_per_partition)))
 
 
 def _null_safe_join_cond(left, right, cols):
@@ -77,7 +85,7 @@ def rank_within_groups(df: DataFrame, group_cols, order_col: str, num_partitions
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.3, seed: int = 42,
                      stratify: str | None = None, exact: bool = True,
-                     split_col: str = "is_test") -> DataFrame:
+                     split_col: str = "is_test", num_partitions: int | None = None) -> DataFrame:
     """Repeatable split by a hash of (seed, key).
 
     exact=True: within each group (the class when ``stratify`` is given,
@@ -90,20 +98,20 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.3, seed: int
         cut = int(test_size * (1 << 60))
         return df.withColumn(split_col, h < F.lit(cut))
     groups = [stratify] if stratify else []
-    ranked = rank_within_groups(df.withColumn("_h", h), groups, "_h")
+    ranked = rank_within_groups(df.withColumn("_h", h), groups, "_h", num_partitions)
     n_test = F.ceil(F.col("_group_size") * F.lit(test_size))
     return ranked.withColumn(split_col, F.col("_rank") < n_test).drop("_h", "_rank", "_group_size")
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | None = None,
-                 fold_col: str = "fold") -> DataFrame:
+                 fold_col: str = "fold", num_partitions: int | None = None) -> DataFrame:
     """fold numbers 0..k-1.  Stratified: (rank of the hash within the
     class) mod k, so every class is spread evenly.  Otherwise: md5 bucket of
     (seed, key) mod k, a projection with no shuffle."""
     if stratify is None:
         return df.withColumn(fold_col, F.pmod(seeded_bucket(seed, F.col(key)), F.lit(k)).cast("int"))
     ranked = rank_within_groups(df.withColumn("_h", seeded_hash60(seed, F.col(key))), [stratify], "_h",
-                                size_col=None)
+                                num_partitions, size_col=None)
     return ranked.withColumn(fold_col, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_h", "_rank")
 
 
@@ -112,7 +120,7 @@ def class_counts(df: DataFrame, label: str) -> dict:
 
 
 def upsample_minority(df: DataFrame, label: str, key: str, seed: int = 42,
-                      ratio: float = 0.5, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, bool]:
+                      ratio: float = 0.5, broadcast_rows: int = 200_000) -> tuple[DataFrame, bool]:
     """Binary classes with min/max count ratio under ``ratio``: the
     minority is bootstrapped (drawn with replacement) to the majority count
     and unioned with the majority.  The original minority rows are not kept
@@ -133,12 +141,13 @@ def upsample_minority(df: DataFrame, label: str, key: str, seed: int = 42,
     minority = df.where(F.col(label) == F.lit(cls_min))
     majority = df.where(F.col(label) == F.lit(cls_max))
     pos = (rank_within_groups(minority.withColumn("_h", seeded_hash60(seed, F.col(key))), [], "_h",
-                              size_col=None)
+                              partitions_for(m), size_col=None)
            .drop("_h"))
     spark = df.sparkSession
-    draws = spark.range(big).select(
+    draws = spark.range(0, big, 1, partitions_for(big)).select(
         F.col("id").alias("_draw"),
         F.pmod(seeded_bucket(seed, F.col("id")), F.lit(m)).alias("_rank"))
     side = F.broadcast(pos) if m <= broadcast_rows else pos
     picked = draws.join(side, "_rank").select(*df.columns)
-    return majority.unionByName(picked), True
+    out = majority.unionByName(picked)
+    return out.coalesce(partitions_for(2 * big)), True

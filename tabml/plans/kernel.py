@@ -96,6 +96,7 @@ class PlattScaling(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
     def __init__(self, a=1.0, c=0.0):
         super().__init__()
+        self._setDefault(a=1.0, c=0.0)
         self._set(**self._input_kwargs)
 
     def _transform(self, df):
@@ -117,7 +118,7 @@ class RbfSVC(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
     def __init__(self, C=1.0, gamma="scale", nComponents=N_COMPONENTS, nClasses=2, seed=42,
                  featuresCol="features", labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self._setDefault(nComponents=N_COMPONENTS)
+        self._setDefault(C=1.0, gamma="scale", nComponents=N_COMPONENTS, nClasses=2, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):
@@ -127,7 +128,7 @@ class RbfSVC(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
         z = rff.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
         n = z.count()
         svc = LinearSVC(featuresCol=RFF_COL, labelCol=lc, regParam=1.0 / (self.getOrDefault(self.C) * n),
-                        standardization=False, maxIter=200)
+                        standardization=False, maxIter=100)
         if self.getOrDefault(self.nClasses) > 2:
             fitted = OneVsRest(classifier=svc, featuresCol=RFF_COL, labelCol=lc).fit(z)
             return PipelineModel(stages=[rff, fitted])
@@ -149,6 +150,7 @@ class LinearOnArray(Model, HasPredictionCol, DefaultParamsReadable, DefaultParam
     @keyword_only
     def __init__(self, coefficients=None, intercept=0.0, predictionCol="prediction"):
         super().__init__()
+        self._setDefault(intercept=0.0)
         self._set(**self._input_kwargs)
 
     def _transform(self, df):
@@ -172,7 +174,7 @@ class RbfSVR(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
     def __init__(self, C=1.0, gamma="scale", epsilon=0.1, nComponents=N_COMPONENTS, seed=42, maxIter=20,
                  featuresCol="features", labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self._setDefault(nComponents=N_COMPONENTS, maxIter=20)
+        self._setDefault(C=1.0, gamma="scale", epsilon=0.1, nComponents=N_COMPONENTS, maxIter=20, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame):

@@ -135,7 +135,6 @@ def build_feature_pipeline(train: DataFrame, numeric: list, categorical: list, o
         pca = ST.CenteredPCA(inputCols=num, k=k).fit(df)
         apply(pca)
         num = pca.outputNames()
-    names = list(num)
     assembled = list(num)
     if categorical and recipe.one_hot:
         apply(ST.FillCategorical(inputCols=categorical))
@@ -144,9 +143,10 @@ def build_feature_pipeline(train: DataFrame, numeric: list, categorical: list, o
         indexer = StringIndexer(inputCols=categorical, outputCols=idx_cols, stringOrderType="alphabetAsc",
                                 handleInvalid="keep").fit(df)
         apply(indexer)
-        apply(OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True, handleInvalid="keep").fit(df))
-        for c, labels in zip(categorical, indexer.labelsArray):
-            names += [f"{c}_{v}" for v in labels]
+        # the indexer puts unseen values at index n (its "keep" bucket); the
+        # encoder sees n + 1 values and dropLast removes slot n, so an unseen
+        # value is all zeros and every seen category has one slot
+        apply(OneHotEncoder(inputCols=idx_cols, outputCols=ohe_cols, dropLast=True, handleInvalid="error").fit(df))
         assembled += ohe_cols
     elif categorical:
         # no one-hot: the reference passes them through; a string cannot be a
@@ -155,16 +155,27 @@ def build_feature_pipeline(train: DataFrame, numeric: list, categorical: list, o
         apply(ST.FillCategorical(inputCols=categorical))
         apply(StringIndexer(inputCols=categorical, outputCols=idx_cols, stringOrderType="alphabetAsc",
                             handleInvalid="keep").fit(df))
-        names += categorical
         assembled += idx_cols
     if other:
         apply(ST.CastToDouble(inputCols=other))
-        names += other
         assembled += other
     if not assembled:
         raise DataError("No features left for the model.")
     apply(VectorAssembler(inputCols=assembled, outputCol=FEATURES, handleInvalid="error"))
-    return PipelineModel(stages=fitted), sanitize_names(names), num
+    return PipelineModel(stages=fitted), sanitize_names(vector_names(df.schema[FEATURES])), num
+
+
+def vector_names(field) -> list:
+    """Slot names of an assembled vector from its ML attribute metadata."""
+    attrs = field.metadata.get("ml_attr", {}).get("attrs", {})
+    pairs = sorted((a["idx"], a.get("name", f"feature_{a['idx']}")) for group in attrs.values() for a in group)
+    size = field.metadata.get("ml_attr", {}).get("num_attrs", len(pairs))
+    names = {i: n for i, n in pairs}
+    out = []
+    for i in range(size):
+        n = names.get(i, f"feature_{i}")
+        out.append(n.replace("__ohe_", "_").replace("__idx", ""))
+    return out
 
 
 def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = None,
@@ -216,6 +227,9 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     contract = Contract(target=target, dropped_ids=dropped, original_columns=originals, original_types=types,
                         datetime_columns=dt_cols, pipeline_columns=pipeline_cols, synthetic=recipe.synthetic)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = df.count()
+    parts = RW.partitions_for(n_rows)
+    report["n_rows"] = n_rows
     binary = task == TG.CLASSIFICATION and len(lm.classes) == 2
 
     def resample(part: DataFrame) -> DataFrame:
@@ -231,7 +245,7 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     if recipe.resample == "before_split":
         df = resample(df)
     split = RW.train_test_split(df, KEY, recipe.test_size, recipe.seed,
-                                stratify=LABEL if binary else None)
+                                stratify=LABEL if binary else None, num_partitions=parts)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
@@ -251,8 +265,8 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
             train = train.withColumn(LABEL, F.element_at(remap, F.col(LABEL)))
             test = test.withColumn(LABEL, F.element_at(remap, F.col(LABEL)))
         n_classes = len(present)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    test = test.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
     feature_model, names, _ = build_feature_pipeline(train, numeric, categorical, other, recipe, task)
     train_t = feature_model.transform(train).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)

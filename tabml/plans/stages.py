@@ -109,6 +109,7 @@ class SelectKBest(Estimator, HasInputCols, HasLabelCol, _Base):
     @keyword_only
     def __init__(self, inputCols=None, labelCol="label", k=10, task="classification"):
         super().__init__()
+        self._setDefault(k=10, task="classification")
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
@@ -138,6 +139,7 @@ class CenteredPCA(Estimator, HasInputCols, _Base):
     @keyword_only
     def __init__(self, inputCols=None, k=5):
         super().__init__()
+        self._setDefault(k=5)
         self._set(**self._input_kwargs)
 
     def _fit(self, df):

@@ -70,7 +70,8 @@ def fold_count(fr: FitResult) -> int:
 def _folds(fr: FitResult, k: int) -> DataFrame:
     raw = fr.raw_train
     if fr.task == CLASSIFICATION:
-        return RW.assign_folds(raw, KEY, k, seed=fr.recipe.seed, stratify=LABEL)
+        return RW.assign_folds(raw, KEY, k, seed=fr.recipe.seed, stratify=LABEL,
+                               num_partitions=RW.partitions_for(fr.n_train))
     return RW.assign_folds(raw, KEY, k, seed=fr.recipe.seed)
 
 
