@@ -278,4 +278,4 @@ def _i2(spark, sf):
     from .flagship import flagship_fit
     fr, model, _ = flagship_fit(spark, sf)
     bundle = ScoringBundle.from_fit(fr, full_pipeline(fr, model))
-    return score(bundle, V.doc_stats(spark, sf).drop("quality"))
+    return score(bundle, V.doc_stats(spark, sf).drop("quality"), passthrough=["doc_id"])

@@ -30,7 +30,7 @@ class ScoringBundle:
         return ScoringBundle(fr.task, pipeline, fr.contract, fr.label_map)
 
 
-def align_to_schema(df: DataFrame, contract: Contract) -> DataFrame:
+def align_to_schema(df: DataFrame, contract: Contract, passthrough=()) -> DataFrame:
     """Exactly the training input columns, in order.  Numbers and
     datetimes are parsed with ``try_cast`` / ``try_to_timestamp`` (bad text
     -> missing); an absent numeric column becomes 0, any other absent column
@@ -50,15 +50,19 @@ def align_to_schema(df: DataFrame, contract: Contract) -> DataFrame:
             exprs.append((parsed.cast(t)).alias(c))
         else:
             exprs.append(col.cast(t).alias(c))
-    out = df.select(*exprs)
-    if len(out.columns) != len(contract.original_columns):
+    out = df.select(*exprs, *[F.col(c) for c in passthrough if c not in contract.original_columns])
+    if len(out.columns) != len(contract.original_columns) + len(
+            [c for c in passthrough if c not in contract.original_columns]):
         raise DataError("Input does not have the training columns.")
     return out
 
 
-def score(bundle: ScoringBundle, df: DataFrame, keep_inputs: bool = True) -> DataFrame:
-    """Re-apply feature engineering, run the pipeline, decode the class."""
-    aligned = align_to_schema(df, bundle.contract)
+def score(bundle: ScoringBundle, df: DataFrame, keep_inputs: bool = True, passthrough=()) -> DataFrame:
+    """Re-apply feature engineering, run the pipeline, decode the class.
+    ``passthrough`` columns (keys) are carried to the output untouched; the
+    whole plan is projections, so the rows never move."""
+    passthrough = [c for c in passthrough if c not in bundle.contract.original_columns]
+    aligned = align_to_schema(df, bundle.contract, passthrough)
     x = FE.datetime_features(aligned, bundle.contract.datetime_columns) if bundle.contract.datetime_columns \
         else aligned
     if bundle.contract.synthetic:
@@ -68,7 +72,8 @@ def score(bundle: ScoringBundle, df: DataFrame, keep_inputs: bool = True) -> Dat
     pred = F.col("prediction")
     if bundle.task == "classification" and bundle.label_map is not None:
         pred = bundle.label_map.decode_expr("prediction")
-    keep = [F.col(c) for c in aligned.columns] if keep_inputs else []
+    keep = [F.col(c) for c in passthrough] + (
+        [F.col(c) for c in bundle.contract.original_columns] if keep_inputs else [])
     extra = [F.col("probability")] if "probability" in out.columns else []
     return out.select(*keep, pred.alias("prediction"), *extra)
 
