@@ -62,12 +62,13 @@ class SqliteSource(DataSource):
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
-        self.options = dict(options)
+        # option keys may arrive lower-cased: look them up case-insensitively
+        self.options = {str(k).lower(): v for k, v in dict(options).items()}
         self.schema = schema
 
     def partitions(self):
-        col = self.options.get("partitionColumn")
-        n = int(self.options.get("numPartitions", "1"))
+        col = self.options.get("partitioncolumn")
+        n = int(self.options.get("numpartitions", "1"))
         if not col or n <= 1:
             return [_Range(None, None, True)]
         con = sqlite3.connect(self.options["path"])
@@ -83,7 +84,7 @@ class SqliteReader(DataSourceReader):
 
     def read(self, partition):
         q = self.options["query"]
-        col = self.options.get("partitionColumn")
+        col = self.options.get("partitioncolumn")
         con = sqlite3.connect(self.options["path"])
         try:
             if partition.lo is None:
