@@ -279,3 +279,84 @@ def _i2(spark, sf):
     fr, model, _ = flagship_fit(spark, sf)
     bundle = ScoringBundle.from_fit(fr, full_pipeline(fr, model))
     return score(bundle, V.doc_stats(spark, sf).drop("quality"), passthrough=["doc_id"])
+
+
+# ------------------------------------------------------------------ D2
+
+@register("d2_synthetic_scoring_signal", with_views(["orders_null"], f"""
+SELECT o_orderkey,
+       {r("(o_orderkey + o_custkey + coalesce(o_totalprice, 0)) / (2 + CAST(o_totalprice IS NOT NULL AS INTEGER))", 4)}
+       AS synthetic_highly_correlated_feature
+FROM orders_null"""))
+def _d2(spark, sf):
+    from tabml.operators import features as FE
+    df = V.orders_null(spark, sf)
+    out = FE.synthetic_signal(df, None, noise=0.0, numeric_cols=["o_orderkey", "o_custkey", "o_totalprice"])
+    return out.select("o_orderkey", F.round(FE.SYNTHETIC, 4).alias(FE.SYNTHETIC))
+
+
+# ------------------------------------------------------- rows-only: models
+
+def _prepared(spark, sf, target="quality"):
+    from tabml.plans.recipe import prepare
+    if target == "quality":
+        return prepare(V.doc_stats(spark, sf), target="quality", key="doc_id")
+    return prepare(V.doc_stats(spark, sf).drop("n_words"), target="n_chars", key="doc_id")
+
+
+@register("g11_feature_importance")
+def _g11(spark, sf):
+    from tabml.plans.train import fit_model
+    fr = _prepared(spark, sf)
+    return rounded(M.feature_importance(fit_model(fr, "Random Forest"), fr.feature_names, spark=spark))
+
+
+@register("f2_grid_search_logistic")
+def _f2(spark, sf):
+    from tabml.plans.train import grid_search
+    fr = _prepared(spark, sf)
+    best, table = grid_search(fr, "Logistic Regression")
+    return spark.createDataFrame([(str(p), float(s), p == best) for p, s in table],
+                                 "params string, mean_accuracy double, best boolean")
+
+
+@register("f3_cross_validate_forest")
+def _f3(spark, sf):
+    from tabml.plans.train import cross_validate
+    fr = _prepared(spark, sf, "n_chars")
+    folds, mean, std = cross_validate(fr, "Random Forest", {"n_estimators": 50})
+    return spark.createDataFrame([(f, float(s), float(mean), float(std)) for f, s in folds],
+                                 "fold int, r2 double, mean_r2 double, std_r2 double")
+
+
+@register("d8_pca_components")
+def _d8p(spark, sf):
+    from tabml.operators import features as FE
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    means, comps, var = FE.fit_pca(V.table(spark, sf, "lineitem"), cols, 3)
+    rows = [(k, c, float(comps[k][j]), float(var[k])) for k in range(len(comps)) for j, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "component int, feature string, loading double, variance double")
+
+
+@register("h4_kernel_shap_logistic")
+def _h4(spark, sf):
+    from tabml.plans.train import fit_model
+    fr = _prepared(spark, sf)
+    model = fit_model(fr, "Logistic Regression")
+    rows = X.explain_sample_vectors(fr.test, "_row_id", 50, 42)
+    background = X.explain_sample_vectors(fr.train, "_row_id", 20, 7)
+    phi, base = X.kernel_shap(model, rows, background, fr.feature_names, output="probability", max_samples=512)
+    return rounded(X.shap_summary(phi))
+
+
+@register("a13_save_load_score")
+def _a13(spark, sf):
+    from tabml.plans.score import ScoringBundle, load_bundle, save_bundle, score
+    from tabml.plans.train import fit_model, full_pipeline
+    from tabml.session import shared_dir
+    import uuid
+    fr = _prepared(spark, sf)
+    bundle = ScoringBundle.from_fit(fr, full_pipeline(fr, fit_model(fr, "Gaussian Naive Bayes")))
+    path = shared_dir(spark, f"bundle-{uuid.uuid4().hex}")
+    save_bundle(bundle, path)
+    return score(load_bundle(spark, path), V.doc_stats(spark, sf).drop("quality"), passthrough=["doc_id"])
