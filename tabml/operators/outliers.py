@@ -76,11 +76,10 @@ NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, righ
 
 
 def fit_isolation_forest(df: DataFrame, cols, key: str, n_trees: int = 100, max_samples: int = 256,
-                         seed: int = 42):
+                         seed: int = 42, n_rows: int | None = None):
     """Returns a dict of NumPy arrays describing the forest plus the fill
     values (column medians of the sample) used for missing inputs."""
-    spark = df.sparkSession
-    n = df.count()
+    n = n_rows if n_rows is not None else df.count()
     psi = min(max_samples, n)
     frac = min(1.0, POOL_FACTOR * psi / max(n, 1))
     pool = (df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
@@ -148,12 +147,12 @@ def score(df: DataFrame, model: dict, out_col: str = SCORE_COL) -> DataFrame:
 
 
 def remove_outliers(df: DataFrame, cols, key: str = "_row_id", contamination: float = 0.05,
-                    seed: int = 42, n_trees: int = 100, max_samples: int = 256):
+                    seed: int = 42, n_trees: int = 100, max_samples: int = 256, n_rows: int | None = None):
     """Returns (rows kept, number removed).  Skipped without numeric
     columns."""
     if not cols:
         return df, 0
-    model = fit_isolation_forest(df, cols, key, n_trees, max_samples, seed)
+    model = fit_isolation_forest(df, cols, key, n_trees, max_samples, seed, n_rows)
     scored = score(df, model).persist(StorageLevel.MEMORY_AND_DISK)
     stats = scored.agg(F.percentile_approx(SCORE_COL, 1.0 - contamination, 10_000).alias("cut"),
                        F.count(F.lit(1)).alias("n")).first()

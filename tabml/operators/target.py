@@ -34,6 +34,31 @@ def task_stats(df: DataFrame, target: str, approx: bool = False) -> DataFrame:
                         F.lit(numeric).alias("is_numeric"), task.alias("task"))
 
 
+def input_stats(df: DataFrame, target: str, id_candidates=()) -> dict:
+    """C1 + C3/C4 guard + C6 in ONE aggregate job: rows, distinct target
+    values, missing targets and distinct values of every ID-like column."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(target)).alias("nd"),
+                 F.sum(F.col(target).isNull().cast("long")).alias("nulls"),
+                 *[F.count_distinct(F.col(c)).alias(f"id{i}") for i, c in enumerate(id_candidates)]).first()
+    dt = df.schema[target].dataType
+    numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
+    n, nd = int(row["n"]), int(row["nd"])
+    if not numeric:
+        task = CLASSIFICATION
+    elif nd > 0.2 * n:
+        task = REGRESSION
+    elif nd <= 10:
+        task = CLASSIFICATION
+    else:
+        task = REGRESSION
+    return {"n": n, "n_distinct": nd, "target_nulls": int(row["nulls"] or 0), "task": task,
+            "id_unique": [c for i, c in enumerate(id_candidates) if int(row[f"id{i}"]) == n]}
+
+
+def id_candidates(columns, target=None, keep=()) -> list:
+    return [c for c in columns if "id" in c.lower() and c != target and c not in keep]
+
+
 def infer_task_type(df: DataFrame, target: str, approx: bool = False) -> str:
     return task_stats(df, target, approx).first()["task"]
 

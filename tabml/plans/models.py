@@ -26,6 +26,11 @@ REGRESSORS = ["Linear Regression", "Ridge", "Lasso", "ElasticNet", "SVR", "K-Nea
 
 # Spark's deepest allowed tree; stands in for "no depth limit".
 MAX_TREE_DEPTH = 30
+# Tree ensembles: cache each row's node id between levels (deep trees then
+# skip re-walking every tree per level; the cache is checkpointed into
+# spark.checkpoint.dir every 10 iterations) and give the per-level histogram
+# aggregation room for many nodes per pass.
+TREE_OPTS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
 # Depth used for the LightGBM stand-in when its depth is -1 (about 31 leaves).
 LGBM_UNLIMITED_DEPTH = 5
 
@@ -75,11 +80,11 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
         if name == "Random Forest":
             return RandomForestClassifier(numTrees=int(p["n_estimators"]),
                                           maxDepth=_depth(p["max_depth"], MAX_TREE_DEPTH),
-                                          featureSubsetStrategy="sqrt", seed=ctx.seed, **common)
+                                          featureSubsetStrategy="sqrt", seed=ctx.seed, **TREE_OPTS, **common)
         if name in ("XGBoost", "LightGBM"):
             unlimited = LGBM_UNLIMITED_DEPTH if name == "LightGBM" else MAX_TREE_DEPTH
             gbt = GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"], unlimited),
-                                stepSize=float(p["learning_rate"]), seed=ctx.seed, **common)
+                                stepSize=float(p["learning_rate"]), seed=ctx.seed, **TREE_OPTS, **common)
             if ctx.n_classes > 2:
                 return OneVsRest(classifier=gbt, **common)
             return gbt
@@ -112,11 +117,11 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
         if name == "Random Forest":
             return RandomForestRegressor(numTrees=int(p["n_estimators"]),
                                          maxDepth=_depth(p["max_depth"], MAX_TREE_DEPTH),
-                                         featureSubsetStrategy="all", seed=ctx.seed, **common)
+                                         featureSubsetStrategy="all", seed=ctx.seed, **TREE_OPTS, **common)
         if name in ("XGBoost", "LightGBM"):
             unlimited = LGBM_UNLIMITED_DEPTH if name == "LightGBM" else MAX_TREE_DEPTH
             return GBTRegressor(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"], unlimited),
-                                stepSize=float(p["learning_rate"]), seed=ctx.seed, **common)
+                                stepSize=float(p["learning_rate"]), seed=ctx.seed, **TREE_OPTS, **common)
         if name == "SVR":
             from .kernel import RbfSVR
             return RbfSVR(C=float(p["C"]), gamma=str(p["gamma"]), epsilon=float(p.get("epsilon", 0.1)),

@@ -8,6 +8,8 @@ class lists, fitted statistics).
 
 from __future__ import annotations
 
+import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
@@ -178,6 +180,13 @@ def vector_names(field) -> list:
     return out
 
 
+@contextmanager
+def _timed(report: dict, step: str):
+    t0 = time.time()
+    yield
+    report.setdefault("seconds", {})[step] = round(time.time() - t0, 3)
+
+
 def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = None,
             key=None, task: str | None = None) -> FitResult:
     """C1 -> C3/4 -> C5 -> C6 -> D1 -> D2 -> C8 -> D14 -> D15 -> D16 ->
@@ -186,22 +195,28 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     df = nan_to_null(df)
     target, _ = TG.split_features(df, target)
     report: dict = {}
-    task = task or TG.infer_task_type(df, target)
+    # explicit row key; the input is cached now, so the one statistics job
+    # below is the only full read of the source
+    df = row_key(df, key, KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    cands = TG.id_candidates([c for c in df.columns if c not in (target, KEY)], target)
+    with _timed(report, "input_stats"):
+        st = TG.input_stats(df, target, cands)
+    task = task or st["task"]
     report["task"] = task
     # Fill a missing target
-    if df.where(F.col(target).isNull()).limit(1).count():
+    if st["target_nulls"]:
         df = TG.impute_target(df, target, "mode" if task == TG.CLASSIFICATION else "median")
-    # explicit row key, then C6 on the features
-    df = row_key(df, key, KEY)
-    features_df, dropped = TG.drop_id_columns(df.drop(target, KEY), None)
-    feats = TG.require_features(features_df.withColumn(target, F.lit(0)), target)
+    # Drop ID-like features whose values are all distinct (non-null)
+    dropped = st["id_unique"]
+    feats = TG.require_features(df.drop(KEY, *dropped), target)
     originals = [c for c in feats]
     report["dropped_ids"] = dropped
     types = {c: df.schema[c].dataType.simpleString() for c in originals}
     df = df.select(KEY, *originals, target)
     # Label (first map, on all rows)
     if task == TG.CLASSIFICATION:
-        lm = TG.fit_label_map(df, target)
+        with _timed(report, "label_map"):
+            lm = TG.fit_label_map(df, target)
         df = lm.encode(df, LABEL)
     else:
         lm = None
@@ -226,8 +241,7 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     pipeline_cols = [c for c in df.columns if c not in (KEY, LABEL)]
     contract = Contract(target=target, dropped_ids=dropped, original_columns=originals, original_types=types,
                         datetime_columns=dt_cols, pipeline_columns=pipeline_cols, synthetic=recipe.synthetic)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = df.count()
+    n_rows = st["n"]
     parts = RW.partitions_for(n_rows)
     report["n_rows"] = n_rows
     binary = task == TG.CLASSIFICATION and len(lm.classes) == 2
@@ -235,17 +249,20 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     def resample(part: DataFrame) -> DataFrame:
         if recipe.outliers and numeric:
             from ..operators.outliers import remove_outliers
-            part, n_out = remove_outliers(part, numeric, contamination=0.05, seed=recipe.seed)
+            with _timed(report, "outliers"):
+                part, n_out = remove_outliers(part, numeric, contamination=0.05, seed=recipe.seed)
             report["outliers_removed"] = n_out
         if recipe.balance and binary:
-            part, applied = RW.upsample_minority(part, LABEL, KEY, seed=recipe.seed)
+            with _timed(report, "upsample"):
+                part, applied = RW.upsample_minority(part, LABEL, KEY, seed=recipe.seed)
             report["upsampled"] = applied
         return part
 
     if recipe.resample == "before_split":
         df = resample(df)
-    split = RW.train_test_split(df, KEY, recipe.test_size, recipe.seed,
-                                stratify=LABEL if binary else None, num_partitions=parts)
+    with _timed(report, "split"):
+        split = RW.train_test_split(df, KEY, recipe.test_size, recipe.seed,
+                                    stratify=LABEL if binary else None, num_partitions=parts)
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
@@ -267,13 +284,16 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
         n_classes = len(present)
     train = train.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
     test = test.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
-    feature_model, names, _ = build_feature_pipeline(train, numeric, categorical, other, recipe, task)
+    with _timed(report, "train_stats"):
+        stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
+    with _timed(report, "feature_pipeline_fit"):
+        feature_model, names, _ = build_feature_pipeline(train, numeric, categorical, other, recipe, task)
     train_t = feature_model.transform(train).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     test_t = feature_model.transform(test).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     # Nothing missing may reach the model (the assembler would fail on a
     # null feature; the label is checked here)
-    FE.validate_no_missing(train_t, [LABEL], "target")
+    with _timed(report, "transform_validate"):
+        FE.validate_no_missing(train_t, [LABEL], "target")
     report["n_train"] = stats["n"]
     return FitResult(task=task, target=target, recipe=recipe, contract=contract, label_map=lm,
                      feature_model=feature_model, feature_names=names, numeric=numeric,
