@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (column_roles, datetime_columns, is_datetime,
                                  numeric_columns, string_columns)
+from ..functions.quantiles import exact_quantiles
 from ..functions.stack import unpivot_wide
 
 # Above this many rows, quantiles and distinct counts switch to the
@@ -32,6 +33,19 @@ def _use_exact(df: DataFrame, approx) -> bool:
     return not approx
 
 
+def _quantile_plan(df: DataFrame, approx) -> str:
+    """'percentile' (Spark's exact aggregate: one task merges every distinct
+    value, so only below EXACT_ROW_LIMIT rows), 'order_stats' (exact and
+    distributed, for larger tables) or 'sketch' (approx=True, or approx=None
+    on a large table)."""
+    if approx is True:
+        return "sketch"
+    small = df.limit(EXACT_ROW_LIMIT + 1).count() <= EXACT_ROW_LIMIT
+    if small:
+        return "percentile"
+    return "sketch" if approx is None else "order_stats"
+
+
 def _quantiles(col, probs, exact: bool):
     arr = F.array(*[F.lit(float(p)) for p in probs])
     if exact:
@@ -101,13 +115,17 @@ def box_stats(df: DataFrame, cols=None, approx: bool | None = False) -> DataFram
     ``None`` picks exact only below ``EXACT_ROW_LIMIT`` rows.
     """
     cols = _numeric(df, cols)
-    exact = _use_exact(df, approx)
+    plan = _quantile_plan(df, approx)
     aggs = []
     for c in cols:
         x = _as_double(c)
-        aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-                 _quantiles(x, [0.25, 0.5, 0.75], exact).alias(f"{c}__q")]
-    first = df.agg(*aggs).first()
+        aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+        if plan != "order_stats":
+            aggs.append(_quantiles(x, [0.25, 0.5, 0.75], plan == "percentile").alias(f"{c}__q"))
+    first = df.agg(*aggs).first().asDict()
+    if plan == "order_stats":
+        for c, qs in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).items():
+            first[f"{c}__q"] = None if qs[0] is None else qs
     fences = {}
     for c in cols:
         qs = first[f"{c}__q"]
@@ -195,9 +213,10 @@ def profile_numeric(df: DataFrame, cols=None, approx: bool | None = False) -> Da
     one wide aggregate.  The single result rows are unpivoted on the driver.
     """
     cols = _numeric(df, cols)
-    exact = _use_exact(df, approx)
-    distinct = (F.count_distinct if exact else F.approx_count_distinct)
+    plan = _quantile_plan(df, approx)
+    distinct = (F.approx_count_distinct if plan == "sketch" else F.count_distinct)
     d_row = df.agg(*[distinct(_as_double(c)).alias(c) for c in cols]).first()
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     aggs = []
     for c in cols:
         x = _as_double(c)
@@ -205,12 +224,16 @@ def profile_numeric(df: DataFrame, cols=None, approx: bool | None = False) -> Da
             F.sum(x.isNull().cast("long")).alias(f"{c}__missing"),
             F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
             F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-            _quantiles(x, [0.05, 0.25, 0.5, 0.75, 0.95], exact).alias(f"{c}__qs"),
+            (F.lit(None).cast("array<double>") if plan == "order_stats"
+             else _quantiles(x, probs, plan == "percentile")).alias(f"{c}__qs"),
             F.sum((x == 0).cast("long")).alias(f"{c}__zeros"),
             F.sum((x < 0).cast("long")).alias(f"{c}__negatives"),
             F.skewness(x).alias(f"{c}__skewness"), F.kurtosis(x).alias(f"{c}__kurtosis"),
         ]
-    row = df.agg(*aggs).first()
+    row = df.agg(*aggs).first().asDict()
+    if plan == "order_stats":
+        for c, qs in exact_quantiles(df, cols, probs).items():
+            row[f"{c}__qs"] = qs
     out = []
     for c in cols:
         qs = row[f"{c}__qs"] or [None] * 5

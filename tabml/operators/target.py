@@ -74,10 +74,11 @@ def split_features(df: DataFrame, target: str | None = None) -> tuple[str, list[
 
 
 def target_fill_value(df: DataFrame, target: str, task: str):
-    """The value used by C3/C4 (computed by one aggregate)."""
+    """The value used by C3/C4."""
     if task == CLASSIFICATION:
         return df.agg(F.mode(F.col(target), True).alias("v")).first()["v"]
-    return df.agg(F.percentile(F.col(target).cast("double"), 0.5).alias("v")).first()["v"]
+    from ..functions.quantiles import column_quantiles
+    return (column_quantiles(df, [target], [0.5])[target] or [None])[0]
 
 
 def impute_target(df: DataFrame, target: str, how: str, approx: bool = False) -> DataFrame:
@@ -89,9 +90,9 @@ def impute_target(df: DataFrame, target: str, how: str, approx: bool = False) ->
         fill = df.agg(F.mode(F.col(target), True).alias("v")).first()["v"]
         expr = F.coalesce(F.col(target), F.lit(fill).cast(df.schema[target].dataType))
     elif how == "median":
+        from ..functions.quantiles import column_quantiles
         x = F.col(target).cast("double")
-        stat = F.percentile_approx(x, 0.5, 10_000) if approx else F.percentile(x, 0.5)
-        fill = df.agg(stat.alias("v")).first()["v"]
+        fill = (column_quantiles(df, [target], [0.5], True if approx else False)[target] or [None])[0]
         expr = F.coalesce(x, F.lit(fill).cast("double"))
     else:
         raise ValueError("how must be 'mode' or 'median'")
@@ -194,14 +195,17 @@ def require_features(df: DataFrame, target: str) -> list[str]:
 def infer_input_defaults(df: DataFrame, cols=None) -> DataFrame:
     """Column, default (as text): numeric median (0.0 when all null),
     string mode (smallest on ties), earliest datetime, else ''.  One job."""
+    from ..functions.quantiles import column_quantiles
     cols = cols or df.columns
     aggs, kinds = [], {}
+    nums = [c for c in cols if is_numeric(df.schema[c].dataType) or isinstance(df.schema[c].dataType, T.BooleanType)]
+    medians = column_quantiles(df, nums, [0.5]) if nums else {}
     for c in cols:
         dt = df.schema[c].dataType
         if is_numeric(dt) or isinstance(dt, T.BooleanType):
             kinds[c] = "num"
-            aggs.append(F.coalesce(F.percentile(F.col(c).cast("double"), 0.5), F.lit(0.0))
-                        .cast("string").alias(c))
+            med = (medians.get(c) or [None])[0]
+            aggs.append(F.lit(0.0 if med is None else float(med)).cast("string").alias(c))
         elif is_string(dt):
             kinds[c] = "str"
             aggs.append(F.coalesce(F.mode(F.col(c), True), F.lit("")).alias(c))
