@@ -191,9 +191,11 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
             key=None, task: str | None = None) -> FitResult:
     """C1 -> C3/4 -> C5 -> C6 -> D1 -> D2 -> C8 -> D14 -> D15 -> D16 ->
     C5 -> D10 -> D12 -> D13."""
+    from ..operators.clean import require_min_rows
     recipe = recipe or Recipe.auto()
     df = nan_to_null(df)
     target, _ = TG.split_features(df, target)
+    require_min_rows(df, 10)                                     # A11
     report: dict = {}
     # explicit row key; the input is cached now, so the one statistics job
     # below is the only full read of the source

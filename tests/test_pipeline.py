@@ -107,3 +107,13 @@ def test_guards():
 def test_min_rows_guard(spark):
     with pytest.raises(DataError):
         require_min_rows(V.table(spark, SF_SMALL, "region"), 10)
+
+
+def test_split_features_and_roles(spark):
+    from tabml.functions.columns import column_roles
+    from tabml.operators.target import split_features
+    o = V.table(spark, SF_SMALL, "orders")
+    t, feats = split_features(o)
+    assert t == "o_orderpriority" and "o_orderpriority" not in feats
+    roles = column_roles(o)
+    assert roles["datetime"] == ["o_orderdate"] and "o_totalprice" in roles["numeric"]
