@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cache import remember
 from ..functions.hashing import seeded_bucket, seeded_hash60
 
 EULER = 0.5772156649015329
@@ -158,4 +159,4 @@ def remove_outliers(df: DataFrame, cols, key: str = "_row_id", contamination: fl
                        F.count(F.lit(1)).alias("n")).first()
     kept = scored.where(F.col(SCORE_COL) <= F.lit(stats["cut"])).drop(SCORE_COL)
     n_kept = kept.count()
-    return kept, int(stats["n"] - n_kept)
+    return remember(kept, scored, df), int(stats["n"] - n_kept)

@@ -15,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cache import remember
 from ..functions.hashing import seeded_bucket, seeded_hash60
 
 # The offsets table has one row per (range partition, group); it is broadcast
@@ -80,7 +81,7 @@ def rank_within_groups(df: DataFrame, group_cols, order_col: str, num_partitions
                         F.col("o._gsize").alias(size_col or "_gsize"))
     if size_col is None:
         out = out.drop("_gsize")
-    return out
+    return remember(out, ranged)
 
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.3, seed: int = 42,
@@ -100,7 +101,8 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.3, seed: int
     groups = [stratify] if stratify else []
     ranked = rank_within_groups(df.withColumn("_h", h), groups, "_h", num_partitions)
     n_test = F.ceil(F.col("_group_size") * F.lit(test_size))
-    return ranked.withColumn(split_col, F.col("_rank") < n_test).drop("_h", "_rank", "_group_size")
+    return remember(ranked.withColumn(split_col, F.col("_rank") < n_test).drop("_h", "_rank", "_group_size"),
+                    ranked)
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify: str | None = None,
@@ -112,7 +114,8 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, stratify:
         return df.withColumn(fold_col, F.pmod(seeded_bucket(seed, F.col(key)), F.lit(k)).cast("int"))
     ranked = rank_within_groups(df.withColumn("_h", seeded_hash60(seed, F.col(key))), [stratify], "_h",
                                 num_partitions, size_col=None)
-    return ranked.withColumn(fold_col, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_h", "_rank")
+    return remember(ranked.withColumn(fold_col, F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_h", "_rank"),
+                    ranked)
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
@@ -150,4 +153,4 @@ def upsample_minority(df: DataFrame, label: str, key: str, seed: int = 42,
     side = F.broadcast(pos) if m <= broadcast_rows else pos
     picked = draws.join(side, "_rank").select(*df.columns)
     out = majority.unionByName(picked)
-    return out.coalesce(partitions_for(2 * big)), True
+    return remember(out.coalesce(partitions_for(2 * big)), pos, df), True

@@ -200,6 +200,7 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     # explicit row key; the input is cached now, so the one statistics job
     # below is the only full read of the source
     df = row_key(df, key, KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    source = df
     cands = TG.id_candidates([c for c in df.columns if c not in (target, KEY)], target)
     with _timed(report, "input_stats"):
         st = TG.input_stats(df, target, cands)
@@ -284,8 +285,18 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
             train = train.withColumn(LABEL, F.element_at(remap, F.col(LABEL)))
             test = test.withColumn(LABEL, F.element_at(remap, F.col(LABEL)))
         n_classes = len(present)
-    train = train.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    # cut the lineage here: the prepared parts are written to the cluster's
+    # shared checkpoint folder, so a lost executor never replays the range
+    # shuffles, the forest scoring or the bootstrap join; then every cache
+    # taken on the way is released
+    from ..functions.cache import release
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    with _timed(report, "checkpoint"):
+        train_c = train.coalesce(parts).checkpoint(eager=True)
+        test_c = test.coalesce(parts).checkpoint(eager=True)
+    release(train, test, split, df, source)
+    train, test = train_c, test_c
     with _timed(report, "train_stats"):
         stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
     with _timed(report, "feature_pipeline_fit"):
