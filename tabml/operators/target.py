@@ -143,17 +143,11 @@ MAX_CLASSES = 1000
 
 
 def encode_label_table(df: DataFrame, target: str, out_col: str = "label") -> DataFrame:
-    """C5 as a pure plan (no collect): dense rank of the class value.  Ranks
-    are computed over the distinct classes (a small aggregate), then joined
-    back by broadcast."""
-    dt = df.schema[target].dataType
-    numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
-    key = F.col(target).cast("double") if numeric else F.col(target).cast("string")
-    classes = df.select(key.alias("_cls")).where(F.col("_cls").isNotNull()).distinct()
-    from pyspark.sql import Window
-    ranked = classes.withColumn("_code", (F.row_number().over(Window.orderBy("_cls")) - 1).cast("bigint"))
-    return df.withColumn("_cls", key).join(F.broadcast(ranked), "_cls", "left") \
-        .withColumnRenamed("_code", out_col).drop("_cls")
+    """C5 as a table: the class code (0..k-1, classes sorted as numbers or as
+    text) next to every row.  The class list is a checked, bounded aggregate
+    (``fit_label_map``); the codes are a map lookup in a projection."""
+    lm = fit_label_map(df, target)
+    return lm.encode(df, out_col).withColumn(out_col, F.col(out_col).cast("bigint"))
 
 
 def drop_id_columns(df: DataFrame, target: str | None = None, keep=()) -> tuple[DataFrame, list[str]]:

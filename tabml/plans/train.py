@@ -147,10 +147,14 @@ def cross_validate(fr: FitResult, name: str, params: dict | None = None):
 
 
 def compare_models(fr: FitResult, names: list[str] | None = None, params: dict | None = None,
-                   parallelism: int = 1):
+                   parallelism: int = 3):
     """fit every chosen model with default settings on the one cached
     train/test pair; metrics rounded to 4 decimals; a failing model is
-    reported and skipped.  Returns (leaderboard DataFrame, errors)."""
+    reported and skipped.  Returns (leaderboard DataFrame, errors).
+
+    Models are fitted from ``parallelism`` driver threads: each fit is a
+    sequence of distributed jobs, and running a few at once keeps the
+    cluster busy while one model waits on its driver-side steps."""
     names = names or (CLASSIFIERS if fr.task == CLASSIFICATION else REGRESSORS)
     params = params or {}
     rows, errors = [], {}
