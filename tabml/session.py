@@ -58,3 +58,28 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession, root: str | None = None, packages=("tabml",)) -> None:
+    """Send the library's source to every executor (``addPyFile``), so Python
+    tasks (mapInPandas, applyInPandas, pandas UDFs) can import it wherever
+    the driver was started.  Done once per SparkContext."""
+    import os
+    import zipfile
+    key = (id(spark.sparkContext), tuple(packages))
+    if key in _SHIPPED:
+        return
+    root = root or os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tabml-pyfiles-"), "tabml_bundle.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for pkg in packages:
+            for base, _, files in os.walk(os.path.join(root, pkg)):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(key)
