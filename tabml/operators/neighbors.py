@@ -26,6 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cache import remember
 from ..session import shared_dir
 
 BLOCK_ROWS = 2048
@@ -178,7 +179,8 @@ class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defa
         cands = knn_candidates(q, refs, self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
                                n_q=keyed.count(), n_r=self.getOrDefault(self.nTrain))
         pred = knn_predict(cands, self.getOrDefault(self.task))
-        return keyed.join(pred, "_qid", "left").withColumnRenamed("_pred", self.getPredictionCol()).drop("_qid")
+        out = keyed.join(pred, "_qid", "left").withColumnRenamed("_pred", self.getPredictionCol()).drop("_qid")
+        return remember(out, keyed)
 
 
 # ---------------------------------------------------------------------- D3
@@ -294,4 +296,5 @@ class KnnImputerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsW
         fixed = joined.withColumns({
             c: F.coalesce(F.col(c).cast("double"), F.element_at(F.col("_m"), F.lit(j)), F.lit(means[j]))
             for j, c in enumerate(cols)}).drop("_qid", "_m")
-        return complete.withColumns({c: F.col(c).cast("double") for c in cols}).unionByName(fixed)
+        out = complete.withColumns({c: F.col(c).cast("double") for c in cols}).unionByName(fixed)
+        return remember(out, recv)

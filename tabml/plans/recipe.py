@@ -301,8 +301,26 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
         stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("s")).first()
     with _timed(report, "feature_pipeline_fit"):
         feature_model, names, _ = build_feature_pipeline(train, numeric, categorical, other, recipe, task)
-    train_t = feature_model.transform(train).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    test_t = feature_model.transform(test).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    from ..functions.cache import held
+
+    def staged(frame):
+        """Apply the fitted stages one by one, collecting the caches they take."""
+        taken = []
+        for stage in feature_model.stages:
+            frame = stage.transform(frame)
+            taken += held(frame)
+        return frame, taken
+
+    train_full, train_caches = staged(train)
+    test_full, test_caches = staged(test)
+    train_t = train_full.select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    test_t = test_full.select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    # materialise both, then drop the caches the stages took on the way
+    # (e.g. the imputer's rows with gaps)
+    with _timed(report, "materialise"):
+        train_t.count()
+        test_t.count()
+    release(*train_caches, *test_caches)
     # Nothing missing may reach the model (the assembler would fail on a
     # null feature; the label is checked here)
     with _timed(report, "transform_validate"):
