@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,13 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is; leaving it unset there is an error, as executors cannot read a folder of the
+    driver's machine.  Only a local session (tests) gets a scratch folder.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = current.get() if current.isDefined() else None
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tabml-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     spark.sparkContext.setCheckpointDir(current)
@@ -66,14 +70,13 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession, root: str | None = None, packages=("tabml",)) -> None:
     """Send the library's source to every executor (``addPyFile``), so Python
     tasks (mapInPandas, applyInPandas, pandas UDFs) can import it wherever
-    the driver was started.  Done once per SparkContext."""
-    import os
-    import zipfile
-    key = (id(spark.sparkContext), tuple(packages))
+    the driver was started.  Done once per application and set of packages."""
+    key = (spark.sparkContext.applicationId, tuple(packages))
     if key in _SHIPPED:
         return
     root = root or os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tabml-pyfiles-"), "tabml_bundle.zip")
+    name = f"{'_'.join(packages)}_{spark.sparkContext.applicationId}.zip"
+    path = os.path.join(tempfile.mkdtemp(prefix="tabml-pyfiles-"), name)
     with zipfile.ZipFile(path, "w") as z:
         for pkg in packages:
             for base, _, files in os.walk(os.path.join(root, pkg)):
