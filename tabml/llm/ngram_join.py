@@ -13,7 +13,7 @@ the global order of n-grams.  Documents of equal sets are one node.
    holds n-grams from all over the text.
 2. *Candidate parts.*  Sets that meet are chained, not paired; the parts of this graph (connected
    components) hold every link.
-3. *Overlaps.*  The texts of each part meet in one task, or, above ``PART_SHINGLES``, in
+3. *Overlaps.*  The texts of each part meet in one task, or, above ``PART_WEIGHT``, in
    one task per pair of blocks of compatible sizes.  There the shared n-grams are cut into
    fragments again, partial overlaps of all pairs are counted per fragment as a matrix product
    and summed per pair.  Only the links' forest and each set's number of links leave the task.
@@ -42,8 +42,10 @@ from .words import LOWER, SPACE, grams, mix, slices, whole
 
 #: Growth of the size classes.
 CLASS_RATIO = 1.6
-#: Shingles of a candidate part (or a block of it) that are compared in one task.
-PART_SHINGLES = 1_000_000
+#: Weight of a candidate part (or of two blocks of it) that is compared in one task: its shingles,
+#: and ``SET_WEIGHT`` for each set, which bounds the matrix of pairs too.
+PART_WEIGHT = 800_000
+SET_WEIGHT = 500
 #: Signatures gathered in a task before they are sent on.
 FLUSH = 1_000_000
 #: Cells of an overlap fragment's matrix.
@@ -328,19 +330,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _places(cand: DataFrame, rule: Rule) -> DataFrame:
-    """In which tasks each candidate set is compared: parts up to ``PART_SHINGLES`` are dealt whole
+    """In which tasks each candidate set is compared: parts up to ``PART_WEIGHT`` are dealt whole
     to shared tasks; larger ones are cut by size and hash into blocks, a task per pair of
     blocks of compatible sizes."""
-    total = cand.groupBy("super").agg(F.sum("n").alias("weight"))
-    small = total.where(F.col("weight") <= PART_SHINGLES)
+    cost = F.col("n") + SET_WEIGHT
+    total = cand.groupBy("super").agg(F.sum(cost).alias("weight"))
+    small = total.where(F.col("weight") <= PART_WEIGHT)
     amount = small.agg(F.sum("weight")).first()[0] or 0
-    tasks = max(1, -(-amount // (PART_SHINGLES // 2)), cand.sparkSession.sparkContext.defaultParallelism * (amount > 0))
+    tasks = max(1, -(-amount // (PART_WEIGHT // 2)), cand.sparkSession.sparkContext.defaultParallelism * (amount > 0))
     whole_parts = cand.join(small, "super").select(
         "key", "set", "copies", F.pmod(F.xxhash64("super"), F.lit(tasks)).alias("task"), F.col("super").alias("part"), F.lit(0).alias("side"))
-    big = cand.join(total.where(F.col("weight") > PART_SHINGLES).select("super"), "super").withColumn(
+    big = cand.join(total.where(F.col("weight") > PART_WEIGHT).select("super"), "super").withColumn(
         "band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.1)))
     bands = big.groupBy("super", "band").agg(
-        F.ceil(F.sum("n") / (PART_SHINGLES // 2)).alias("cuts"), F.min("n").alias("least"), F.max("n").alias("most"))
+        F.ceil(F.sum(cost) / (PART_WEIGHT // 2)).alias("cuts"), F.min("n").alias("least"), F.max("n").alias("most"))
     big = big.join(bands.select("super", "band", "cuts"), ["super", "band"]).withColumn("cut", F.pmod(F.xxhash64("set"), F.col("cuts")))
     blocks = bands.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
     one = blocks.select("super", F.col("band").alias("band1"), F.col("cut").alias("cut1"), F.col("most").alias("most1"))

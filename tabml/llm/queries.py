@@ -6,22 +6,37 @@ contract columns are derived from the operator's real outputs.
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join
+from . import decontaminate, ngram_join, quality, suffix_dedup, toxicity
 from .frames import table
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark, sf_dir):
     return ngram_join.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op7_quality": op7_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
 
@@ -81,3 +96,28 @@ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
 degree AS (SELECT a, count(*) AS k FROM link GROUP BY a)
 SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(comp.c, doc.doc_id) AS component_id, coalesce(degree.k, 0) AS n_links
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN comp ON comp.a = doc.doc_id LEFT JOIN degree ON degree.a = doc.doc_id"""
+
+ORACLE["op2_suffix_dedup"] = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents)),
+word AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM doc WHERE len(w) >= 50),
+win AS (
+  SELECT doc_id, pos, md5(array_to_string(f, ' ')) AS h
+  FROM (SELECT doc_id, n, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS f FROM word)
+  WHERE pos + 50 <= n),
+met AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY h) AS c, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, pos) AS k
+  FROM win),
+part AS (
+  SELECT DISTINCT doc_id, 'r' AS kind, unnest(range(pos, pos + 50)) AS p FROM met WHERE c > 1
+  UNION ALL SELECT DISTINCT doc_id, 'c', unnest(range(pos, pos + 50)) FROM met WHERE k > 1),
+island AS (
+  SELECT doc_id, kind, min(p) AS a, max(p) + 1 AS z
+  FROM (SELECT doc_id, kind, p, p - row_number() OVER (PARTITION BY doc_id, kind ORDER BY p) AS g FROM part)
+  GROUP BY doc_id, kind, g)
+SELECT doc_id, CAST(sum(z - a) FILTER (kind = 'r') AS BIGINT) AS n_repeated,
+  CAST(coalesce(sum(z - a) FILTER (kind = 'c'), 0) AS BIGINT) AS n_cut,
+  string_agg(a || '-' || z, ',' ORDER BY a) FILTER (kind = 'r') AS repeated_spans,
+  coalesce(string_agg(a || '-' || z, ',' ORDER BY a) FILTER (kind = 'c'), '') AS cut_spans
+FROM island GROUP BY doc_id"""
