@@ -6,12 +6,22 @@ contract columns are derived from the operator's real outputs.
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, quality, suffix_dedup, toxicity
+import public_tokenizers
+
+from . import chat, decontaminate, language, nearest, ngram_join, quality, sentencepieces, sharding, suffix_dedup, toxicity
 from .frames import table
 
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The tokenizer of op4 and of the pipeline.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sharding(spark, sf_dir):
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -20,10 +30,26 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return sentencepieces.digest(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_language(spark, sf_dir):
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark, sf_dir):
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nearest(spark, sf_dir):
+    return nearest.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,9 +59,14 @@ def op10_ngram_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_language": op5_language,
+    "op6_chat": op6_chat,
     "op7_quality": op7_quality,
+    "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
 }
