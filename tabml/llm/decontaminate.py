@@ -262,7 +262,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     verdict = F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), spans.alias("hit_spans"),
                        F.col("__hits.items").alias("items"),
                        ((n_hit > 0) & (n_hit * share >= n_words)).alias("contaminated"))
-    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], verdict.alias(out))
+    return df.select(*[f"c{i}" for i in range(len(names))], verdict.alias("verdict")).toDF(*names, out)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
