@@ -111,8 +111,11 @@ class Reference:
         # symbol 0: letters that the reference does not have
         self.name, self.known = name, np.sort(known)
         self.size = max(2, len(codes))
-        self.table = automaton(self.symbols(codes).tolist(), SYMBOLS)
+        table = automaton(self.symbols(codes).tolist(), SYMBOLS)
+        # a letter that the reference does not have is a phrase by itself: a state that nothing follows
+        self.table = np.concatenate([table, np.zeros((1, SYMBOLS), np.int32)])
         self.table[:, 0] = 0
+        self.table[0, 0] = len(table)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1) if len(self.known) else np.zeros(len(codes), np.int64)

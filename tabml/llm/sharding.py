@@ -65,8 +65,8 @@ def _ranked(df: DataFrame, part: str, rows: int, by_group: bool) -> DataFrame:
             .drop("b1", "b2", "w0", "w1", "c0", "c1"))
 
 
-def _round(labels: DataFrame, capacity: float, shards: int) -> DataFrame:
-    """One round of propagation: ``labels`` with new shards and a column ``moved``."""
+def _round(labels: DataFrame, capacity: float, shards: int, number: int) -> DataFrame:
+    """Round ``number`` of propagation: ``labels`` with new shards and a column ``wished``."""
     counts = labels.groupBy("grp", "shard").agg(F.sum("weight").alias("w"))
     used = F.broadcast(counts.groupBy("shard").agg(F.sum("w").alias("used")))
     room = F.broadcast(labels.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(used, "shard", "left")
@@ -95,9 +95,10 @@ def _round(labels: DataFrame, capacity: float, shards: int) -> DataFrame:
     admitted = (cells.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0))).join(quota, ["shard", "target"])
                 .withColumn("part", (F.col("quota") - F.col("before")) / F.col("w")).where("part > 0").select("shard", "target", "gain", "cell", "part"))
     allowed = wishes.join(admitted, ["shard", "target", "gain", "cell"]).select("grp", "shard", "target", "part")
-    moved = F.coalesce(_fraction("key", "copy", F.lit("move")) < F.col("part"), F.lit(False))
+    moved = F.coalesce(_fraction("key", "copy", F.lit(number)) < F.col("part"), F.lit(False))
     return (labels.join(allowed, ["grp", "shard"], "left")
-            .select("key", "copy", "grp", "weight", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"), moved.alias("moved")))
+            .select("key", "copy", "grp", "weight", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
+                    F.col("part").isNotNull().alias("wished")))
 
 
 def balanced_shards(nodes: DataFrame, shards: int = SHARDS, law: str = "rows", rounds: int = ROUNDS) -> DataFrame:
@@ -112,10 +113,10 @@ def balanced_shards(nodes: DataFrame, shards: int = SHARDS, law: str = "rows", r
     edges = [total * s // shards for s in range(shards + 1)]
     linked = nodes.join(groups, "grp", "left_semi").withColumn("shard", F.floor(_fraction("key", "copy", F.lit("start")) * shards).cast("int"))
     labels = stored(linked.select("key", "copy", "grp", "weight", "shard"), "shard-labels")
-    for _ in range(rounds if total else 0):
-        done = stored(_round(labels, total / shards, shards), "shard-labels")
-        labels = done.drop("moved")
-        if done.where("moved").isEmpty():
+    for number in range(rounds if total else 0):
+        done = stored(_round(labels, total / shards, shards, number), "shard-labels")
+        labels = done.drop("wished")
+        if done.where("wished").isEmpty():
             break
     wanted = F.element_at(F.array(*[F.lit(edges[s + 1] - edges[s]).cast("long") for s in range(shards)]), F.col("shard") + 1)
     placed = stored(_ranked(labels, "shard", rows, True).withColumn("kept", F.col("before") < wanted), "shard-ranks")
