@@ -3,14 +3,16 @@
 A document's set holds its distinct n-word shingles as 64-bit hashes; the hash order is
 the global order of n-grams.  Documents of equal sets are one node.
 
-1. *Fragments.*  The order is cut into ``m`` fragments and a set into its segments.  Two
-   sets that link differ in at most ``D`` n-grams (``D`` follows from the smaller size), so
-   with ``m > D`` at least ``m - D`` segments are equal in both.  A set is cut once for its
-   size class and once for each smaller class in reach, so partners are cut alike.  Every
-   non-empty segment is sent to the task of its signature; ``m`` has ``E`` fragments more
-   than ``D + 1``, and a set with over ``E`` empty segments sends those too, so two linked
-   sets always meet.  Shared passages do not bring documents together: a segment
-   holds n-grams from all over the text.
+1. *Fragments.*  The order is cut into fragments and a set into its segments.  Two sets that link
+   differ in at most ``D`` n-grams (``D`` follows from the smaller size), hence in at most ``D``
+   fragments.  The fragments come in ``G`` groups of four; were at most two of each
+   group's segments equal, over ``D`` would differ once ``G > D / 2``, so some group has three equal
+   ones.  The four triples of each group are sent to the task of their hash, and linked
+   sets meet there.  Three segments hold about eight n-grams from all over the text, so a shared
+   passage or a frequent n-gram does not bring documents together.  Triples of fewer
+   than two n-grams are not sent: ``G`` has ``E`` groups more than needed, and a set with more than
+   ``E`` groups that hold such triples sends all.  A set is cut once for its size class and once for
+   each smaller class in reach, so partners are cut alike.
 2. *Candidate parts.*  Sets that meet are chained, not paired; the parts of this graph (connected
    components) hold every link.
 3. *Overlaps.*  The texts of each part meet in one task, or, above ``PART_WEIGHT``, in
@@ -19,7 +21,7 @@ the global order of n-grams.  Documents of equal sets are one node.
    and summed per pair.  Only the links' forest and each set's number of links leave the task.
 
 No pair of documents becomes a row, nothing is sampled or capped, and the shuffled bytes
-follow the input: signatures (about a third of the n-grams), the texts once, and
+follow the input: signatures (a little over half of the n-grams), the texts once, and
 the texts of candidate parts once more (more often only within parts above the bound).
 
 Defined cases: a text of fewer than ``n`` words is one shingle of all its words; a text
@@ -41,7 +43,7 @@ from .frames import ready, row_key, shuffle_parts, stored
 from .words import LOWER, SPACE, grams, mix, slices, whole
 
 #: Growth of the size classes.
-CLASS_RATIO = 1.6
+CLASS_RATIO = 1.4
 #: Weight of a candidate part (or of two blocks of it) that is compared in one task: its shingles,
 #: and ``SET_WEIGHT`` for each set, which bounds the matrix of pairs too.
 PART_WEIGHT = 800_000
@@ -62,10 +64,13 @@ class Rule:
             low.append(max(low[-1] + 1, int(low[-1] * CLASS_RATIO)))
         self.low = np.array(low, np.int64)
         most = self.low[1:] - 1
-        differ = most * (den - num) // num + 1
-        empty = differ * np.exp(-self.low[:-1] / differ)
-        self.spare = np.ceil(empty + 3 * np.sqrt(empty) + 1).astype(np.int64)
-        self.cuts = differ + self.spare
+        #: most n-grams in which linked sets differ, the smaller one being of the class
+        self.differ = most * (den - num) // num
+        need = self.differ // 2 + 1
+        mean = 0.75 * self.low[:-1] / need
+        weak = 4 * need * np.exp(-mean) * (1 + mean)
+        self.spare = np.where(need < 8, 0, np.ceil(weak + 3 * np.sqrt(weak))).astype(np.int64)
+        self.groups = need + self.spare
 
     def classes(self, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, class) pairs: each size under its own class and the smaller ones that
@@ -118,30 +123,36 @@ def set_ids(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(flat: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of every segment that is sent."""
+    """(signature, row) of every triple of segments that is sent."""
     n = np.diff(bounds)
     top, mixed = flat >> np.uint64(32), mix(flat)
-    sent, owners = [], []
+    sent, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for rows, k in rule.classes(n):
-        m = rule.cuts[k]
-        sizes = n[rows]
+        some = rule.differ[k] > 0  # else only equal sets link
+        rows, k = rows[some], k[some]
+        if not len(rows):
+            continue
+        m, sizes = 4 * rule.groups[k], n[rows]
+        first = np.cumsum(m) - m
         owner = np.repeat(np.arange(len(rows)), sizes)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[rows], sizes)
-        fragment = (top[at] * m[owner].astype(np.uint64)) >> np.uint64(32)
-        place = owner.astype(np.uint64) << np.uint64(40) | fragment
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        total = np.add.reduceat(mixed[at], first)
-        label = (k[owner[first]].astype(np.uint64) << np.uint64(48)) + fragment[first]
-        sent.append(mix(total + mix(label)))
-        owners.append(rows[owner[first]])
-        filled = np.bincount(owner[first], minlength=len(rows))
-        for r in np.flatnonzero(m - filled > rule.spare[k]):
-            has = np.zeros(m[r], bool)
-            has[fragment[first][owner[first] == r].astype(np.int64)] = True
-            label = (k[r].astype(np.uint64) << np.uint64(48)) + np.flatnonzero(~has).astype(np.uint64)
-            sent.append(mix(mix(label)))
-            owners.append(np.full(len(label), rows[r]))
-    return (np.concatenate(sent), np.concatenate(owners)) if sent else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        place = first[owner] + ((top[at] * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        total = np.zeros(int(m.sum()), np.uint64)
+        total[place[new]] = np.add.reduceat(mixed[at], new)
+        held = np.bincount(place, minlength=len(total))
+        of = np.repeat(np.arange(len(rows)), m)
+        label = (k[of].astype(np.uint64) << np.uint64(48)) + (np.arange(len(total)) - first[of]).astype(np.uint64)
+        segment = mix(total ^ mix(label)).reshape(-1, 4)
+        held = held.reshape(-1, 4)
+        triple = mix(segment.sum(1, keepdims=True) - segment)
+        weak = held.sum(1, keepdims=True) - held < 2
+        of = of[::4]
+        every = np.bincount(of, weak.any(1), len(rows)) > rule.spare[k]
+        send = ~weak | every[of][:, None]
+        sent.append(triple[send])
+        owners.append(np.broadcast_to(rows[of][:, None], send.shape)[send])
+    return np.concatenate(sent), np.concatenate(owners)
 
 
 SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sig", T.BinaryType()),
