@@ -54,7 +54,7 @@ VIEW_SQL = {
         "SELECT p_partkey, p_name, p_brand, p_type, "
         "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS p_size, "
         "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice "
-        "FROM part WHERE p_partkey <= 500"),
+        "FROM part"),
     "pred_class": (
         f"SELECT {LINEITEM_KEY} AS row_id, l_returnflag AS label, "
         f"CASE WHEN {sql_md5_bucket(LINEITEM_KEY)} % 10 < 2 THEN 'N' ELSE l_returnflag END AS prediction "

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,25 +70,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
-_BAD = re.compile(r"[^A-Za-z0-9_]+")
+_KEPT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
 def sanitize_names(names, number_collisions: bool = True) -> list[str]:
-    """Keep only [A-Za-z0-9_], prefix ``feature_`` before a leading digit,
-    ``feature_i`` when nothing readable is left.  Collisions get ``_2``, ``_3``."""
-    out, seen = [], {}
-    for i, name in enumerate(names):
-        clean = _BAD.sub("", str(name))
-        if re.match(r"^\d", clean):
-            clean = "feature_" + clean
-        if not clean:
-            clean = f"feature_{i}"
-        if number_collisions:
-            base, n = clean, seen.get(clean, 0)
-            while clean in seen:
-                n += 1
-                clean = f"{base}_{n + 1}"
-            seen[base] = n
-        seen.setdefault(clean, 0)
-        out.append(clean)
+    """Names of ASCII letters, digits and underscores that do not begin with a digit.
+
+    Other characters vanish; what is left empty is named by its place, and a leading digit gets
+    the word ``feature_`` before it.  A name that is taken is counted up: ``_2``, ``_3``."""
+    taken: set = set()
+
+    def spelled(place, name):
+        kept = "".join(ch for ch in str(name) if ch in _KEPT)
+        return f"feature_{kept or place}" if not kept or kept[0].isdigit() else kept
+
+    def free(base):
+        ways = (base if n == 1 else f"{base}_{n}" for n in range(1, len(taken) + 2))
+        return next(w for w in ways if w not in taken) if number_collisions else base
+
+    out = []
+    for place, name in enumerate(names):
+        out.append(free(spelled(place, name)))
+        taken.add(out[-1])
     return out

@@ -3,18 +3,15 @@ over the whole table, then a free unpivot of the single result row."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import (column_roles, datetime_columns, is_datetime,
                                  numeric_columns, string_columns)
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import column_quantiles, quantiles_of_counts, value_counts
 from ..functions.stack import unpivot_wide
 
-# Above this many rows, quantiles and distinct counts switch to the
-# sketch-based aggregates (bounded memory per group); below it they are exact.
-EXACT_ROW_LIMIT = 5_000_000
 QUANTILE_ACCURACY = 10_000
 
 
@@ -27,32 +24,6 @@ def _as_double(c: str):
     return F.col(c).cast("double")
 
 
-def _use_exact(df: DataFrame, approx) -> bool:
-    if approx is None:
-        return df.limit(EXACT_ROW_LIMIT + 1).count() <= EXACT_ROW_LIMIT
-    return not approx
-
-
-def _quantile_plan(df: DataFrame, approx) -> str:
-    """'percentile' (Spark's exact aggregate: one task merges every distinct
-    value, so only below EXACT_ROW_LIMIT rows), 'order_stats' (exact and
-    distributed, for larger tables) or 'sketch' (approx=True, or approx=None
-    on a large table)."""
-    if approx is True:
-        return "sketch"
-    small = df.limit(EXACT_ROW_LIMIT + 1).count() <= EXACT_ROW_LIMIT
-    if small:
-        return "percentile"
-    return "sketch" if approx is None else "order_stats"
-
-
-def _quantiles(col, probs, exact: bool):
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if exact:
-        return F.percentile(col, arr)
-    return F.percentile_approx(col, arr, QUANTILE_ACCURACY)
-
-
 def column_summary(df: DataFrame) -> DataFrame:
     """B1 (df.info): column, dtype, non_null, in schema order (position)."""
     cols = df.columns
@@ -106,26 +77,22 @@ def histograms(df: DataFrame, cols=None, bins: int = 30) -> DataFrame:
         F.col("n").cast("bigint").alias("n"))
 
 
-def box_stats(df: DataFrame, cols=None, approx: bool | None = False) -> DataFrame:
+def box_stats(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """Min, q1, median, q3, max, whiskers (furthest values within 1.5 IQR)
     and outlier count per numeric column.  Two aggregate jobs in total.
 
-    ``approx=False`` uses exact linear-interpolated percentiles (the
-    reference's definition); ``approx=True`` the bounded-memory sketch;
-    ``None`` picks exact only below ``EXACT_ROW_LIMIT`` rows.
+    Exact linear-interpolated percentiles (the reference's definition), or the
+    bounded-memory sketch with ``approx=True``.
     """
     cols = _numeric(df, cols)
-    plan = _quantile_plan(df, approx)
+    quartiles = column_quantiles(df, cols, [0.25, 0.5, 0.75], approx, QUANTILE_ACCURACY)
     aggs = []
     for c in cols:
         x = _as_double(c)
         aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-        if plan != "order_stats":
-            aggs.append(_quantiles(x, [0.25, 0.5, 0.75], plan == "percentile").alias(f"{c}__q"))
     first = df.agg(*aggs).first().asDict()
-    if plan == "order_stats":
-        for c, qs in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).items():
-            first[f"{c}__q"] = None if qs[0] is None else qs
+    for c, qs in quartiles.items():
+        first[f"{c}__q"] = None if not qs or qs[0] is None else qs
     fences = {}
     for c in cols:
         qs = first[f"{c}__q"]
@@ -160,12 +127,15 @@ def box_stats(df: DataFrame, cols=None, approx: bool | None = False) -> DataFram
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """Pearson r for every ordered pair of numeric columns (booleans as
     0/1), pairwise complete; a constant column gives null.  All pairs in one
-    aggregate job (each ``corr`` is a declarative partial aggregate)."""
+    aggregate job (declarative partial aggregates)."""
     cols = _numeric(df, cols)
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            aggs.append(F.corr(_as_double(a), _as_double(b)).alias(f"{a}\u0001{b}"))
+            x, y = _as_double(a), _as_double(b)
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+            aggs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"{a}\u0001{b}"))
     row = df.agg(*aggs).first() if aggs else None
     out = []
     for i, a in enumerate(cols):
@@ -202,42 +172,41 @@ def profile_overview(df: DataFrame) -> DataFrame:
         F.lit(len(roles["other"])).cast("bigint").alias("n_other"))
 
 
-def profile_numeric(df: DataFrame, cols=None, approx: bool | None = False) -> DataFrame:
+def profile_numeric(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """Distinct, missing, mean, sample std, min, 5 quantiles, max,
     zeros, negatives, skewness, kurtosis (Spark's population moments, excess
     kurtosis) per numeric column.
 
-    Two aggregate jobs over the table: the distinct counts on their own (a
-    distinct aggregate would otherwise force every other aggregate through
-    Spark's Expand rewrite, several times slower), and everything else in
-    one wide aggregate.  The single result rows are unpivoted on the driver.
+    One shuffle of (column, value) counts gives the distinct counts and the exact
+    quantiles (``approx=True``: sketches instead); one wide aggregate gives the rest.
     """
     cols = _numeric(df, cols)
-    plan = _quantile_plan(df, approx)
-    distinct = (F.approx_count_distinct if plan == "sketch" else F.count_distinct)
-    d_row = df.agg(*[distinct(_as_double(c)).alias(c) for c in cols]).first()
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    if approx:
+        d_row = df.agg(*[F.approx_count_distinct(_as_double(c)).alias(c) for c in cols]).first().asDict()
+        quantiles = column_quantiles(df, cols, probs, True, QUANTILE_ACCURACY)
+    else:
+        counts = value_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+        d_row = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+        quantiles = quantiles_of_counts(counts, probs)
+        counts.unpersist()
     aggs = []
     for c in cols:
         x = _as_double(c)
+        varies = F.max(x) > F.min(x)
         aggs += [
             F.sum(x.isNull().cast("long")).alias(f"{c}__missing"),
             F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
             F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-            (F.lit(None).cast("array<double>") if plan == "order_stats"
-             else _quantiles(x, probs, plan == "percentile")).alias(f"{c}__qs"),
             F.sum((x == 0).cast("long")).alias(f"{c}__zeros"),
             F.sum((x < 0).cast("long")).alias(f"{c}__negatives"),
-            F.skewness(x).alias(f"{c}__skewness"), F.kurtosis(x).alias(f"{c}__kurtosis"),
+            F.when(varies, F.skewness(x)).alias(f"{c}__skewness"), F.when(varies, F.kurtosis(x)).alias(f"{c}__kurtosis"),
         ]
     row = df.agg(*aggs).first().asDict()
-    if plan == "order_stats":
-        for c, qs in exact_quantiles(df, cols, probs).items():
-            row[f"{c}__qs"] = qs
     out = []
     for c in cols:
-        qs = row[f"{c}__qs"] or [None] * 5
-        out.append((c, int(d_row[c] or 0), int(row[f"{c}__missing"] or 0), row[f"{c}__mean"], row[f"{c}__std"],
+        qs = quantiles.get(c) or [None] * 5
+        out.append((c, int(d_row.get(c) or 0), int(row[f"{c}__missing"] or 0), row[f"{c}__mean"], row[f"{c}__std"],
                     row[f"{c}__min"], *qs, row[f"{c}__max"], int(row[f"{c}__zeros"] or 0),
                     int(row[f"{c}__negatives"] or 0), row[f"{c}__skewness"], row[f"{c}__kurtosis"]))
     return df.sparkSession.createDataFrame(
@@ -282,7 +251,7 @@ def profile_categorical(df: DataFrame, cols=None) -> DataFrame:
     return out
 
 
-def profile(df: DataFrame, approx: bool | None = False) -> dict[str, DataFrame]:
+def profile(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
     """The three profile tables."""
     return {"overview": profile_overview(df),
             "numeric": profile_numeric(df, approx=approx),

@@ -56,7 +56,7 @@ def synthetic_signal(df: DataFrame, source_col: str | None, seed: int = 42,
                      noise: float = 0.01, numeric_cols=None) -> DataFrame:
     """D2 (demo leak feature, off by default).  Training: ``source_col`` (the
     encoded target) + N(0, noise).  Scoring (``source_col=None``): row mean of
-    the numeric columns that are not null, or 0.5 when there are none."""
+    the numeric columns that are not null, or 0.5 where there are none."""
     eps = F.randn(seed) * F.lit(noise) if noise else F.lit(0.0)
     if source_col is not None:
         return df.withColumn(SYNTHETIC, F.col(source_col).cast("double") + eps)
@@ -65,7 +65,7 @@ def synthetic_signal(df: DataFrame, source_col: str | None, seed: int = 42,
         return df.withColumn(SYNTHETIC, F.lit(0.5) + eps)
     total = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols), F.lit(0.0))
     present = sum((F.col(c).isNotNull().cast("double") for c in cols), F.lit(0.0))
-    return df.withColumn(SYNTHETIC, total / F.nullif(present, F.lit(0.0)) + eps)
+    return df.withColumn(SYNTHETIC, F.coalesce(F.try_divide(total, present), F.lit(0.5)) + eps)
 
 
 def polynomial_names(cols) -> list[tuple[str, object]]:
@@ -111,38 +111,48 @@ def standard_scale(df: DataFrame, cols) -> DataFrame:
 def f_classif_scores(df: DataFrame, cols, label: str) -> DataFrame:
     """One-way ANOVA F of every feature against the class label.
 
-    One ``groupBy(label)`` with count / sum / sum of squares per feature (a
-    partial aggregate: one row per class leaves each task), then the F
-    statistic is computed on the tiny per-class table.  Rows with a null
+    One ``groupBy(label)`` with count, mean and variance per feature (a
+    partial aggregate: one row per class leaves each task); sums of squares
+    come from centred means, so a large offset costs no digits.  A constant feature has no
+    score, one that separates the classes without spread has infinity.  Rows with a null
     feature value are left out of that feature's test."""
+    from pyspark.sql import Window
     per_class = df.groupBy(label).agg(
         *[F.count(F.col(c)).alias(f"{c}__n") for c in cols],
-        *[F.sum(F.col(c).cast("double")).alias(f"{c}__s") for c in cols],
-        *[F.sum(F.col(c).cast("double") ** 2).alias(f"{c}__q") for c in cols])
+        *[F.avg(F.col(c).cast("double")).alias(f"{c}__m") for c in cols],
+        *[F.var_pop(F.col(c).cast("double")).alias(f"{c}__v") for c in cols])
+    # over one row per class
+    every = Window.partitionBy(F.lit(0))
+    centred = per_class.select("*", *[
+        F.try_divide(F.sum(F.col(f"{c}__n") * F.col(f"{c}__m")).over(every), F.sum(f"{c}__n").over(every)).alias(f"{c}__g") for c in cols])
     exprs = []
     for c in cols:
-        n = F.sum(f"{c}__n")
-        s = F.sum(f"{c}__s")
-        qq = F.sum(f"{c}__q")
-        k = F.sum(F.when(F.col(f"{c}__n") > 0, 1).otherwise(0))
-        ssb = F.sum(F.when(F.col(f"{c}__n") > 0, F.col(f"{c}__s") ** 2 / F.col(f"{c}__n")).otherwise(0.0)) - s * s / n
-        ssw = qq - F.sum(F.when(F.col(f"{c}__n") > 0, F.col(f"{c}__s") ** 2 / F.col(f"{c}__n")).otherwise(0.0))
-        f = (ssb / (k - 1)) / (ssw / (n - k))
-        exprs.append(f.alias(c))
-    wide = per_class.agg(*exprs)
-    return _rank_scores(wide, cols)
+        n, k = F.sum(f"{c}__n"), F.sum(F.when(F.col(f"{c}__n") > 0, 1).otherwise(0))
+        ssb = F.sum(F.col(f"{c}__n") * (F.col(f"{c}__m") - F.col(f"{c}__g")) ** 2)
+        ssw = F.sum(F.col(f"{c}__n") * F.col(f"{c}__v"))
+        exprs.append(_f_score(F.try_divide(ssb, k - 1), F.try_divide(ssw, n - k)).alias(c))
+    return _rank_scores(centred.agg(*exprs), cols)
+
+
+def _f_score(explained, left):
+    """Ratio of two variances: null for 0 / 0, infinity where nothing is left."""
+    return F.when(left == 0, F.when(explained > 0, F.lit(float("inf")))).otherwise(F.try_divide(explained, left))
 
 
 def f_regression_scores(df: DataFrame, cols, label: str) -> DataFrame:
-    """F = r^2 / (1 - r^2) * (n - 2) for every feature, one aggregate."""
+    """F = r^2 / (1 - r^2) * (n - 2) for every feature, one aggregate.  A
+    constant feature has no score, a copy of the label has infinity."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         y = F.col(label).cast("double")
         both = x.isNotNull() & y.isNotNull()
-        r = F.corr(x, y)
+        x, y = F.when(both, x), F.when(both, y)
+        r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
         n = F.sum(both.cast("long"))
-        aggs.append((r * r / (1 - r * r) * (n - 2)).alias(c))
+        left = F.greatest(1 - r * r, F.lit(0.0))
+        left = F.when(left < 1e-15, F.lit(0.0)).otherwise(left)
+        aggs.append(F.when(r.isNotNull(), _f_score(r * r * (n - 2), left)).alias(c))
     return _rank_scores(df.agg(*aggs), cols)
 
 
@@ -218,8 +228,7 @@ def pca_exprs(cols, means, comps, prefix: str = "pca") -> dict:
 MISSING = "__missing__"
 
 
-def one_hot_columns(df: DataFrame, cols, categories: dict[str, list] | None = None,
-                    max_categories: int = 1000) -> DataFrame:
+def one_hot_columns(df: DataFrame, cols, categories: dict[str, list] | None = None) -> DataFrame:
     """D9 as named 0/1 columns ``<col>_<value>``: one column per category seen
     (missing is its own category), unknown values -> all zeros.  The
     pipeline uses StringIndexer + OneHotEncoder (sparse vectors) instead;
@@ -227,11 +236,8 @@ def one_hot_columns(df: DataFrame, cols, categories: dict[str, list] | None = No
     if categories is None:
         categories = {}
         for c in cols:
-            vals = (df.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v"))
-                    .distinct().limit(max_categories + 1).collect())
-            if len(vals) > max_categories:
-                raise DataError(f"Column '{c}' has more than {max_categories} categories; "
-                                "use the pipeline's sparse one-hot instead.")
+            # the categories become column names: the result is as wide as they are many
+            vals = df.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).distinct().collect()
             categories[c] = sorted(r["v"] for r in vals)
     exprs = []
     for c in cols:

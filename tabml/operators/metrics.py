@@ -9,10 +9,12 @@ distinct score and run a distributed prefix sum over it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 1000
+from ..functions.cache import remember
+from ..functions.prefix import prefix_sums
 
 
 def _cells(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -77,7 +79,7 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     """Class, precision, recall, f1, support, plus rows 'accuracy',
     'macro avg', 'weighted avg'.  Classes are the union of observed true and
     predicted values; 0 on an empty division."""
-    s = per_class_scores(df, label, prediction).cache()
+    kept = s = per_class_scores(df, label, prediction).persist(StorageLevel.MEMORY_AND_DISK)  # one row per class
     if class_names:
         m = F.create_map(*[x for k, v in class_names.items() for x in (F.lit(str(k)), F.lit(str(v)))])
         s = s.withColumn("class", F.coalesce(F.element_at(m, F.col("class")), F.col("class")))
@@ -95,23 +97,18 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
                      (F.sum(F.col("recall") * F.col("support")) / total).alias("recall"),
                      (F.sum(F.col("f1") * F.col("support")) / total).alias("f1"),
                      total.cast("bigint").alias("support"), F.lit(3).alias("_order"))
-    return per.unionByName(acc).unionByName(macro).unionByName(weighted)
+    return remember(per.unionByName(acc).unionByName(macro).unionByName(weighted), kept)
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Counts for every (true, predicted) pair over the observed classes,
-    zeros included.  The grid is classes x classes (built from the small
-    class list), joined to the cell counts."""
-    cells = _cells(df, label, prediction).cache()
-    found = (cells.select(F.col("y").alias("c")).union(cells.select(F.col("p").alias("c")))
-             .distinct().limit(MAX_CLASSES + 1).collect())
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    classes = sorted(r["c"] for r in found if r["c"] is not None)
-    grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], "y string, p string")
-    return (grid.join(cells, ["y", "p"], "left")
-            .select(F.col("y").alias("actual"), F.col("p").alias("predicted"),
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    zeros included; a missing label or prediction is a class of its own.  The
+    grid is the product of the class list with itself: that is the result."""
+    cells = _cells(df, label, prediction).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = cells.select(F.col("y").alias("c")).union(cells.select(F.col("p").alias("c"))).distinct()
+    grid = classes.select(F.col("c").alias("actual")).crossJoin(classes.select(F.col("c").alias("predicted")))
+    joined = grid.join(cells, grid["actual"].eqNullSafe(cells["y"]) & grid["predicted"].eqNullSafe(cells["p"]), "left")
+    return remember(joined.select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")), cells)
 
 
 def _score_counts(df: DataFrame, label: str, score: str, positive) -> DataFrame:
@@ -120,35 +117,14 @@ def _score_counts(df: DataFrame, label: str, score: str, positive) -> DataFrame:
             .groupBy("s").agg(F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg")))
 
 
-def prefix_sums(df: DataFrame, order_col: str, value_cols, descending: bool = False,
-                num_partitions: int | None = None) -> DataFrame:
-    """Exact running sums (inclusive) of ``value_cols`` in ``order_col`` order,
-    distributed: range partitioning, per-partition totals (one row per
-    partition) turned into offsets, then a window inside each partition."""
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    ranged = df.repartitionByRange(n_parts, o).withColumn("_pid", F.spark_partition_id())
-    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in value_cols])
-    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: this window is over n_parts rows only
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(c).over(w_off), F.lit(0)).alias(f"_off_{c}")
-                                      for c in value_cols])
-    w = Window.partitionBy("_pid").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(c).over(w).alias(f"_cum_{c}") for c in value_cols])
-    out = local.join(F.broadcast(offsets), "_pid")
-    return out.select(*df.columns, *[(F.col(f"_cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
-                                     for c in value_cols])
-
-
 def auc_roc(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
     """Exact ROC AUC by the rank-sum rule, tied scores counted half:
-    AUC = sum_s pos(s) * (neg below s + neg(s)/2) / (P * N)."""
+    AUC = sum_s pos(s) * (neg below s + neg(s)/2) / (P * N); null with one class."""
     counts = _score_counts(df, label, score, positive)
     cum = prefix_sums(counts, "s", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     return cum.agg(
-        (F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+        F.try_divide(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
@@ -158,18 +134,20 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
     tot = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     return cum.select(
         F.col("s").alias("threshold"),
-        (F.col("cum_neg") / F.lit(float(tot["N"] or 0))).alias("fpr"),
-        (F.col("cum_pos") / F.lit(float(tot["P"] or 0))).alias("tpr"))
+        F.try_divide(F.col("cum_neg"), F.lit(float(tot["N"] or 0))).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.lit(float(tot["P"] or 0))).alias("tpr"))
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """G6-G8 in one aggregate: r2 = 1 - SSE/SST (not squared correlation), mse, mae."""
+    """G6-G8 in one aggregate: r2 = 1 - SSE/SST (not squared correlation), mse, mae.  A
+    constant label has r2 1 if every prediction is right, else 0."""
     y = F.col(label).cast("double")
     p = F.col(prediction).cast("double")
     n = F.count(F.lit(1))
     sse = F.sum((y - p) ** 2)
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
-    return df.agg((1 - sse / sst).alias("r2"), (sse / n).alias("mse"), F.avg(F.abs(y - p)).alias("mae"))
+    sst = F.var_pop(y) * n
+    r2 = F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
+    return df.agg(r2.alias("r2"), F.try_divide(sse, n).alias("mse"), F.avg(F.abs(y - p)).alias("mae"))
 
 
 def r2(df, label="label", prediction="prediction"):

@@ -17,16 +17,16 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasLabelCol, HasPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable,
+                             DefaultParamsWriter)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cache import remember
 from ..session import shared_dir
 
 BLOCK_ROWS = 2048
@@ -36,6 +36,34 @@ def _p(name, doc, conv):
     return Param(Params._dummy(), name, doc, typeConverter=conv)
 
 
+class _RowsWriter(DefaultParamsWriter):
+    """Saves the parameters and a copy of the training rows, so the saved model stands alone."""
+
+    def saveImpl(self, path):
+        super().saveImpl(path)
+        rows = self.instance.getOrDefault(self.instance.rowsParam)
+        self.sparkSession.read.parquet(rows).write.parquet(f"{path}/rows")
+
+
+class _RowsReader(DefaultParamsReader):
+    def load(self, path):
+        model = super().load(path)
+        model._set(**{model.rowsParam: f"{path}/rows"})
+        return model
+
+
+class _RowsModel(DefaultParamsReadable, DefaultParamsWritable):
+    """A model whose training rows are a table named by the parameter ``rowsParam``."""
+    rowsParam = None
+
+    def write(self):
+        return _RowsWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _RowsReader(cls)
+
+
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, int(math.ceil(n / float(block_rows))))
 
@@ -51,6 +79,16 @@ def _pair_up(queries: DataFrame, refs: DataFrame, n_q: int, n_r: int, block_rows
     return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb"))
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number ``_qid``, written to the shared folder: the numbers are data from
+    then on, and no recomputation can deal them out anew."""
+    spark = df.sparkSession
+    path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    numbered = df.withColumn("_qid", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path)
+
+
 def _stack(series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
@@ -58,20 +96,10 @@ def _stack(series) -> np.ndarray:
 
 
 def _lex_topk(D: np.ndarray, V: np.ndarray, k: int) -> np.ndarray:
-    """Per row, the column indices of the k smallest (distance, value)."""
+    """Per row, the column indices of the k smallest (distance, value); -1 where no finite one is left."""
     kk = min(k, D.shape[1])
-    if kk < D.shape[1]:
-        # keep everything tied with the k-th distance, then order exactly
-        kth = np.partition(D, kk - 1, axis=1)[:, kk - 1:kk]
-        cand = D <= kth
-    else:
-        cand = np.ones_like(D, dtype=bool)
-    out = np.full((D.shape[0], kk), -1, dtype=np.int64)
-    for r in range(D.shape[0]):
-        idx = np.flatnonzero(cand[r] & np.isfinite(D[r]))
-        order = idx[np.lexsort((V[idx], D[r, idx]))][:kk]
-        out[r, :order.size] = order
-    return out
+    order = np.lexsort((np.broadcast_to(V, D.shape), D), axis=-1)[:, :kk]
+    return np.where(np.isfinite(np.take_along_axis(D, order, 1)), order, -1)
 
 
 # ---------------------------------------------------------------- E6 / E13
@@ -80,15 +108,12 @@ CAND_SCHEMA = "_qid long, _rid long, _dist double, _y double"
 
 
 def _sq_dists(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances; exact differences for moderate width so
-    equal rows tie exactly, the dot-product expansion beyond that."""
-    if Q.shape[1] <= 256:
-        out = np.zeros((Q.shape[0], R.shape[0]))
-        for c in range(Q.shape[1]):
-            diff = Q[:, c][:, None] - R[:, c][None, :]
-            out += diff * diff
-        return out
-    return np.maximum((Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * Q @ R.T, 0.0)
+    """Squared Euclidean distances from exact differences, so equal rows tie exactly."""
+    out = np.zeros((Q.shape[0], R.shape[0]))
+    for c in range(Q.shape[1]):
+        diff = Q[:, c][:, None] - R[:, c][None, :]
+        out += diff * diff
+    return out
 
 
 def _topk_pairs(k: int):
@@ -156,8 +181,8 @@ class KNeighbors(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defau
                                blockRows=self.getOrDefault(self.blockRows))
 
 
-class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable,
-                      DefaultParamsWritable):
+class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, _RowsModel):
+    rowsParam = "trainPath"
     k = _p("k", "number of neighbours", TypeConverters.toInt)
     task = _p("task", "classification or regression", TypeConverters.toString)
     trainPath = _p("trainPath", "training rows written in the shared folder", TypeConverters.toString)
@@ -173,14 +198,14 @@ class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, Defa
 
     def _transform(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
-        keyed = df.withColumn("_qid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        keyed = _numbered(df, "knn-queries")
         q = keyed.select("_qid", vector_to_array(self.getFeaturesCol()).alias("_vec"))
         refs = spark.read.parquet(self.getOrDefault(self.trainPath))
         cands = knn_candidates(q, refs, self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
                                n_q=keyed.count(), n_r=self.getOrDefault(self.nTrain))
         pred = knn_predict(cands, self.getOrDefault(self.task))
         out = keyed.join(pred, "_qid", "left").withColumnRenamed("_pred", self.getPredictionCol()).drop("_qid")
-        return remember(out, keyed)
+        return out
 
 
 # ---------------------------------------------------------------------- D3
@@ -253,7 +278,8 @@ class KnnImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWr
                                means=[float(means[c]) if means[c] is not None else 0.0 for c in cols])
 
 
-class KnnImputerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+class KnnImputerModel(Model, HasInputCols, _RowsModel):
+    rowsParam = "donorPath"
     k = _p("k", "number of neighbours", TypeConverters.toInt)
     donorPath = _p("donorPath", "training rows written in the shared folder", TypeConverters.toString)
     nDonors = _p("nDonors", "training rows", TypeConverters.toInt)
@@ -273,11 +299,9 @@ class KnnImputerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsW
         for c in cols:
             any_null = any_null | F.col(c).isNull()
         complete = df.where(~any_null)
-        recv = (df.where(any_null).withColumn("_qid", F.monotonically_increasing_id())
-                .persist(StorageLevel.MEMORY_AND_DISK))
+        recv = _numbered(df.where(any_null), "knn-gaps")
         n_recv = recv.count()
         if n_recv == 0:
-            recv.unpersist()
             return df.withColumns({c: F.col(c).cast("double") for c in cols})
         vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])
         q = recv.select("_qid", vec.alias("_vec"))
@@ -296,5 +320,4 @@ class KnnImputerModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsW
         fixed = joined.withColumns({
             c: F.coalesce(F.col(c).cast("double"), F.element_at(F.col("_m"), F.lit(j)), F.lit(means[j]))
             for j, c in enumerate(cols)}).drop("_qid", "_m")
-        out = complete.withColumns({c: F.col(c).cast("double") for c in cols}).unionByName(fixed)
-        return remember(out, recv)
+        return complete.withColumns({c: F.col(c).cast("double") for c in cols}).unionByName(fixed)

@@ -1,14 +1,14 @@
 """Isolation forest outlier removal (Liu, Ting and Zhou, 2008).
 
-* Sampling: rows enter a bounded pool by a hash of (seed, key); the pool is
-  repeated once per tree and each tree keeps the ``max_samples`` rows with
-  the smallest per-tree hash, so every tree sees its own subsample and the
-  work does not grow with the table.
+* Sampling: every row draws a hash for every tree, and each tree keeps the
+  ``max_samples`` rows with the smallest one, so each tree sees its own
+  subsample of the whole table.  Only rows whose hash is below a bound that
+  about three times as many pass become (tree, row) pairs.
 * Growing: ``groupBy(tree).applyInPandas`` builds the trees in parallel (one
   small group of <= max_samples rows per tree).
 * Scoring: the trees (trees x <= 2*max_samples nodes, a fixed bound) go to
-  every task in the ``mapInPandas`` closure; each Arrow batch is scored with
-  NumPy, level by level.
+  every task in the closure of a ``pandas_udf`` on the numeric columns, which
+  scores Arrow batches with NumPy, level by level; no other column leaves the JVM.
 * Cut: rows whose score is above the (1 - contamination) quantile of the
   scores are dropped.
 """
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cache import remember
-from ..functions.hashing import seeded_bucket, seeded_hash60
 
 EULER = 0.5772156649015329
-POOL_FACTOR = 8
+#: Rows that enter the draw of a tree, as a multiple of its sample.
+DRAW_FACTOR = 3
 SCORE_COL = "_iso_score"
 
 
@@ -79,28 +79,28 @@ NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, righ
 def fit_isolation_forest(df: DataFrame, cols, key: str, n_trees: int = 100, max_samples: int = 256,
                          seed: int = 42, n_rows: int | None = None):
     """Returns a dict of NumPy arrays describing the forest plus the fill
-    values (column medians of the sample) used for missing inputs."""
+    values (exact column medians) used for missing inputs."""
+    from pyspark.sql import Window
+
+    from ..functions.quantiles import column_quantiles
     n = n_rows if n_rows is not None else df.count()
     psi = min(max_samples, n)
-    frac = min(1.0, POOL_FACTOR * psi / max(n, 1))
-    pool = (df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
-            .where(seeded_hash60(seed, F.col(key)) < F.lit(int(frac * (1 << 60))))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    meds = pool.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in cols]).first()
-    fills = [float(meds[c]) if meds[c] is not None else 0.0 for c in cols]
-    filled = pool.select(key, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in zip(cols, fills)])
-    per_tree = filled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    per_tree = per_tree.withColumn(
-        "_h", seeded_bucket(seed, F.concat_ws(":", F.col("tree").cast("string"), F.col(key).cast("string"))))
-    from pyspark.sql import Window
-    # groups are single trees over a bounded pool (<= POOL_FACTOR * psi rows)
-    w = Window.partitionBy("tree").orderBy("_h", key)
-    sample = per_tree.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi)
+    medians = column_quantiles(df, cols, [0.5])
+    fills = [float(medians[c][0]) if medians[c][0] is not None else 0.0 for c in cols]
+    rows = df.select(F.col(key).alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(c) for c, v in zip(cols, fills)])
+    bound = int(min(1.0, DRAW_FACTOR * psi / max(n, 1)) * (1 << 62))
+
+    def draw(tree):
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), tree, F.col("_key")), 2)
+
+    drawn = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) <= bound)))
+    # a tree's window holds DRAW_FACTOR * psi rows or so
+    w = Window.partitionBy("tree").orderBy("_h", "_key")
+    sample = drawn.withColumn("_h", draw(F.col("tree"))).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     grown = sample.select("tree", *cols).groupBy("tree").applyInPandas(
         lambda pdf: _grow(pdf, cols, max_depth, seed), NODE_SCHEMA)
     nodes = grown.toPandas()   # n_trees x < 2 psi rows: bounded by the parameters
-    pool.unpersist()
     width = int(nodes["node"].max()) + 1
     shape = (n_trees, width)
     arr = {k: np.full(shape, -1 if k != "threshold" else 0.0, dtype=float if k == "threshold" else np.int64)
@@ -135,16 +135,13 @@ def score_batch(X: np.ndarray, forest: dict, psi: int) -> np.ndarray:
 def score(df: DataFrame, model: dict, out_col: str = SCORE_COL) -> DataFrame:
     """Anomaly score in (0, 1]; higher = more isolated."""
     cols, fills, forest, psi = model["cols"], model["fills"], model["forest"], model["psi"]
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())])
 
-    def run(batches):
-        for pdf in batches:
-            X = np.column_stack([pd.to_numeric(pdf[c], errors="coerce").astype(float).fillna(v).to_numpy()
-                                 for c, v in zip(cols, fills)]) if len(pdf) else np.zeros((0, len(cols)))
-            pdf[out_col] = score_batch(X, forest, psi) if len(pdf) else []
-            yield pdf
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(score_batch(x.to_numpy(dtype=float), forest, psi) if len(x) else [], dtype=float)
 
-    return df.mapInPandas(run, schema)
+    filled = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(v)).alias(f"x{i}") for i, (c, v) in enumerate(zip(cols, fills))])
+    return df.withColumn(out_col, run(filled))
 
 
 def remove_outliers(df: DataFrame, cols, key: str = "_row_id", contamination: float = 0.05,

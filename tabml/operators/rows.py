@@ -25,10 +25,11 @@ MAX_OFFSET_ROWS = 2_000_000
 ROWS_PER_PARTITION = 250_000
 
 
-def partitions_for(n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION, cap: int = 100_000) -> int:
-    """Partition count proportional to the data: few tasks for small tables
-    (job overhead dominates), ~rows_per_partition rows each at scale."""
-    return max(1, min(cap, math.ceil(max(n_rows, 1) / rows_per_partition)))
+def partitions_for(n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION, cap: int = 100_000, least: int = 1) -> int:
+    """Partition count proportional to the data: ~rows_per_partition rows each at scale, and
+    ``least`` (the cluster's cores) as soon as each gets a few hundred rows."""
+    n = max(n_rows, 1)
+    return max(1, min(cap, math.ceil(n / rows_per_partition)), min(least, math.ceil(n / 512)))
 
 
 def _null_safe_join_cond(left, right, cols):
@@ -123,7 +124,7 @@ def class_counts(df: DataFrame, label: str) -> dict:
 
 
 def upsample_minority(df: DataFrame, label: str, key: str, seed: int = 42,
-                      ratio: float = 0.5, broadcast_rows: int = 200_000) -> tuple[DataFrame, bool]:
+                      ratio: float = 0.5) -> tuple[DataFrame, bool]:
     """Binary classes with min/max count ratio under ``ratio``: the
     minority is bootstrapped (drawn with replacement) to the majority count
     and unioned with the majority.  The original minority rows are not kept
@@ -131,9 +132,8 @@ def upsample_minority(df: DataFrame, label: str, key: str, seed: int = 42,
 
     Exact bootstrap as an equi-join: minority rows get positions 0..m-1 in
     hash order; draw ``i`` (``spark.range(M)``, distributed) picks position
-    pmod(md5(seed:i), m).  When m is small every position is hit ~M/m times,
-    so the minority side is broadcast (m is counted first, so the bound is
-    checked); otherwise it is a shuffle join with ~M/m rows per key.
+    pmod(md5(seed:i), m): a join with ~M/m rows per key, which Spark broadcasts
+    where the minority side is small.
     Returns (df, applied)."""
     counts = class_counts(df, label)
     if len(counts) != 2:
@@ -150,7 +150,6 @@ def upsample_minority(df: DataFrame, label: str, key: str, seed: int = 42,
     draws = spark.range(0, big, 1, partitions_for(big)).select(
         F.col("id").alias("_draw"),
         F.pmod(seeded_bucket(seed, F.col("id")), F.lit(m)).alias("_rank"))
-    side = F.broadcast(pos) if m <= broadcast_rows else pos
-    picked = draws.join(side, "_rank").select(*df.columns)
+    picked = draws.join(pos, "_rank").select(*df.columns)
     out = majority.unionByName(picked)
     return remember(out.coalesce(partitions_for(2 * big)), pos, df), True

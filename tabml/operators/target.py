@@ -73,14 +73,6 @@ def split_features(df: DataFrame, target: str | None = None) -> tuple[str, list[
     return target, [c for c in df.columns if c != target]
 
 
-def target_fill_value(df: DataFrame, target: str, task: str):
-    """The value used by C3/C4."""
-    if task == CLASSIFICATION:
-        return df.agg(F.mode(F.col(target), True).alias("v")).first()["v"]
-    from ..functions.quantiles import column_quantiles
-    return (column_quantiles(df, [target], [0.5])[target] or [None])[0]
-
-
 def impute_target(df: DataFrame, target: str, how: str, approx: bool = False) -> DataFrame:
     """C3 (``how="mode"``: most frequent, smallest on ties) and C4
     (``how="median"``: exact median, or the bounded sketch with
@@ -92,7 +84,7 @@ def impute_target(df: DataFrame, target: str, how: str, approx: bool = False) ->
     elif how == "median":
         from ..functions.quantiles import column_quantiles
         x = F.col(target).cast("double")
-        fill = (column_quantiles(df, [target], [0.5], True if approx else False)[target] or [None])[0]
+        fill = (column_quantiles(df, [target], [0.5], approx)[target] or [None])[0]
         expr = F.coalesce(x, F.lit(fill).cast("double"))
     else:
         raise ValueError("how must be 'mode' or 'median'")
@@ -105,6 +97,7 @@ class LabelMap:
     column: str
     classes: tuple  # original values in code order
     numeric: bool
+    dtype: str | None = None  # the target's own type, given back by decoding
 
     def encode(self, df: DataFrame, out_col: str = "label", strict: bool = True) -> DataFrame:
         keys = list(self.classes)
@@ -121,33 +114,33 @@ class LabelMap:
 
     def decode_expr(self, code_col: str):
         arr = F.array(*[F.lit(v) for v in self.classes])
-        return F.element_at(arr, F.col(code_col).cast("int") + 1)
+        value = F.element_at(arr, F.col(code_col).cast("int") + 1)
+        return value.cast(self.dtype) if self.dtype else value
 
 
 def fit_label_map(df: DataFrame, target: str) -> LabelMap:
     """Distinct values sorted as numbers for numeric targets (booleans as
-    0/1) and as text otherwise.  The distinct set is a bounded aggregate:
-    classification targets have few classes (C1 guarantees <= 10 for numeric
-    targets), and we refuse more than ``MAX_CLASSES``."""
+    0/1) and as text otherwise.  The driver holds the list of classes, as a model
+    for them does."""
     dt = df.schema[target].dataType
     numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
     col = F.col(target).cast("double") if numeric else F.col(target).cast("string")
     distinct = df.select(col.alias("v")).where(F.col("v").isNotNull()).distinct()
-    vals = [r["v"] for r in distinct.limit(MAX_CLASSES + 1).collect()]
-    if len(vals) > MAX_CLASSES:
-        raise DataError(f"Target '{target}' has more than {MAX_CLASSES} classes.")
-    return LabelMap(target, tuple(sorted(vals)), numeric)
-
-
-MAX_CLASSES = 1000
+    return LabelMap(target, tuple(sorted(r["v"] for r in distinct.collect())), numeric, dt.simpleString())
 
 
 def encode_label_table(df: DataFrame, target: str, out_col: str = "label") -> DataFrame:
     """C5 as a table: the class code (0..k-1, classes sorted as numbers or as
-    text) next to every row.  The class list is a checked, bounded aggregate
-    (``fit_label_map``); the codes are a map lookup in a projection."""
-    lm = fit_label_map(df, target)
-    return lm.encode(df, out_col).withColumn(out_col, F.col(out_col).cast("bigint"))
+    text) next to every row.  The class table is joined, so any number of classes will do;
+    a missing target has no code."""
+    from pyspark.sql import Window
+    dt = df.schema[target].dataType
+    numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
+    value = F.col(target).cast("double") if numeric else F.col(target).cast("string")
+    classes = df.select(value.alias("_class")).where("_class IS NOT NULL").distinct()
+    # over one row per class
+    codes = classes.withColumn(out_col, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_class")) - 1).cast("bigint"))
+    return df.withColumn("_class", value).join(codes, "_class", "left").select(*df.columns, out_col)
 
 
 def drop_id_columns(df: DataFrame, target: str | None = None, keep=()) -> tuple[DataFrame, list[str]]:

@@ -105,6 +105,25 @@ class PlattScaling(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn("probability", array_to_vector(F.array(1.0 - p, p)))
 
 
+class OneVsRestProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """probability of 3+ classes: the logistic of every class's margin, scaled to sum 1."""
+    scale = _p("scale", "factor of the margins", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, scale=1.0):
+        super().__init__()
+        self._setDefault(scale=1.0)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        scale = F.lit(self.getOrDefault(self.scale))
+        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-scale * m)))
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        even = F.transform(each, lambda x: F.lit(1.0) / F.size(each))
+        return df.withColumn("probability", array_to_vector(
+            F.when(total > 0, F.transform(each, lambda x: F.try_divide(x, total))).otherwise(even)))
+
+
 class _RbfParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
     C = _p("C", "inverse penalty", TypeConverters.toFloat)
     gamma = _p("gamma", "'scale', 'auto' or a number", TypeConverters.toString)
@@ -131,7 +150,8 @@ class RbfSVC(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
                         standardization=False, maxIter=100)
         if self.getOrDefault(self.nClasses) > 2:
             fitted = OneVsRest(classifier=svc, featuresCol=RFF_COL, labelCol=lc).fit(z)
-            return PipelineModel(stages=[rff, fitted])
+            z.unpersist()
+            return PipelineModel(stages=[rff, fitted, OneVsRestProbability()])
         fitted = svc.fit(z)
         margins = fitted.transform(z).select(vector_to_array("rawPrediction")[1].alias("m"), F.col(lc))
         from pyspark.ml.feature import VectorAssembler
@@ -188,15 +208,15 @@ class RbfSVR(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
         w = np.zeros(D + 1)  # last entry: intercept (not penalised)
         penalty = np.eye(D + 1) * lam
         penalty[D, D] = 0.0
-        schema = "part int, i int, j int, v double"
+        size = (D + 1) * (D + 2) + 1  # Gram matrix, right side, active rows
         active_prev = None
         for _ in range(self.getOrDefault(self.maxIter)):
             w_now = w.copy()
 
             def partial(batches, w_now=w_now):
-                G = np.zeros((D + 1, D + 1))
-                h = np.zeros(D + 1)
-                n_act = 0
+                total = np.zeros(size)
+                G = total[:(D + 1) ** 2].reshape(D + 1, D + 1)
+                h = total[(D + 1) ** 2:-1]
                 for pdf in batches:
                     if pdf.empty:
                         continue
@@ -206,26 +226,25 @@ class RbfSVR(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
                     r = y - Z @ w_now
                     act = np.abs(r) > eps
                     Za = Z[act]
-                    t = y[act] - np.sign(r[act]) * eps
                     G += Za.T @ Za
-                    h += Za.T @ t
-                    n_act += int(act.sum())
-                ii, jj = np.triu_indices(D + 1)
-                out = pd.DataFrame({"part": 0, "i": ii, "j": jj, "v": G[ii, jj]})
-                out = pd.concat([out, pd.DataFrame({"part": 1, "i": np.arange(D + 1), "j": 0, "v": h}),
-                                 pd.DataFrame({"part": 2, "i": [0], "j": [0], "v": [float(n_act)]})])
-                yield out
-
-            sums = (z.mapInPandas(partial, schema).groupBy("part", "i", "j").agg(F.sum("v").alias("v"))
-                    .toPandas())   # (D+1)(D+2)/2 + D + 2 numbers: a fixed bound
-            G = np.zeros((D + 1, D + 1))
-            g = sums[sums.part == 0]
-            G[g.i.to_numpy(), g.j.to_numpy()] = g.v.to_numpy()
-            G = G + np.triu(G, 1).T
-            h = np.zeros(D + 1)
-            hh = sums[sums.part == 1]
-            h[hh.i.to_numpy()] = hh.v.to_numpy()
-            n_act = float(sums[sums.part == 2].v.sum())
+                    h += Za.T @ (y[act] - np.sign(r[act]) * eps)
+                    total[-1] += int(act.sum())
+                yield pd.DataFrame({"sums": [total.tobytes()]})
+
+            def merged(batches):
+                total = np.zeros(size)
+                for pdf in batches:
+                    for blob in pdf["sums"]:
+                        total += np.frombuffer(blob)
+                yield pd.DataFrame({"sums": [total.tobytes()]})
+
+            # one array per task, summed in two levels
+            level = z.mapInPandas(partial, "sums binary")
+            level = level.repartition(max(1, int(z.rdd.getNumPartitions() ** 0.5))).mapInPandas(merged, "sums binary")
+            sums = np.frombuffer(level.repartition(1).mapInPandas(merged, "sums binary").first()[0])
+            G = sums[:(D + 1) ** 2].reshape(D + 1, D + 1)
+            h = sums[(D + 1) ** 2:-1]
+            n_act = float(sums[-1])
             w_new = np.linalg.solve(G + penalty + 1e-10 * np.eye(D + 1), h)
             done = np.allclose(w_new, w, rtol=1e-6, atol=1e-9) or (active_prev == n_act and n_act == 0)
             w = w_new

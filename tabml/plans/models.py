@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -24,7 +25,7 @@ CLASSIFIERS = ["Random Forest", "XGBoost", "LightGBM", "Logistic Regression", "S
 REGRESSORS = ["Linear Regression", "Ridge", "Lasso", "ElasticNet", "SVR", "K-Nearest Neighbors",
               "Random Forest", "XGBoost", "LightGBM"]
 
-# Spark's deepest allowed tree; stands in for "no depth limit".
+# Spark's deepest allowed tree; stands in for "no depth limit" (an explicit larger depth is an error).
 MAX_TREE_DEPTH = 30
 # Tree ensembles: cache each row's node id between levels (deep trees then
 # skip re-walking every tree per level; the cache is checkpointed into
@@ -34,7 +35,7 @@ TREE_OPTS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval":
 # Depth used for the LightGBM stand-in when its depth is -1 (about 31 leaves).
 LGBM_UNLIMITED_DEPTH = 5
 
-# Defaults of the comparison table (library defaults) and of manual mode (sliders).
+# Defaults of the comparison table (library defaults).
 COMPARE_DEFAULTS = {
     "Random Forest": {"n_estimators": 100, "max_depth": None},
     "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
@@ -49,8 +50,6 @@ COMPARE_DEFAULTS = {
     "Lasso": {"alpha": 1.0},
     "ElasticNet": {"alpha": 1.0, "l1_ratio": 0.5},
 }
-SLIDER_DEFAULTS = {"n_estimators": 100, "max_depth": 8, "learning_rate": 0.1, "C": 1.0,
-                   "alpha": 1.0, "l1_ratio": 0.5, "n_neighbors": 5}
 
 
 @dataclass(frozen=True)
@@ -67,7 +66,9 @@ class FitContext:
 def _depth(d, unlimited):
     if d is None or d == -1:
         return unlimited
-    return min(int(d), MAX_TREE_DEPTH)
+    if int(d) > MAX_TREE_DEPTH:
+        raise ValueError(f"Spark's trees are at most {MAX_TREE_DEPTH} levels deep")
+    return int(d)
 
 
 def make_model(task: str, name: str, ctx: FitContext, **params):
@@ -86,7 +87,9 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
             gbt = GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"], unlimited),
                                 stepSize=float(p["learning_rate"]), seed=ctx.seed, **TREE_OPTS, **common)
             if ctx.n_classes > 2:
-                return OneVsRest(classifier=gbt, **common)
+                from .kernel import OneVsRestProbability
+                # a GBT's class-1 probability is the logistic of twice its margin
+                return Pipeline(stages=[OneVsRest(classifier=gbt, **common), OneVsRestProbability(scale=2.0)])
             return gbt
         if name == "Logistic Regression":
             return LogisticRegression(regParam=1.0 / (float(p["C"]) * n), elasticNetParam=0.0,

@@ -88,6 +88,7 @@ class FitResult:
     test: DataFrame
     raw_train: DataFrame
     raw_test: DataFrame
+    split_train: DataFrame      # the training part before outliers and balancing (folds are cut here)
     other: list
     n_train: int
     label_std: float
@@ -180,6 +181,21 @@ def vector_names(field) -> list:
     return out
 
 
+def resample_part(part: DataFrame, recipe: Recipe, numeric: list, binary: bool, report: dict | None = None) -> DataFrame:
+    """D14 and D15 on a training part."""
+    report = {} if report is None else report
+    if recipe.outliers and numeric:
+        from ..operators.outliers import remove_outliers
+        with _timed(report, "outliers"):
+            part, n_out = remove_outliers(part, numeric, key=KEY, contamination=0.05, seed=recipe.seed)
+        report["outliers_removed"] = n_out
+    if recipe.balance and binary:
+        with _timed(report, "upsample"):
+            part, applied = RW.upsample_minority(part, LABEL, KEY, seed=recipe.seed)
+        report["upsampled"] = applied
+    return part
+
+
 @contextmanager
 def _timed(report: dict, step: str):
     t0 = time.time()
@@ -245,21 +261,12 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     contract = Contract(target=target, dropped_ids=dropped, original_columns=originals, original_types=types,
                         datetime_columns=dt_cols, pipeline_columns=pipeline_cols, synthetic=recipe.synthetic)
     n_rows = st["n"]
-    parts = RW.partitions_for(n_rows)
+    parts = RW.partitions_for(n_rows, least=df.sparkSession.sparkContext.defaultParallelism)
     report["n_rows"] = n_rows
     binary = task == TG.CLASSIFICATION and len(lm.classes) == 2
 
     def resample(part: DataFrame) -> DataFrame:
-        if recipe.outliers and numeric:
-            from ..operators.outliers import remove_outliers
-            with _timed(report, "outliers"):
-                part, n_out = remove_outliers(part, numeric, contamination=0.05, seed=recipe.seed)
-            report["outliers_removed"] = n_out
-        if recipe.balance and binary:
-            with _timed(report, "upsample"):
-                part, applied = RW.upsample_minority(part, LABEL, KEY, seed=recipe.seed)
-            report["upsampled"] = applied
-        return part
+        return resample_part(part, recipe, numeric, binary, report)
 
     if recipe.resample == "before_split":
         df = resample(df)
@@ -269,6 +276,7 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     split = split.persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
+    unsampled = train
     if recipe.resample != "before_split":
         train = resample(train)
     # C5 again: classes left in train -> contiguous codes; unseen in test -> stop
@@ -281,8 +289,9 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
             raise DataError("Test set contains classes not present in the training set.")
         if present != list(range(len(present))):
             remap = F.create_map(*[x for i, c in enumerate(present) for x in (F.lit(float(c)), F.lit(float(i)))])
-            lm = TG.LabelMap(lm.column, tuple(lm.classes[int(c)] for c in present), lm.numeric)
+            lm = TG.LabelMap(lm.column, tuple(lm.classes[int(c)] for c in present), lm.numeric, lm.dtype)
             train = train.withColumn(LABEL, F.element_at(remap, F.col(LABEL)))
+            unsampled = unsampled.withColumn(LABEL, F.try_element_at(remap, F.col(LABEL))).where(F.col(LABEL).isNotNull())
             test = test.withColumn(LABEL, F.element_at(remap, F.col(LABEL)))
         n_classes = len(present)
     # cut the lineage here: the prepared parts are written to the cluster's
@@ -293,8 +302,9 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     with _timed(report, "checkpoint"):
-        train_c = train.coalesce(parts).checkpoint(eager=True)
+        train_c = train.repartition(parts).checkpoint(eager=True)
         test_c = test.coalesce(parts).checkpoint(eager=True)
+        unsampled_c = train_c if unsampled is train else unsampled.coalesce(parts).checkpoint(eager=True)
     release(train, test, split, df, source)
     train, test = train_c, test_c
     with _timed(report, "train_stats"):
@@ -328,6 +338,6 @@ def prepare(df: DataFrame, target: str | None = None, recipe: Recipe | None = No
     report["n_train"] = stats["n"]
     return FitResult(task=task, target=target, recipe=recipe, contract=contract, label_map=lm,
                      feature_model=feature_model, feature_names=names, numeric=numeric,
-                     categorical=categorical, train=train_t, test=test_t, raw_train=train, raw_test=test,
+                     categorical=categorical, train=train_t, test=test_t, raw_train=train, raw_test=test, split_train=unsampled_c,
                      other=other, n_train=int(stats["n"]),
                      label_std=float(stats["s"] or 0.0), n_classes=n_classes, report=report)

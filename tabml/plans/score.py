@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import numeric_columns
 from ..operators import features as FE
 from ..operators.clean import DataError
 from ..operators.target import LabelMap
@@ -66,7 +67,9 @@ def score(bundle: ScoringBundle, df: DataFrame, keep_inputs: bool = True, passth
     x = FE.datetime_features(aligned, bundle.contract.datetime_columns) if bundle.contract.datetime_columns \
         else aligned
     if bundle.contract.synthetic:
-        x = FE.synthetic_signal(x, None)
+        # the mean of the numeric inputs as the training table had them
+        inputs = [c for c in bundle.contract.pipeline_columns if c != FE.SYNTHETIC and c in numeric_columns(x)]
+        x = FE.synthetic_signal(x, None, numeric_cols=inputs)
     x = x.withColumn("_row_id", F.lit(None).cast("string"))
     out = bundle.pipeline.transform(x)
     pred = F.col("prediction")
@@ -86,7 +89,7 @@ def save_bundle(bundle: ScoringBundle, path: str) -> None:
     meta = {"task": bundle.task, "contract": asdict(bundle.contract),
             "label_map": None if bundle.label_map is None else
             {"column": bundle.label_map.column, "classes": list(bundle.label_map.classes),
-             "numeric": bundle.label_map.numeric}}
+             "numeric": bundle.label_map.numeric, "dtype": bundle.label_map.dtype}}
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
         f"{path}/meta")
@@ -96,5 +99,5 @@ def load_bundle(spark: SparkSession, path: str) -> ScoringBundle:
     pipeline = PipelineModel.load(f"{path}/pipeline")
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     lm = meta["label_map"]
-    label_map = None if lm is None else LabelMap(lm["column"], tuple(lm["classes"]), lm["numeric"])
+    label_map = None if lm is None else LabelMap(lm["column"], tuple(lm["classes"]), lm["numeric"], lm.get("dtype"))
     return ScoringBundle(meta["task"], pipeline, Contract(**meta["contract"]), label_map)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import rows as RW
 from .models import CLASSIFIERS, REGRESSORS, make_model, param_grid
-from .recipe import FEATURES, KEY, LABEL, FitResult, build_feature_pipeline
+from .recipe import FEATURES, KEY, LABEL, FitResult, build_feature_pipeline, resample_part
 
 CLASSIFICATION = "classification"
 
@@ -71,20 +71,30 @@ def fold_count(fr: FitResult) -> int:
     class with one row)."""
     if fr.task != CLASSIFICATION:
         return 5
-    smallest = fr.train.groupBy(LABEL).count().agg(F.min("count")).first()[0]
+    smallest = fr.split_train.groupBy(LABEL).count().agg(F.min("count")).first()[0]
     if smallest is None or smallest < 2:
         return 0
     return min(5, int(smallest))
 
 
-def _folds(fr: FitResult, k: int) -> DataFrame:
-    raw = fr.raw_train
+def assigned_folds(fr: FitResult, k: int) -> DataFrame:
+    """Fold numbers of the training part before outliers and balancing, so that copies of a row never lie in two folds."""
+    raw = fr.split_train
     if fr.task == CLASSIFICATION:
         return RW.assign_folds(raw, KEY, k, seed=fr.recipe.seed, stratify=LABEL,
                                num_partitions=RW.partitions_for(fr.n_train))
     return RW.assign_folds(raw, KEY, k, seed=fr.recipe.seed)
 
 
+def _fold_parts(fr: FitResult, folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+    """Training part (outliers removed and balanced on its own) and validation part of a fold."""
+    tr = folded.where(F.col("fold") != fold).drop("fold")
+    va = folded.where(F.col("fold") == fold).drop("fold")
+    if fr.recipe.resample != "before_split":
+        tr = resample_part(tr, fr.recipe, fr.numeric, fr.task == CLASSIFICATION and fr.n_classes == 2)
+    return tr, va
+
+
 def _score(fr, model, df):
     pred = predictions(model, df)
     if fr.task == CLASSIFICATION:
@@ -93,7 +103,7 @@ def _score(fr, model, df):
 
 
 def grid_search(fr: FitResult, name: str, grid: list[dict] | None = None, parallelism: int = 4):
-    """every grid point x every fold; the whole feature pipeline is refit
+    """every grid point x every fold; outliers, balancing and the whole feature pipeline are redone
     on each fold's training part (no leak from the validation part), once
     per fold, and the grid points of one fold run in parallel threads (each
     fit is itself a distributed job).  Returns (best params, table of
@@ -102,11 +112,10 @@ def grid_search(fr: FitResult, name: str, grid: list[dict] | None = None, parall
     k = fold_count(fr)
     if k < 2:
         return (grid[0] if grid else {}), []
-    folded = _folds(fr, k).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = assigned_folds(fr, k).persist(StorageLevel.MEMORY_AND_DISK)
     scores = [[0.0] * k for _ in grid]
     for f in range(k):
-        tr = folded.where(F.col("fold") != f).drop("fold")
-        va = folded.where(F.col("fold") == f).drop("fold")
+        tr, va = _fold_parts(fr, folded, f)
         fm, _, _ = build_feature_pipeline(tr, fr.numeric, fr.categorical, fr.other, fr.recipe, fr.task)
         tr_t = fm.transform(tr).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
         va_t = fm.transform(va).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
@@ -131,12 +140,10 @@ def cross_validate(fr: FitResult, name: str, params: dict | None = None):
     k = fold_count(fr)
     if k < 2:
         return [], None, None
-    _, _ = None, None
-    folded = _folds(fr, k).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = assigned_folds(fr, k).persist(StorageLevel.MEMORY_AND_DISK)
     out = []
     for f in range(k):
-        tr = folded.where(F.col("fold") != f).drop("fold")
-        va = folded.where(F.col("fold") == f).drop("fold")
+        tr, va = _fold_parts(fr, folded, f)
         fm, _, _ = build_feature_pipeline(tr, fr.numeric, fr.categorical, fr.other, fr.recipe, fr.task)
         model = make_model(fr.task, name, fr.context(), **(params or {})).fit(
             fm.transform(tr).select(KEY, LABEL, FEATURES))

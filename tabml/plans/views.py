@@ -40,7 +40,7 @@ def orders_null(spark, sf_dir) -> DataFrame:
 
 
 def part_null(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") <= 500)
+    p = table(spark, sf_dir, "part")
     return p.withColumns({
         "p_size": F.when(F.col("p_partkey") % 9 == 0, F.lit(None).cast("int")).otherwise(F.col("p_size")),
         "p_retailprice": F.when(F.col("p_partkey") % 13 == 0, F.lit(None).cast("double"))

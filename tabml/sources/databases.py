@@ -2,7 +2,8 @@
 
 * SQLite (A5): a Spark Python Data Source over the standard ``sqlite3``
   module.  With ``partitionColumn`` the query is split into key ranges, one
-  per Spark partition, each pushed into SQLite as a WHERE clause.  The file
+  per Spark partition, each pushed into SQLite as a WHERE clause; rows without a key
+  come with the last range.  Column types follow from the kinds of value SQLite finds in all rows.  The file
   must sit on storage every executor can read.
 * PostgreSQL / MySQL (A6, A7): Spark's JDBC reader.  A plain query uses the
   ``query`` option; a partitioned read wraps the query as a sub-select in
@@ -16,10 +17,27 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship_package
 from .tables import SourceError, validate_source
 
 SQLITE_FORMAT = "tabml_sqlite"
-_SQLITE_TYPES = {int: "bigint", float: "double", str: "string", bytes: "binary", bool: "boolean"}
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _type_of(kinds: set) -> str:
+    """Spark type that holds every kind of value SQLite reports for a column."""
+    if kinds == {"integer"}:
+        return "bigint"
+    if kinds and kinds <= {"integer", "real"}:
+        return "double"
+    return "binary" if kinds == {"blob"} else "string"
+
+
+_MAKERS = {"bigint": int, "double": float, "binary": bytes,
+           "string": lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)}
 
 
 class _Range(InputPartition):
@@ -38,23 +56,13 @@ class SqliteSource(DataSource):
     def schema(self):
         con = sqlite3.connect(self.options["path"])
         try:
-            cur = con.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 1000")
-            names = [d[0] for d in cur.description]
-            rows = cur.fetchall()
+            query = self.options["query"]
+            names = [d[0] for d in con.execute(f"SELECT * FROM ({query}) LIMIT 0").description]
+            kinds = ", ".join(f"group_concat(DISTINCT typeof({_quoted(n)}))" for n in names)
+            found = con.execute(f"SELECT {kinds} FROM ({query})").fetchone()
         finally:
             con.close()
-        types = []
-        for i, _ in enumerate(names):
-            seen = {type(r[i]) for r in rows if r[i] is not None}
-            if seen <= {int, bool} and seen:
-                types.append("bigint")
-            elif seen <= {int, float} and seen:
-                types.append("double")
-            elif len(seen) == 1:
-                types.append(_SQLITE_TYPES.get(seen.pop(), "string"))
-            else:
-                types.append("string")
-        return ", ".join(f"`{n}` {t}" for n, t in zip(names, types))
+        return ", ".join(f"`{n}` {_type_of(set((k or '').split(',')) - {'null', ''})}" for n, k in zip(names, found))
 
     def reader(self, schema):
         return SqliteReader(self.options, schema)
@@ -90,11 +98,12 @@ class SqliteReader(DataSourceReader):
             if partition.lo is None:
                 cur = con.execute(q)
             else:
-                op = "<=" if partition.last else "<"
-                cur = con.execute(f"SELECT * FROM ({q}) WHERE {col} >= ? AND {col} {op} ?",
-                                  (partition.lo, partition.hi))
+                upper = f"({col} <= ? OR {col} IS NULL)" if partition.last else f"{col} < ?"
+                lower = f"({col} >= ? OR {col} IS NULL)" if partition.last else f"{col} >= ?"
+                cur = con.execute(f"SELECT * FROM ({q}) WHERE {lower} AND {upper}", (partition.lo, partition.hi))
+            makers = [_MAKERS[f.dataType.simpleString()] for f in self.schema.fields]
             for row in cur:
-                yield tuple(row)
+                yield tuple(None if v is None else make(v) for v, make in zip(row, makers))
         finally:
             con.close()
 
@@ -133,6 +142,7 @@ def read_database(spark: SparkSession, config: dict, partition_column: str | Non
     from ..functions.columns import nan_to_null
     cfg = validate_source({**config, "kind": "database"})
     if cfg["db_type"] == "sqlite":
+        ship_package(spark)
         register_sqlite(spark)
         reader = spark.read.format(SQLITE_FORMAT).option("path", cfg["path"]).option("query", cfg["query"])
         if partition_column:

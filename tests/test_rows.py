@@ -64,21 +64,8 @@ def test_exact_quantiles_match_numpy(spark):
     from tabml.functions.quantiles import exact_quantiles
     li = V.table(spark, SF_MID, "lineitem")
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
-    got = exact_quantiles(li, cols, [0.05, 0.25, 0.5, 0.75, 0.95], num_partitions=5)
+    got = exact_quantiles(li, cols, [0.05, 0.25, 0.5, 0.75, 0.95])
     pdf = li.select(*cols).toPandas()
     for c in cols:
         want = np.percentile(pdf[c].to_numpy(), [5, 25, 50, 75, 95])
         assert np.allclose(got[c], want, rtol=1e-12)
-
-
-def test_box_stats_order_statistics_path(spark, monkeypatch):
-    import numpy as np
-    from tabml.functions import quantiles as Q
-    from tabml.operators import explore
-    monkeypatch.setattr(explore, "EXACT_ROW_LIMIT", 10)
-    li = V.table(spark, SF_MID, "lineitem")
-    big = explore.box_stats(li, ["l_quantity"], approx=False).first()
-    monkeypatch.setattr(explore, "EXACT_ROW_LIMIT", 10**9)
-    small = explore.box_stats(li, ["l_quantity"], approx=False).first()
-    assert np.allclose([big[k] for k in ("q1", "median", "q3")], [small[k] for k in ("q1", "median", "q3")])
-    assert big["n_outliers"] == small["n_outliers"]

@@ -59,6 +59,18 @@ def test_sqlite_partitioned_read(spark, tmp_path):
     assert df.count() == want and df.select("c_custkey").distinct().count() == want
 
 
+def test_sqlite_types_and_rows_without_key(spark, tmp_path):
+    path = str(tmp_path / "db.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (k INTEGER, v)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(None if i % 10 == 0 else i, i if i < 1500 else i + 0.5) for i in range(2000)])
+    con.commit()
+    con.close()
+    df = DB.read_database(spark, {"db_type": "sqlite", "path": path, "query": "SELECT * FROM t"}, partition_column="k", num_partitions=4)
+    assert dict(df.dtypes) == {"k": "bigint", "v": "double"}
+    assert df.count() == 2000 and df.agg(F.max("v")).first()[0] == 1999.5
+
+
 def test_jdbc_options():
     cfg = {"db_type": "postgresql", "host": "h", "port": 5432, "database": "d", "user": "u",
            "password": "p", "query": "select * from t"}
