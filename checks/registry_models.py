@@ -266,8 +266,7 @@ def _f6(spark, sf):
 def _h2(spark, sf):
     from .flagship import flagship_fit
     fr, model, _ = flagship_fit(spark, sf)
-    sample = X.explain_sample_vectors(fr.test, "_row_id", 1000, 42)
-    phi, _ = X.tree_shap(model, sample, fr.feature_names)
+    phi, _ = X.tree_shap(model, fr.test, fr.feature_names)
     return rounded(X.shap_summary(phi))
 
 
@@ -324,7 +323,7 @@ def _f2(spark, sf):
 def _f3(spark, sf):
     from tabml.plans.train import cross_validate
     fr = _prepared(spark, sf, "n_chars")
-    folds, mean, std = cross_validate(fr, "Random Forest", {"n_estimators": 50})
+    folds, mean, std = cross_validate(fr, "Random Forest")
     return spark.createDataFrame([(f, float(s), float(mean), float(std)) for f, s in folds],
                                  "fold int, r2 double, mean_r2 double, std_r2 double")
 
@@ -343,9 +342,9 @@ def _h4(spark, sf):
     from tabml.plans.train import fit_model
     fr = _prepared(spark, sf)
     model = fit_model(fr, "Logistic Regression")
-    rows = X.explain_sample_vectors(fr.test, "_row_id", 50, 42)
-    background = X.explain_sample_vectors(fr.train, "_row_id", 20, 7)
-    phi, base = X.kernel_shap(model, rows, background, fr.feature_names, output="probability", max_samples=512)
+    rows = X.explain_sample_vectors(fr.test, "_row_id", 1000, 42)
+    background = X.explain_sample_vectors(fr.train, "_row_id", 100, 7)
+    phi, base = X.kernel_shap(model, rows, background, fr.feature_names, output="probability")
     return rounded(X.shap_summary(phi))
 
 
