@@ -78,9 +78,10 @@ def _links(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             return state, jumps
         jumps.append(going.select("tree", "id", "up"))
         ahead = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        state = stored(state.join(ahead, ["tree", "up"], "left").select(
-            "tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")), "chat-links")
+        # only messages that have not reached their root take part: fewer in every round
+        farther = going.join(ahead, ["tree", "up"]).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score"))
+        state = stored(state.where("up IS NULL").unionByName(farther), "chat-links")
         if len(jumps) >= 62:
             raise ValueError("a conversation has a cycle of replies")
 

@@ -116,9 +116,9 @@ def words_of(spans):
     return {x for a, z in zip(spans[::2], spans[1::2]) for x in range(a, z)}
 
 
-@pytest.mark.parametrize("size,gram", [(50, 10), (12, 3), (5, 5)])
-def test_repeats_equal_brute_force(spark, corpus, size, gram):
-    got = suffix_dedup.repeated_spans(frame(spark, corpus), min_words=size, gram=gram).collect()
+@pytest.mark.parametrize("size,gram,hot", [(50, 10, 1024), (12, 3, 1024), (5, 5, 1024), (50, 10, 2), (12, 3, 3), (5, 5, 1)])
+def test_repeats_equal_brute_force(spark, corpus, size, gram, hot):
+    got = suffix_dedup.repeated_spans(frame(spark, corpus), min_words=size, gram=gram, hot=hot).collect()
     repeated, cut = brute_repeats(list(enumerate(corpus)), size)
     assert {r.doc: words_of(r.repeated) for r in got} == dict(repeated)
     assert {r.doc: words_of(r.cut) for r in got if r.cut} == dict(cut)
