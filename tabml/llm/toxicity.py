@@ -2,9 +2,10 @@
 
 Vectors of hashed words and character n-grams are trained together with the softmax in NumPy
 (``subword``); texts are lower-cased (A-Z).  A misspelling that was never seen shares most
-of its n-grams, hence vectors, with the word it comes from.  Vectors are averaged over passages of 16
+of its n-grams, hence vectors, with the word it comes from.  Vectors are averaged over passages of 8
 words, and the document's score is that of its highest passage: one insult in a long text
-would be lost in the mean over all of it.
+would be lost in the mean over all of it.  Every mean has 100 empty features more, so a passage of few
+words, or of one word over and over, weighs little.
 
 Learning uses at most ``Training.per_class`` labelled documents of each class (a documented
 bound; those with the smallest hash of the id) and their whole texts; scoring covers whole texts of all.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .subword import Subwords, Training, fit, score
 
-FEATURES = Subwords(lower=True, passage=16)
-HOW = Training(per_class=1500, epochs=4, sharp=8)
+FEATURES = Subwords(lower=True, passage=8, once=True, pad=100)
+HOW = Training(per_class=1500, epochs=2, sharp=6, prior=1e-3, below=2)
 THRESHOLD = 0.5
 
 
