@@ -2,17 +2,45 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship_package
 
 
+#: Rows of an Arrow batch: whole texts come in batches, so this bounds a task's memory.
+BATCH_ROWS = 2048
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Executors can import the library from here on."""
+    """Executors can import the library from here on, and get texts in batches of ``BATCH_ROWS`` unless the
+    session names a smaller or its own size."""
     ship_package(spark)
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def settled(work):
+    """``work`` on batches, with ``settle`` at the end of the task."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            settle()
+    return run
 
 
 def shuffle_parts(df: DataFrame) -> int:

@@ -18,6 +18,11 @@ repeated passage holds a kept suffix in both its occurrences.
 4. Spans are joined per document.  ``repeated`` covers every occurrence, ``cut`` all but the
    first one (smallest document id, then content, then place).
 
+A gram met at over ``HOT`` places (a passage in a large part of all documents) is not gathered:
+its suffixes send the hashes of the windows they stand for instead, each window once per batch
+of a task (the batch's later occurrences are spans already), and equal windows meet in the
+task of their hash.
+
 Words are runs of non-white-space bytes.  The corpus is shuffled once as text (whole), and
 what is repeated once more as word hashes.  No pairs are formed: work is a sort of the
 suffixes, also for a passage in every document.
@@ -36,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import ready, row_key, shuffle_parts
-from .words import SPACE, grams, slices
+from .frames import ready, row_key, settled, shuffle_parts
+from .words import SPACE, _powers, grams, mix, slices
 
 MIN_WORDS = 50
 GRAM = 10
 #: Suffixes gathered in a task before they are sent on.
 FLUSH = 400_000
+#: Places of a gram above which its windows are compared by hash.
+HOT = 1024
 
 
 def minimisers(piece, min_words: int, gram: int):
@@ -101,7 +108,8 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    """Buckets of hashes; mixed anew, as minimisers are the small ones among all."""
+    return ((mix(hashes + np.uint64(1)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
 def _schema(*names: str) -> T.StructType:
@@ -130,7 +138,7 @@ def _retain(min_words: int, gram: int, parts: int):
                     held, count = [], 0
         if count:
             yield _sent(held, parts)
-    return work
+    return settled(work)
 
 
 def _sent(held, parts):
@@ -138,40 +146,53 @@ def _sent(held, parts):
     return _blobs(_bucket(g, parts), {"gram": g, "key": key, "place": place})
 
 
-def _met(batches):
-    """Suffixes whose gram is met at two places at least, by document."""
-    held = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32))
-            for batch in batches for a, b, c in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-    if not held:
-        return
-    g, key, place = (np.concatenate(x) for x in zip(*held))
-    held.clear()
-    order = np.argsort(g, kind="stable")
-    same = g[order[1:]] == g[order[:-1]]
-    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    order = order[np.lexsort((place[order], key[order], g[order]))]
-    g, key, place = g[order], key[order], place[order]
-    new = np.ones(len(g), bool)  # a repeated row is the same document
-    new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-    g, key, place = g[new], key[new], place[new]
-    same = g[1:] == g[:-1]
-    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(g) else np.zeros(0, bool)
-    key, place = key[keep], place[keep]
-    order = np.argsort(key, kind="stable")
-    key, place = key[order], place[order]
-    names, first = np.unique(key, return_index=True)
-    for i in range(0, len(names), 10_000):
-        cut = [*first[i:i + 10_001].tolist()]
-        if i + 10_000 >= len(names):
-            cut.append(len(key))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[i:i + 10_000]), pa.array([place[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], ["key", "places"])
+def _met(hot: int):
+    """Suffixes whose gram is met at two places at least, by document; places of grams met at over
+    ``hot`` ones below 0."""
+    def work(batches):
+        held = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32))
+                for batch in batches for a, b, c in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+        if not held:
+            return
+        g, key, place = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(g, kind="stable")
+        same = g[order[1:]] == g[order[:-1]]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        order = order[np.lexsort((place[order], key[order], g[order]))]
+        g, key, place = g[order], key[order], place[order]
+        new = np.ones(len(g), bool)  # a repeated row is the same document
+        new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+        g, key, place = g[new], key[new], place[new]
+        same = g[1:] == g[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(g) else np.zeros(0, bool)
+        g, key, place = g[keep], key[keep], place[keep]
+        _, of, count = np.unique(g, return_inverse=True, return_counts=True)
+        place = np.where(count[of] > hot, ~place, place)  # below 0: a hot gram
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        names, first = np.unique(key, return_index=True)
+        for i in range(0, len(names), 10_000):
+            cut = [*first[i:i + 10_001].tolist()]
+            if i + 10_000 >= len(names):
+                cut.append(len(key))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[i:i + 10_000]), pa.array([place[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary())], ["key", "places"])
+    return settled(work)
+
+
+def windows(h: np.ndarray, starts: np.ndarray, min_words: int) -> np.ndarray:
+    """Hash of the ``min_words`` words from each start on."""
+    up, down = _powers(len(h) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:len(h)], dtype=np.uint64)])
+    return mix((total[starts + min_words] - total[starts]) * down[starts])
 
 
 def _extend(min_words: int, gram: int, parts: int):
-    """Texts with places -> their suffixes with the words around, by gram."""
+    """Texts with places -> their suffixes with the words around, by gram; of hot grams the
+    windows' hashes, by hash."""
     def work(batches):
-        held, count = [], 0
+        held, count, hot, heat = [], 0, [], 0
         for batch in batches:
             keys, docs = batch.column(0).to_numpy(), batch.column(1)
             known, doc = np.asarray(docs.is_valid()), docs.fill_null(0).to_numpy()
@@ -180,12 +201,22 @@ def _extend(min_words: int, gram: int, parts: int):
                 h, row, g, p, most, least = minimisers(piece, min_words, gram)
                 place = p - piece.bounds[row]
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
-                keep = np.zeros(len(row), bool)
+                keep, warm = np.zeros(len(row), bool), np.zeros(len(row), bool)
                 for i in range(len(piece)):
                     a, z = cuts[i], cuts[i + 1]
                     if a < z:
                         wanted = np.concatenate([np.frombuffer(x, np.int32) for x in lists[piece.first + i].as_py()])
                         keep[a:z] = np.isin(place[a:z], wanted)
+                        warm[a:z] = np.isin(place[a:z], ~wanted)
+                if warm.any():
+                    n = (most - least + 1)[warm]
+                    start, of = _ranges((p - most)[warm], n), np.repeat(row[warm], n)
+                    at = piece.first + of
+                    hot.append((windows(h, start, min_words), keys[at], doc[at], known[at], (start - piece.bounds[of]).astype(np.int32)))
+                    heat += len(start)
+                    if heat >= FLUSH:
+                        yield from _sent_windows(hot, min_words, parts)
+                        hot, heat = [], 0
                 row, g, p, most, least, place = (x[keep] for x in (row, g, p, most, least, place))
                 short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 widths = most + min_words - least
@@ -198,16 +229,56 @@ def _extend(min_words: int, gram: int, parts: int):
                     held, count = [], 0
         if count:
             yield _packed(held, parts)
-    return work
+        if heat:
+            yield from _sent_windows(hot, min_words, parts)
+    return settled(work)
+
+
+def _full(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with all columns of the exchange, those it lacks null."""
+    kinds = {"bucket": pa.int32(), "span_key": pa.int64(), "span_doc": pa.int64()}
+    names = ["bucket", *EXTENDED, "span_key", "span_doc", "spans"]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) if n in batch.schema.names else
+                                       pa.nulls(batch.num_rows, kinds.get(n, pa.binary())) for n in names], names)
 
 
 def _packed(held, parts):
     g, key, doc, known, place, most, least, widths, words = (np.concatenate(x) for x in zip(*held))
-    return _blobs(_bucket(g, parts), {"key": key, "doc": doc, "known": known, "place": place, "most": most, "least": least}, widths, words)
+    return _full(_blobs(_bucket(g, parts), {"key": key, "doc": doc, "known": known, "place": place, "most": most, "least": least}, widths, words))
+
+
+def _sent_windows(hot, min_words, parts):
+    """The first occurrence of every window in the batch, and the spans of the others."""
+    h, key, doc, known, start = (np.concatenate(x) for x in zip(*hot))
+    order = np.lexsort((start, key, doc, ~known, h))
+    h, key, doc, known, start = (x[order] for x in (h, key, doc, known, start))
+    new = np.ones(len(h), bool)  # a repeated row is the same document
+    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1])
+    h, key, doc, known, start = (x[new] for x in (h, key, doc, known, start))
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    many = np.concatenate([h[1:] == h[:-1], [False]])[first]
+    yield _full(_blobs(_bucket(h[first], parts), {"key": key[first], "doc": doc[first], "known": known[first], "place": start[first],
+                                                  "most": many.astype(np.uint8), "words": h[first]}))
+    names, docs, spans = _spans_by_key(key[~first], doc[~first], known[~first], start[~first], start[~first] + np.int32(min_words))
+    if len(names):
+        yield _full(pa.RecordBatch.from_arrays([pa.array((names.view(np.uint64) % np.uint64(parts)).astype(np.int32)), pa.array(names), docs,
+                                                pa.array(spans, pa.binary())], ["bucket", "span_key", "span_doc", "spans"]))
+
+
+def _spans_by_key(key, doc, known, start, end):
+    """Keys, their documents and their spans as (start, end) pairs in a binary."""
+    order = np.lexsort((start, key))
+    names, first = np.unique(key[order], return_index=True)
+    pairs = np.stack([start[order], end[order]], 1).astype(np.int32)
+    cut = [*first.tolist(), len(order)]
+    spans = [np.array(_merged(pairs[a:z]), np.int32).tobytes() for a, z in zip(cut[:-1], cut[1:])]
+    return names, pa.array(doc[order[first]], mask=~known[order[first]]), spans
 
 
 EXTENDED = ("key", "doc", "known", "place", "most", "least", "words")
 _KINDS = (np.int64, np.int64, np.bool_, np.int32, np.uint8, np.uint8, np.uint32)
+EXCHANGED = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in EXTENDED],
+                          T.StructField("span_key", T.LongType()), T.StructField("span_doc", T.LongType()), T.StructField("spans", T.BinaryType())])
 
 
 def _sorted_prefixes(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +322,36 @@ def matches(right: np.ndarray, left: np.ndarray, most: np.ndarray, least: np.nda
 
 
 def _compare(min_words: int):
-    """Suffixes of a bucket -> spans of words by document."""
+    """Suffixes and windows of a bucket -> spans of words by document."""
+    def spans(names, docs, repeated, cut):
+        for i in range(0, len(names), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i:i + 10_000]), docs[i:i + 10_000], pa.array(repeated[i:i + 10_000], pa.binary()),
+                                              pa.array(cut[i:i + 10_000], pa.binary())], SPANS.names)
+
     def work(batches):
-        held = [[np.frombuffer(x, k) for x, k in zip(blob, _KINDS)]
-                for batch in batches for blob in zip(*(batch.column(i).to_pylist() for i in range(1, 8)))]
+        held, hot = [], []
+        for batch in batches:
+            done = batch.filter(batch.column(10).is_valid())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(8), done.column(9), done.column(10), done.column(10)], SPANS.names)
+            for blob in zip(*(batch.column(i).to_pylist() for i in range(1, 8))):
+                if blob[5] is not None:
+                    held.append([np.frombuffer(x, k) for x, k in zip(blob, _KINDS)])
+                elif blob[0] is not None:
+                    hot.append([np.frombuffer(x, k) for x, k in zip((*blob[:5], blob[6]), (*_KINDS[:5], np.uint64))])
+        if hot:
+            key, doc, known, start, many, h = (np.concatenate(x) for x in zip(*hot))
+            hot.clear()
+            order = np.lexsort((start, key, doc, ~known, h))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order[1:]] != h[order[:-1]]) | (key[order[1:]] != key[order[:-1]]) | (start[order[1:]] != start[order[:-1]])
+            order = order[new]
+            key, doc, known, start, many, h = (x[order] for x in (key, doc, known, start, many, h))
+            again = np.concatenate([[False], h[1:] == h[:-1]])
+            met = again | np.concatenate([h[1:] == h[:-1], [False]]) | (many > 0)
+            for rows, both in ((met & ~again, False), (again, True)):
+                names, docs, found = _spans_by_key(key[rows], doc[rows], known[rows], start[rows], start[rows] + np.int32(min_words))
+                yield from spans(names, docs, found, found if both else [b""] * len(found))
         if not held:
             return
         key, doc, known, place, most, least, words = (np.concatenate(x) for x in zip(*held))
@@ -276,23 +373,19 @@ def _compare(min_words: int):
             has = most > d
             left[has, d] = words[start[has] + most[has] - 1 - d]
         o = matches(right, left, most, least, min_words)
-        found = np.flatnonzero(o[0] >= 0)
-        order = found[np.argsort(key[found], kind="stable")]
-        names, first = np.unique(key[order], return_index=True)
-        spans = []
-        for a in (0, 2):
-            has = o[a] >= 0
-            pairs = np.stack([place - o[a], place - o[a + 1] + min_words], 1).astype(np.int32)
-            spans.append([pairs[r][has[r]].tobytes() for r in np.split(order, first[1:])] if len(names) else [])
-        docs = pa.array(doc[order[first]], mask=~known[order[first]])
-        for i in range(0, len(names), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(names[i:i + 10_000]), docs[i:i + 10_000],
-                                              pa.array(spans[0][i:i + 10_000], pa.binary()), pa.array(spans[1][i:i + 10_000], pa.binary())], SPANS.names)
-    return work
+        for a, both in ((0, False), (2, True)):
+            rows = o[a] >= 0
+            names, docs, found = _spans_by_key(key[rows], doc[rows], known[rows], (place - o[a])[rows], (place - o[a + 1])[rows] + min_words)
+            yield from spans(names, docs, [b""] * len(found) if both else found, found if both else [b""] * len(found))
+    return settled(work)
 
 
 def _union(blobs: list[bytes]) -> list[int]:
-    pairs = np.concatenate([np.frombuffer(b, np.int32) for b in blobs]).reshape(-1, 2)
+    return _merged(np.concatenate([np.frombuffer(b, np.int32) for b in blobs]).reshape(-1, 2))
+
+
+def _merged(pairs: np.ndarray) -> list[int]:
+    """Union of (start, end) pairs, flat."""
     if not len(pairs):
         return []
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
@@ -310,7 +403,7 @@ def _join_spans(batches):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+                   min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row per document that holds a repeated passage: key (``row_key`` of id and text), doc (id),
     repeated and cut (flat lists of word spans: start, end, start, end, ...)."""
     ready(docs.sparkSession)
@@ -319,10 +412,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("body"))
     parts = shuffle_parts(source)
     places = (source.select("key", "body").mapInArrow(_retain(min_words, gram, parts), _schema("gram", "key", "place"))
-              .repartitionById(parts, F.col("bucket")).mapInArrow(_met, PLACES)
+              .repartitionById(parts, F.col("bucket")).mapInArrow(_met(hot), PLACES)
               .groupBy("key").agg(F.collect_list("places").alias("places")))
     return (source.join(places.hint("shuffle_hash"), "key")
-            .mapInArrow(_extend(min_words, gram, parts), _schema(*EXTENDED))
+            .mapInArrow(_extend(min_words, gram, parts), EXCHANGED)
             .repartitionById(parts, F.col("bucket")).mapInArrow(_compare(min_words), SPANS)
             .groupBy("key").agg(F.first("doc").alias("doc"), F.collect_list("repeated").alias("repeated"), F.collect_list("cut").alias("cut"))
             .mapInArrow(_join_spans, JOINED))
