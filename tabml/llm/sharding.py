@@ -107,7 +107,8 @@ def balanced_shards(nodes: DataFrame, shards: int = SHARDS, law: str = "rows", r
         raise ValueError("law: rows or bytes")
     weight = F.lit(1).cast("long") if law == "rows" else F.col("size")
     nodes = nodes.select("key", "copy", "grp", weight.alias("weight"))
-    groups = nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    # a table of its own, so that the joins with it can split a hot group
+    groups = stored(nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "shard-groups")
     total, rows = nodes.agg(F.sum("weight"), F.count("*")).first()
     total = total or 0
     edges = [total * s // shards for s in range(shards + 1)]
