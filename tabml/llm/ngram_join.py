@@ -5,13 +5,13 @@ the global order of n-grams.  Documents of equal sets are one node.
 
 1. *Fragments.*  The order is cut into fragments and a set into its segments.  Two sets that link
    differ in at most ``D`` n-grams (``D`` follows from the smaller size), hence in at most ``D``
-   fragments.  The fragments come in ``G`` groups of four; were at most two of each
-   group's segments equal, over ``D`` would differ once ``G > D / 2``, so some group has three equal
-   ones.  The four triples of each group are sent to the task of their hash, and linked
-   sets meet there.  Three segments hold about eight n-grams from all over the text, so a shared
-   passage or a frequent n-gram does not bring documents together.  Triples of fewer
-   than two n-grams are not sent: ``G`` has ``E`` groups more than needed, and a set with more than
-   ``E`` groups that hold such triples sends all.  A set is cut once for its size class and once for
+   fragments.  The fragments come in ``G`` groups of three; were at most one of each
+   group's segments equal, over ``D`` would differ once ``G > D / 2``, so some group has two equal
+   ones.  The three pairs of each group's segments are sent to the task of their hash, and linked
+   sets meet there.  Two segments hold about five n-grams from all over the text, so a shared
+   passage or a frequent n-gram rarely brings documents together.  Empty pairs of segments are
+   not sent: ``G`` has ``E`` groups more than needed, and a set with more than
+   ``E`` groups that hold such pairs sends all.  A set is cut once for its size class and once for
    each smaller class in reach, so partners are cut alike.
 2. *Candidate parts.*  Sets that meet are chained, not paired; the parts of this graph (connected
    components) hold every link.
@@ -21,7 +21,7 @@ the global order of n-grams.  Documents of equal sets are one node.
    and summed per pair.  Only the links' forest and each set's number of links leave the task.
 
 No pair of documents becomes a row, nothing is sampled or capped, and the shuffled bytes
-follow the input: signatures (a little over half of the n-grams), the texts once, and
+follow the input: signatures (about half as many as n-grams at 0.85, 0.8 of them at 0.8), the texts once, and
 the texts of candidate parts once more (more often only within parts above the bound).
 
 Defined cases: a text of fewer than ``n`` words is one shingle of all its words; a text
@@ -39,17 +39,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components, local_roots
-from .frames import ready, row_key, shuffle_parts, stored
+from .frames import ready, row_key, settle, settled, shuffle_parts, stored
 from .words import LOWER, SPACE, grams, mix, slices, whole
 
 #: Growth of the size classes.
-CLASS_RATIO = 1.4
+CLASS_RATIO = 1.3
 #: Weight of a candidate part (or of two blocks of it) that is compared in one task: its shingles,
 #: and ``SET_WEIGHT`` for each set, which bounds the matrix of pairs too.
-PART_WEIGHT = 800_000
+PART_WEIGHT = 2_000_000
 SET_WEIGHT = 500
 #: Signatures gathered in a task before they are sent on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Cells of an overlap fragment's matrix.
 CELLS = 4_000_000
 
@@ -67,8 +67,7 @@ class Rule:
         #: most n-grams in which linked sets differ, the smaller one being of the class
         self.differ = most * (den - num) // num
         need = self.differ // 2 + 1
-        mean = 0.75 * self.low[:-1] / need
-        weak = 4 * need * np.exp(-mean) * (1 + mean)
+        weak = 3 * need * np.exp(-2 / 3 * self.low[:-1] / need)  # groups with an empty pair
         self.spare = np.where(need < 8, 0, np.ceil(weak + 3 * np.sqrt(weak))).astype(np.int64)
         self.groups = need + self.spare
 
@@ -123,7 +122,7 @@ def set_ids(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(flat: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of every triple of segments that is sent."""
+    """(signature, row) of every pair of segments that is sent."""
     n = np.diff(bounds)
     top, mixed = flat >> np.uint64(32), mix(flat)
     sent, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -132,7 +131,7 @@ def signatures(flat: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.nda
         rows, k = rows[some], k[some]
         if not len(rows):
             continue
-        m, sizes = 4 * rule.groups[k], n[rows]
+        m, sizes = 3 * rule.groups[k], n[rows]
         first = np.cumsum(m) - m
         owner = np.repeat(np.arange(len(rows)), sizes)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[rows], sizes)
@@ -143,19 +142,20 @@ def signatures(flat: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.nda
         held = np.bincount(place, minlength=len(total))
         of = np.repeat(np.arange(len(rows)), m)
         label = (k[of].astype(np.uint64) << np.uint64(48)) + (np.arange(len(total)) - first[of]).astype(np.uint64)
-        segment = mix(total ^ mix(label)).reshape(-1, 4)
-        held = held.reshape(-1, 4)
-        triple = mix(segment.sum(1, keepdims=True) - segment)
-        weak = held.sum(1, keepdims=True) - held < 2
-        of = of[::4]
+        segment = mix(total ^ mix(label)).reshape(-1, 3)
+        held = held.reshape(-1, 3)
+        pair = mix(segment.sum(1, keepdims=True) - segment)
+        weak = held.sum(1, keepdims=True) == held
+        of = of[::3]
         every = np.bincount(of, weak.any(1), len(rows)) > rule.spare[k]
         send = ~weak | every[of][:, None]
-        sent.append(triple[send])
+        sent.append(pair[send])
         owners.append(np.broadcast_to(rows[of][:, None], send.shape)[send])
     return np.concatenate(sent), np.concatenate(owners)
 
 
-SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sig", T.BinaryType()),
+#: A signature travels as its low 40 bits, in two columns; a bucket's chance matches only cost comparisons.
+SENT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sig", T.BinaryType()), T.StructField("sig_top", T.BinaryType()),
                      T.StructField("sets", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
                      T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()),
                      T.StructField("set", T.LongType()), T.StructField("n", T.LongType())])
@@ -182,8 +182,8 @@ def _send(rule: Rule, parts: int):
         ids, first = np.unique(bucket, return_index=True)
         cut = [*first.tolist(), len(sig)]
         spans = list(zip(cut[:-1], cut[1:]))
-        return _arrow(SENT, bucket=ids, **{name: [x[a:z].tobytes() for a, z in spans]
-                                           for name, x in (("sig", sig), ("sets", sets), ("sizes", sizes))})
+        parts_of = (("sig", sig.astype(np.uint32)), ("sig_top", (sig >> np.uint64(32)).astype(np.uint8)), ("sets", sets), ("sizes", sizes))
+        return _arrow(SENT, bucket=ids, **{name: [x[a:z].tobytes() for a, z in spans] for name, x in parts_of})
 
     def work(batches):
         held, count = [], 0
@@ -208,12 +208,13 @@ def _send(rule: Rule, parts: int):
                     held, count = [], 0
             if ids:
                 own, n = np.concatenate(ids), np.concatenate(sizes)
-                yield _arrow(SENT, bucket=(own.view(np.uint64) % np.uint64(parts)).astype(np.int32),
-                             key=batch.column(0), doc=batch.column(1), n=n,
+                # rows are dealt by document: copies of one text do not meet in a task
+                dealt = batch.column(0).to_numpy().view(np.uint64) % np.uint64(parts)
+                yield _arrow(SENT, bucket=dealt.astype(np.int32), key=batch.column(0), doc=batch.column(1), n=n,
                              set=pa.array(own, mask=n == 0))
         if count:
             yield flush(held)
-    return work
+    return settled(work)
 
 
 def _meet(rule: Rule):
@@ -223,10 +224,11 @@ def _meet(rule: Rule):
         for batch in batches:
             lone = batch.filter(batch.column(1).is_null())
             if lone.num_rows:
-                yield _arrow(MET, key=lone.column(4), doc=lone.column(5), set=lone.column(6), n=lone.column(7))
+                yield _arrow(MET, key=lone.column(5), doc=lone.column(6), set=lone.column(7), n=lone.column(8))
             blobs = batch.filter(batch.column(1).is_valid())
-            for sig, sets, sizes in zip(*(blobs.column(k).to_pylist() for k in (1, 2, 3))):
-                held.append((np.frombuffer(sig, np.uint64), np.frombuffer(sets, np.int64), np.frombuffer(sizes, np.int32)))
+            for low, top, sets, sizes in zip(*(blobs.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                sig = np.frombuffer(top, np.uint8).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32)
+                held.append((sig, np.frombuffer(sets, np.int64), np.frombuffer(sizes, np.int32)))
         if not held:
             return
         sig, sets, sizes = (np.concatenate(x) for x in zip(*held))
@@ -242,7 +244,7 @@ def _meet(rule: Rule):
         root = local_roots(len(names), at[:len(linked)], at[len(linked):])
         far = np.flatnonzero(root != np.arange(len(names)))
         yield _arrow(MET, u=names[far], v=names[root[far]])
-    return work
+    return settled(work)
 
 
 def overlaps(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -292,18 +294,23 @@ def _compare(rule: Rule):
             rows = order[a:z]
             size = n[rows]
             inter = overlaps(np.concatenate([flat[bounds[r]:bounds[r + 1]] for r in rows]), np.concatenate([[0], np.cumsum(size)]))
-            joined = rule.den * inter.astype(np.float64) >= rule.num * (size[:, None] + size[None, :] - inter.astype(np.float64))
-            np.fill_diagonal(joined, False)
-            s = side[rows]
-            if s.max() > 0:  # two blocks: pairs within one belong to another task
-                joined &= s[:, None] != s[None, :]
-            u, v = np.nonzero(joined)
-            root = local_roots(len(rows), u, v)
+            s, weight, found, links = side[rows], copies[rows], [], np.zeros(len(rows), np.int64)
+            for i in range(0, len(rows), 256):
+                some = inter[i:i + 256].astype(np.float64)
+                joined = rule.den * some >= rule.num * (size[i:i + 256, None] + size[None, :] - some)
+                joined[np.arange(len(some)), np.arange(i, i + len(some))] = False
+                if s.max() > 0:  # two blocks: pairs within one belong to another task
+                    joined &= s[i:i + 256, None] != s[None, :]
+                links[i:i + 256] = joined @ weight
+                found.append(np.stack(np.nonzero(joined)) + np.array([[i], [0]]))
+            root = local_roots(len(rows), *np.concatenate(found, 1))
+            del inter, found
             names = own[rows]
             low = np.full(len(rows), np.iinfo(np.int64).max)
             np.minimum.at(low, root, names)
-            out.append((names, low[root], joined @ copies[rows]))
+            out.append((names, low[root], links))
         u, v, links = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
+        settle()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "links": pa.array(links, pa.int64())})
     return work
 
@@ -332,8 +339,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = (sets.join(comp, sets.set == comp.node, "left")
              .select("set", "doc", "copies", F.coalesce("root", "set").alias("component")))
     named = least.groupBy("component").agg(F.min("doc").alias("component_id"))
-    known = (least.join(named, "component").join(links, F.col("set") == F.col("u"), "left")
-             .select("set", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    known = stored(least.join(named, "component").join(links, F.col("set") == F.col("u"), "left")
+             .select("set", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-known")
     return rows.join(known, "set", "left").select(
         "key", "doc", F.col("n").alias("n_shingles"),
         F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
@@ -352,7 +359,7 @@ def _places(cand: DataFrame, rule: Rule) -> DataFrame:
     whole_parts = cand.join(small, "super").select(
         "key", "set", "copies", F.pmod(F.xxhash64("super"), F.lit(tasks)).alias("task"), F.col("super").alias("part"), F.lit(0).alias("side"))
     big = cand.join(total.where(F.col("weight") > PART_WEIGHT).select("super"), "super").withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.1)))
+        "band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.5)))
     bands = big.groupBy("super", "band").agg(
         F.ceil(F.sum(cost) / (PART_WEIGHT // 2)).alias("cuts"), F.min("n").alias("least"), F.max("n").alias("most"))
     big = big.join(bands.select("super", "band", "cuts"), ["super", "band"]).withColumn("cut", F.pmod(F.xxhash64("set"), F.col("cuts")))
@@ -382,10 +389,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
              num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component (smallest id, ties by content; repeated
     rows once).  Documents without words all stay."""
-    found = ngram_jaccard_join(docs, id_col, text_col, words, num, den).where("component IS NOT NULL")
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("best")).select(
-        F.col("best.key").alias("__key"))
-    wordy = F.coalesce(F.col(f"`{text_col}`").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    some = (docs.where(wordy).withColumn("__key", row_key(id_col, text_col)).join(kept, "__key", "left_semi")
-            .dropDuplicates(["__key"]).drop("__key"))
-    return some.unionByName(docs.where(~wordy))
+    found = stored(ngram_jaccard_join(docs, id_col, text_col, words, num, den).where("component IS NOT NULL").select("key", "doc", "component"), "ngram-found")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("best")).select("component", F.col("best.key").alias("best"))
+    rows = found.groupBy("component", "key").agg(F.count("*").alias("rows")).join(best, "component")
+    # what goes, and what stays but is there more than once: small tables beside the texts, which move only if these are large
+    gone = stored(rows.where("key <> best OR rows > 1").select(F.col("key").alias("__key")), "ngram-gone")
+    repeated = stored(rows.where("key = best AND rows > 1").select(F.col("key").alias("__key")), "ngram-repeated")
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    once = keyed.join(gone, "__key", "left_anti").drop("__key").select(docs.columns)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key").select(docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .subword import Subwords, Training, fit, score
 
 FEATURES = Subwords(lower=False, repeats=3)
-HOW = Training()
+HOW = Training(per_class=1500)
 THRESHOLD = 0.7
 
 
