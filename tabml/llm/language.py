@@ -10,9 +10,10 @@ Letters are lower-cased, and any run of other characters is one separator.  All
 all texts in a slice step through the automaton at once as NumPy arrays; whole texts are parsed, in
 stretches of ``STRETCH`` letters.
 
-Learning is bounded by parameters: per language ``reference`` letters, from the ``documents`` labelled texts
-with the smallest hash; the automata's tables together hold ``TABLES`` bytes at most (with many
-languages the references get shorter).
+Learning takes the whole texts of a bounded sample of rows: of every language the ``documents`` distinct labelled
+texts with letters whose hash is smallest, however long they are and however many languages there are.  One
+task builds a language's automaton; its transitions are packed into one array (about 32 bytes a
+letter), and the automata of all languages are one broadcast.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without labelled
 text everything is; repeated documents get equal results; languages are any non-null labels.
@@ -21,8 +22,10 @@ Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,10 @@ from pyspark.sql import types as T
 
 from .frames import ready
 
-REFERENCE = 16_384
 DOCUMENTS = 48
 STRETCH = 512
 SHARPNESS = 8.0
 SYMBOLS = 64
-TABLES = 128 << 20
 #: Characters parsed at once.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -66,15 +67,15 @@ def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, total[bounds], np.diff(count[bounds])
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Suffix automaton of a sequence: a table (state, symbol) -> state; state 0 is the root, and a
-    0 in the table is no transition."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton of a sequence: the transitions (symbol to state) of every state; state 0 is the root."""
     size = 2 * len(symbols) + 2
-    moves: list[dict[int, int]] = [{} for _ in range(size)]
+    moves: list[dict[int, int]] = [{}]
     link, length = [-1] * size, [0] * size
-    last, used = 0, 1
+    last = 0
     for s in symbols:
-        new, used = used, used + 1
+        new = len(moves)
+        moves.append({})
         length[new] = length[last] + 1
         p = last
         while p >= 0 and s not in moves[p]:
@@ -87,18 +88,71 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin, used = used, used + 1
-                moves[twin], link[twin], length[twin] = dict(moves[q]), link[q], length[p] + 1
+                twin = len(moves)
+                moves.append(dict(moves[q]))
+                link[twin], length[twin] = link[q], length[p] + 1
                 while p >= 0 and moves[p].get(s) == q:
                     moves[p][s] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((used, width), np.int32)
-    for state in range(used):
-        for s, to in moves[state].items():
-            table[state, s] = to
-    return table
+    return moves
+
+
+def packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """An automaton over symbols 1 to ``width - 1`` without its root: the state after each first symbol, and the
+    transitions.  A state is called by a place: its transition by symbol s is the entry at place + s, if the high half
+    of that is the state; the low half is the next one.  Symbol 0 leads from the start to a state that nothing follows."""
+    rng = np.random.default_rng(1)
+    degree = np.array([len(m) for m in moves])
+    degree[0] = 0
+    n = int(degree.sum())
+    symbol = np.fromiter(chain.from_iterable(m.keys() for m in moves[1:]), np.int64, n)
+    to = np.fromiter(chain.from_iterable(m.values() for m in moves[1:]), np.int64, n)
+    begin = np.cumsum(degree) - degree
+    size = 2 * n + len(moves) + 64
+    place = np.full(len(moves), -1, np.int64)
+    owner, named = np.full(size + width, -1, np.int64), np.full(size, -1, np.int64)
+    # states of many transitions first, while there is room; place 0 (state 0) stays the one that nothing follows
+    named[0] = 0
+    place[0] = 0
+    kinds = np.frexp(degree)[1]
+    for kind in range(int(kinds.max()), -1, -1):
+        waiting = np.flatnonzero((kinds == kind) & (place < 0))
+        tries = 0
+        while len(waiting):
+            tries += 1
+            if tries % 64 == 0:
+                owner, named = (np.concatenate([x, np.full(size, -1, np.int64)]) for x in (owner, named))
+                size *= 2
+            at = rng.integers(1, size, len(waiting))
+            k = degree[waiting]
+            edge = np.repeat(begin[waiting] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            one = np.repeat(np.arange(len(waiting)), k)
+            slot = at[one] + symbol[edge]
+            fine = named[at] < 0
+            fine[one[owner[slot] >= 0]] = False
+            # where two ask for the same, the one that is written last may have it
+            one, slot, asks = one[fine[one]], slot[fine[one]], np.flatnonzero(fine)
+            named[at[asks]] = waiting[asks]
+            owner[slot] = waiting[one]
+            won = np.zeros(len(waiting), bool)
+            won[asks] = named[at[asks]] == waiting[asks]
+            won[one[owner[slot] != waiting[one]]] = False
+            lost = asks[~won[asks]]
+            mine = named[at[lost]] == waiting[lost]
+            named[at[lost[mine]]] = -1
+            beaten = ~won[one] & (owner[slot] == waiting[one])
+            owner[slot[beaten]] = -1
+            place[waiting[won]] = at[won]
+            waiting = waiting[~won]
+    table = np.full(len(owner), -1, np.int64)
+    source = np.repeat(np.arange(len(moves)), degree)
+    table[place[source] + symbol] = place[source] << 32 | place[to]
+    first = np.zeros(width, np.int64)
+    for s, state in moves[0].items():
+        first[s] = place[state]
+    return first, table
 
 
 class Reference:
@@ -111,35 +165,31 @@ class Reference:
         # symbol 0: letters that the reference does not have
         self.name, self.known = name, np.sort(known)
         self.size = max(2, len(codes))
-        table = automaton(self.symbols(codes).tolist(), SYMBOLS)
         # a letter that the reference does not have is a phrase by itself: a state that nothing follows
-        self.table = np.concatenate([table, np.zeros((1, SYMBOLS), np.int32)])
-        self.table[:, 0] = 0
-        self.table[0, 0] = len(table)
+        self.first, self.table = packed(automaton(self.symbols(codes).tolist()), len(self.known) + 1)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1) if len(self.known) else np.zeros(len(codes), np.int64)
-        return np.where(self.known[at] == codes, at + 1, 0).astype(np.uint8) if len(self.known) else np.zeros(len(codes), np.uint8)
+        return self.map().take(codes, mode="clip")
 
     def map(self) -> np.ndarray:
-        out = np.zeros(sys.maxunicode + 1, np.uint8)
+        """Symbol of every code point up to the highest known one, and 0 for those above."""
+        out = np.zeros(int(self.known.max(initial=0)) + 2, np.int32)
         out[self.known] = np.arange(1, len(self.known) + 1)
         return out
 
 
-def phrases(grid: np.ndarray, live: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(grid: np.ndarray, live: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Phrases of each column of a grid of symbols (columns by falling length; ``live[t]`` of them
     are longer than ``t``)."""
-    width, flat = table.shape[1], table.ravel()
-    count, state = np.zeros(grid.shape[1], np.int32), np.zeros(grid.shape[1], np.int32)
-    for t in range(len(live)):
+    count, state = np.ones(grid.shape[1], np.int32), first.take(grid[0])
+    for t in range(1, len(live)):
         k = live[t]
         symbol = grid[t, :k]
-        to = flat.take(state[:k] * width + symbol)
-        ended = to == 0
+        to = table.take(state[:k] + symbol)
+        ended = to >> 32 != state[:k]
         count[:k] += ended
-        state[:k] = np.where(ended, flat.take(symbol), to)
-    return count + (state > 0)
+        state[:k] = np.where(ended, first.take(symbol), to & 0xFFFFFFFF)
+    return count
 
 
 def parse(codes: np.ndarray, bounds: np.ndarray, references: list[Reference], maps: list[np.ndarray]) -> np.ndarray:
@@ -159,7 +209,7 @@ def parse(codes: np.ndarray, bounds: np.ndarray, references: list[Reference], ma
     live = np.searchsorted(-length, -np.arange(steps), "left")
     at = np.minimum(start[None, :] + np.arange(steps)[:, None], len(codes) - 1)
     for k, (r, m) in enumerate(zip(references, maps)):
-        out[:, k] = np.bincount(owner, phrases(m[codes][at], live, r.table), len(n)).astype(np.int64)
+        out[:, k] = np.bincount(owner, phrases(m.take(codes, mode="clip")[at], live, r.first, r.table), len(n)).astype(np.int64)
     return out
 
 
@@ -183,23 +233,27 @@ class Judge:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where=None,
-          documents: int = DOCUMENTS, reference: int = REFERENCE) -> list[Reference]:
+          documents: int = DOCUMENTS) -> list[Reference]:
     """Automata of the languages, sorted by name.  ``where``: a condition on the column ``id``."""
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), F.col(f"`{lang_col}`").alias("name")).where(
         "name IS NOT NULL AND body IS NOT NULL")
     if where is not None:
         known = known.where(where)
-    sizes = known.groupBy("name").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("id", "name"), F.lit(1 << 32)) / float(1 << 32)
-    # about four times as many as needed, so that hardly any language gets fewer
+    ready(docs.sparkSession)
+    known = known.where(F.col("body").rlike("\\p{L}")).withColumn("hash", F.xxhash64("body", "name"))
+    sizes = known.groupBy("name").agg(F.count_distinct("hash").alias("n"))
+    draw = F.pmod("hash", F.lit(1 << 32)) / float(1 << 32)
+    # about four times as many as needed, so that hardly any language gets fewer; copies have equal draws
     drawn = known.join(F.broadcast(sizes), "name").withColumn("draw", draw).where(F.col("draw") < F.lit(4.0 * documents) / F.col("n"))
-    letters = "[^\\p{L}]+"
-    drawn = drawn.withColumn("size", F.length(F.regexp_replace("body", letters, " "))).where("size > 1")
-    first = drawn.selectExpr("name", "body", "row_number() OVER (PARTITION BY name ORDER BY draw, body) AS k").where(F.col("k") <= documents)
-    rows = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "body"))).alias("rows")).select(
-        "name", F.transform("rows", lambda r: F.left(r["body"], F.lit(2 * reference // documents))).alias("texts")).collect()
-    share = min(reference, TABLES // (max(1, len(rows)) * 2 * SYMBOLS * 4))
-    return [Reference(r.name, " ".join(r.texts)[:share]) for r in sorted(rows, key=lambda r: r.name)]
+    distinct = drawn.groupBy("name", "draw", "body").agg(F.count("*"))
+    first = distinct.selectExpr("name", "body", "row_number() OVER (PARTITION BY name ORDER BY draw, body) AS k").where(F.col("k") <= documents)
+
+    def build(rows: pa.Table) -> pa.Table:
+        name, texts = rows["name"][0].as_py(), rows.sort_by("k")["body"].to_pylist()
+        return pa.table({"model": pa.array([pickle.dumps(Reference(name, " ".join(texts)))], pa.binary())})
+
+    found = first.groupBy("name").applyInArrow(build, "model binary").collect()  # one row per language
+    return sorted((pickle.loads(r.model) for r in found), key=lambda r: r.name)
 
 
 def detect(docs: DataFrame, references: list[Reference], text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:

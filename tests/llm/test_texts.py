@@ -157,6 +157,22 @@ def test_phrases_equal_a_plain_greedy_parse():
     assert got == count
 
 
+def test_languages_are_learned_from_whole_distinct_texts(spark):
+    header = "0123 " * 400 + "licence granted to whom it may concern " * 60
+    rows = [(i, header + text, lang) for i, text, lang in languages(random.Random(4))]
+    rows += [(1000 + i, "ba " * 50, "aa") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = {r.name: r for r in language.learn(docs, documents=500)}
+    for name, ref in refs.items():
+        texts = {text for _, text, lang in rows if lang == name}
+        assert ref.size == len(language.letters_of([" ".join(texts)])[0])
+    got = {r.doc_id: r for r in language.digest(docs).collect()}
+    held = [r for r in rows[:240] if got[r[0]].held_out]
+    assert len(held) > 20 and all(got[i].lang_pred == lang for i, _, lang in held)
+    # copies count once among the few that are taken
+    assert min(r.size for r in language.learn(docs, documents=20)) > 20 * 2000
+
+
 def labelled(spark, rng, n=500):
     rows, labels = [], []
     for i in range(n):
