@@ -6,7 +6,7 @@ has no transition, which ends the phrase, and starts anew.  ``c`` phrases over a
 ``N`` letters estimate the cross entropy as ``c * log2(N) / letters``; the language with the least
 entropy wins (ties: smaller name), and the score is its weight among ``2 ** (-SHARPNESS * entropy)``.
 
-Letters are lower-cased, and any run of other characters is one separator.  All stretches of
+Every letter of a reference is a symbol, so alphabets are of any size.  Letters are lower-cased, and any run of other characters is one separator.  All stretches of
 all texts in a slice step through the automaton at once as NumPy arrays; whole texts are parsed, in
 stretches of ``STRETCH`` letters.
 
@@ -39,7 +39,6 @@ from .frames import ready
 DOCUMENTS = 48
 STRETCH = 512
 SHARPNESS = 8.0
-SYMBOLS = 64
 #: Characters parsed at once.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -160,10 +159,8 @@ class Reference:
 
     def __init__(self, name: str, text: str):
         codes, _, _ = letters_of([text])
-        known, counts = np.unique(codes, return_counts=True)
-        known = known[np.lexsort((known, -counts))][:SYMBOLS - 1]
-        # symbol 0: letters that the reference does not have
-        self.name, self.known = name, np.sort(known)
+        # symbol 0: letters that the reference does not have; each one that it has is a symbol
+        self.name, self.known = name, np.unique(codes)
         self.size = max(2, len(codes))
         # a letter that the reference does not have is a phrase by itself: a state that nothing follows
         self.first, self.table = packed(automaton(self.symbols(codes).tolist()), len(self.known) + 1)

@@ -173,6 +173,20 @@ def test_languages_are_learned_from_whole_distinct_texts(spark):
     assert min(r.size for r in language.learn(docs, documents=20)) > 20 * 2000
 
 
+def test_large_alphabets_are_whole():
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    words = {name: ["".join(rng.choices(han, k=4)) for _ in range(600)] for name in ("xx", "yy")}
+    refs = [language.Reference(name, " ".join(words[name])) for name in ("xx", "yy")]
+    judge = language.Judge(refs)
+    text = " ".join(words["yy"][100:140])
+    codes, bounds, _ = language.letters_of([text])
+    assert language.parse(codes, bounds, refs, judge.maps)[0, 1] == 1
+    texts = ["".join(rng.sample(words[name], 20)) for name in ("xx", "yy") * 20]
+    found, score = judge(texts)
+    assert found == ["xx", "yy"] * 20 and score.min() > 0.9
+
+
 def labelled(spark, rng, n=500):
     rows, labels = [], []
     for i in range(n):
