@@ -7,7 +7,10 @@ list.  Vectors are turned by a random rotation, so that any first dimensions are
 *Search.*  A query probes its nearest lists.  Candidates are scanned in column blocks: after each block
 the partial distance, scaled to all dimensions, is tested against the query's current k-th best, and a
 candidate is abandoned if it is farther by more than ``1 + EPSILON / sqrt(d)`` allows.  Those that
-reach the last block compete for the k best, which are scored in double precision on the original vectors.
+reach the last block no farther than the k-th best, or tied with it within float error (``SLACK``), are scored in
+double precision on the original vectors and compete for the k best by score and id.
+
+Equal vectors are one candidate, which stands for its smallest ids (as many as any query can get).
 
 The number of probed lists is measured when the index is fitted: the smallest that finds ``TARGET`` of
 the true neighbours of sample queries in the sample, by brute force (data without clusters probes
@@ -42,6 +45,8 @@ from .frames import ready, stored
 SAMPLE, SAMPLE_QUERIES = 16_384, 256
 TARGET = 0.975
 EPSILON = 2.1
+#: Distances (of vectors of norm 1) that float32 may not tell apart.
+SLACK = 1e-5
 #: Columns of the blocks after the first, which has twice as many.
 BLOCK = 8
 GROUP_ROWS, GROUP_QUERIES = 8_192, 4_096
@@ -59,6 +64,17 @@ def participants(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.join(F.broadcast(common.select("n")), F.size("v") == F.col("n"), "left_semi")
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(ids, v): every vector once, with so many of its smallest ids that any query finds ``k`` that
+    are not its own: ``k + 1`` ids, each at most ``k`` times."""
+    counted = rows.groupBy("v", "vec").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    # the ranking is cut before the shuffle, so a large group of copies does not meet in one task
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec"))
+    few = counted.withColumn("place", place).where(F.col("place") <= k + 1)
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec", "n"))), lambda x: F.array_repeat(x["vec"], x["n"])))
+    return few.groupBy("v").agg(ids.alias("ids")).select("ids", "v")
+
+
 class Index:
     """Centroids, rotation and the number of probed lists."""
 
@@ -95,6 +111,17 @@ class Index:
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
 
+    def limits(self, score: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Distances at which candidates have these scores."""
+        return (self.norm ** 2 + (queries * queries).sum(1) - 2 * score) / self.norm ** 2
+
+    @staticmethod
+    def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        out = np.empty(len(queries))
+        for i in range(0, len(out), 1 << 14):
+            out[i:i + (1 << 14)] = np.einsum("ij,ij->i", queries[i:i + (1 << 14)], candidates[i:i + (1 << 14)])
+        return out
+
     def ranked(self, x: np.ndarray) -> np.ndarray:
         """Lists from the nearest on."""
         return np.argsort(self.distances(x, self.centroids), axis=1, kind="stable")
@@ -106,32 +133,34 @@ def _matrix(column) -> np.ndarray:
 
 
 def fit(rows: DataFrame, k: int) -> tuple[Index, int]:
-    """The index of ``rows`` (vec, v), and their number."""
+    """The index of ``rows`` (ids, v), and their number."""
     count, norm = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not count:
         return None, 0
     rate = min(1.0, 1.5 * SAMPLE / count)
-    order = F.xxhash64("vec", F.lit("sample"))
-    drawn = rows.where(F.pmod(order, F.lit(1 << 32)) <= F.lit(rate * (1 << 32))).orderBy(order, "vec").limit(SAMPLE)
+    order = F.xxhash64("v", F.lit("sample"))
+    drawn = rows.where(F.pmod(order, F.lit(1 << 32)) <= F.lit(rate * (1 << 32))).select("v", order.alias("hash")).orderBy("hash", "v").limit(SAMPLE)
 
     def work(batches):
-        parts = [(np.asarray(b.column(0)), _matrix(b.column(1))) for b in batches if b.num_rows]
-        ids, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        parts = [(_matrix(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+        v, hashes = (np.concatenate(x) for x in zip(*parts))
         rng = np.random.default_rng(3)
-        v = v[np.argsort(ids, kind="stable")][rng.permutation(len(v))]
+        v = v[np.lexsort((*v.T[::-1], hashes))][rng.permutation(len(v))]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Index(v, count, math.sqrt(norm), k))])], ["model"])
 
     model = drawn.repartition(1).mapInArrow(work, "model binary").first().model
     return pickle.loads(model), count
 
 
-def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, probed: np.ndarray, k: int):
-    """(query row, candidate row) of the k nearest of each query among the candidates of its probed lists
-    (``probed``: queries x lists, the group's lists numbered as ``lists`` is)."""
+def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarray, sole: np.ndarray, queries: np.ndarray, own: np.ndarray, probed: np.ndarray, k: int):
+    """(query row, candidate row, score) of the k nearest of each query among the candidates of its probed
+    lists (``probed``: queries x lists, the group's lists numbered as ``lists`` is).  ``ids``: the two smallest
+    different ids of each candidate; ``sole``: it has the first one only."""
     c, q = index.lifted(candidates), index.lifted(queries, query=True)
     d = c.shape[1]
     cuts = [0, *range(min(2 * BLOCK, d), d, BLOCK), d]
-    best = np.full((len(q), k), np.inf, np.float32)
+    best = np.full((len(q), k), -np.inf)
+    name = np.full((len(q), k), np.iinfo(np.int64).max)
     at = np.full((len(q), k), -1, np.int64)
     order = np.argsort(lists, kind="stable")
     edges = np.searchsorted(lists[order], np.arange(probed.shape[1] + 1))
@@ -143,7 +172,7 @@ def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarra
             for j in range(0, len(askers), 256):
                 who = askers[j:j + 256]
                 x, y = q[who], c[rows]
-                limit = best[who, -1]
+                limit = index.limits(best[who, -1], queries[who]).astype(np.float32)
                 partial = np.zeros((len(who), len(rows)), np.float32)
                 pairs = None
                 for a, z in zip(cuts[:-1], cuts[1:]):
@@ -152,7 +181,7 @@ def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarra
                     else:
                         partial[pairs] += ((x[pairs[0], a:z] - y[pairs[1], a:z]) ** 2).sum(1)
                     if z < d:
-                        bound = limit * np.float32((1 + EPSILON / math.sqrt(z)) ** 2 * z / d)
+                        bound = limit * np.float32((1 + EPSILON / math.sqrt(z)) ** 2 * z / d) + np.float32(SLACK)
                         if pairs is None:
                             dead = partial > bound[:, None]
                             partial[dead] = np.inf
@@ -162,16 +191,27 @@ def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarra
                             dead = partial[pairs] > bound[pairs[0]]
                             partial[pairs[0][dead], pairs[1][dead]] = np.inf
                             pairs = tuple(p[~dead] for p in pairs)
-                partial[own[who][:, None] == ids[rows][None, :]] = np.inf
-                both = np.concatenate([best[who], partial], 1)
-                names = np.concatenate([at[who], np.broadcast_to(rows, partial.shape)], 1)
-                keep = np.argpartition(both, k - 1, axis=1)[:, :k]
-                value = np.take_along_axis(both, keep, 1)
-                sort = np.argsort(value, axis=1, kind="stable")
-                best[who] = np.take_along_axis(value, sort, 1)
-                at[who] = np.take_along_axis(np.take_along_axis(names, keep, 1), sort, 1)
-    found = np.isfinite(best)
-    return np.nonzero(found)[0], at[found]
+                partial[(own[who][:, None] == ids[rows, 0][None, :]) & sole[rows][None, :]] = np.inf
+                if len(rows) > k:  # of these no more than the k nearest and their ties can count
+                    limit = np.minimum(limit, np.partition(partial, k - 1, axis=1)[:, k - 1])
+                a, b = np.nonzero(partial <= (limit + np.float32(SLACK))[:, None])
+                alive = np.isfinite(partial[a, b])
+                a, b = a[alive], rows[b[alive]]
+                score = index.scores(queries[who[a]], candidates[b])
+                smallest = np.where(ids[b, 0] == own[who[a]], ids[b, 1], ids[b, 0])
+                better = (score > best[who[a], -1]) | ((score == best[who[a], -1]) & (smallest < name[who[a], -1]))
+                a, b, score, smallest = a[better], b[better], score[better], smallest[better]
+                # merged with those kept so far: by score, then id
+                asks = np.concatenate([np.repeat(np.arange(len(who)), k), a])
+                score = np.concatenate([best[who].ravel(), score])
+                smallest = np.concatenate([name[who].ravel(), smallest])
+                b = np.concatenate([at[who].ravel(), b])
+                sort = np.lexsort((b < 0, smallest, -score, asks))
+                asks = asks[sort]
+                first = sort[np.arange(len(asks)) - np.searchsorted(asks, asks) < k].reshape(len(who), k)
+                best[who], name[who], at[who] = score[first], smallest[first], b[first]
+    found = at >= 0
+    return np.nonzero(found)[0], at[found], best[found]
 
 
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -183,7 +223,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     spark = vectors.sparkSession
     ready(spark)
     rows = participants(vectors, id_col, vector_col)
-    index, count = fit(rows, k)
+    nodes = stored(distinct(rows, k), "ann-vectors")
+    index, count = fit(nodes, k)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
@@ -192,9 +233,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         for batch in batches:
             if batch.num_rows:
                 order = shared.value.ranked(shared.value.lifted(_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order[:, 0].astype(np.int32))], ["vec", "v", "list"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order[:, 0].astype(np.int32))], ["ids", "v", "list"])
 
-    listed = stored(rows.mapInArrow(assign, "vec long, v array<double>, list int"), "ann-lists")
+    listed = stored(nodes.mapInArrow(assign, "ids array<long>, v array<double>, list int"), "ann-lists")
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in listed.groupBy("list").count().collect():  # one row per list: bounded by the index
         sizes[r["list"]] = r["count"]
@@ -232,7 +273,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     n_cut = F.array(*[F.lit(int(c)) for c in cuts])
     n_ask = F.array(*[F.lit(a) for a in asks])
     whole = listed.withColumn("grp", grp)
-    left = (whole.withColumn("cut", F.pmod(F.xxhash64("vec", "v"), F.element_at(n_cut, F.col("grp") + 1)).cast("int"))
+    left = (whole.withColumn("cut", F.pmod(F.xxhash64("v"), F.element_at(n_cut, F.col("grp") + 1)).cast("int"))
             .withColumn("ask", F.explode(F.sequence(F.lit(0), F.element_at(n_ask, F.col("grp") + 1) - 1))))
     right = (asked.withColumn("ask", F.pmod(F.xxhash64("vec", F.lit("ask")), F.element_at(n_ask, F.col("grp") + 1)).cast("int"))
              .withColumn("cut", F.explode(F.sequence(F.lit(0), F.element_at(n_cut, F.col("grp") + 1) - 1))))
@@ -240,20 +281,32 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     def meet(c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, own = c["vec"].to_numpy(), q["vec"].to_numpy()
+        names = c["ids"].combine_chunks()
+        flat, starts = names.flatten().to_numpy(), np.concatenate([[0], np.cumsum(names.value_lengths().to_numpy())])
+        own = q["vec"].to_numpy()
         v, w = _matrix(c["v"].combine_chunks()), _matrix(q["v"].combine_chunks())
-        names, lists = np.unique(c["list"].to_numpy(), return_inverse=True)
-        lookup = {int(n): i for i, n in enumerate(names)}
-        probed = np.zeros((len(own), len(names)), bool)
+        # ids are sorted: the first other one follows the copies of the smallest
+        other = np.maximum.reduceat(flat, starts[:-1])
+        sole = flat[starts[:-1]] == other
+        follows = np.where(flat > np.repeat(flat[starts[:-1]], np.diff(starts)), flat, np.iinfo(np.int64).max)
+        ids = np.stack([flat[starts[:-1]], np.where(sole, other, np.minimum.reduceat(follows, starts[:-1]))], 1)
+        held, lists = np.unique(c["list"].to_numpy(), return_inverse=True)
+        lookup = {int(n): i for i, n in enumerate(held)}
+        probed = np.zeros((len(own), len(held)), bool)
         for r, some in enumerate(q["lists"].to_pylist()):
             probed[r, [lookup[x] for x in some if x in lookup]] = True
-        a, b = scan(shared.value, v, lists, ids, w, own, probed, k + 4)
-        score = np.einsum("ij,ij->i", w[a], v[b])
-        order = np.lexsort((ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        kept = rank < k
-        return pa.table({"query_id": own[a[kept]], "vec_id": ids[b[kept]], "score": score[kept]})
+        a, b, score = scan(shared.value, v, lists, ids, sole, w, own, probed, k)
+        # every candidate found is as many rows as it has ids
+        size = np.diff(starts)[b]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[b], size)
+        a, score, vec = np.repeat(a, size), np.repeat(score, size), flat[place]
+        others = vec != own[a]
+        a, score, vec = a[others], score[others], vec[others]
+        order = np.lexsort((vec, -score, a))
+        a, score, vec = a[order], score[order], vec[order]
+        kept = np.arange(len(a)) - np.searchsorted(a, a) < k
+        a, score, vec = a[kept], score[kept], vec[kept]
+        return pa.table({"query_id": own[a], "vec_id": vec, "score": score})
 
     met = left.groupBy("grp", "cut", "ask").cogroup(right.groupBy("grp", "cut", "ask")).applyInArrow(meet, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

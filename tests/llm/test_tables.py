@@ -118,6 +118,28 @@ def test_neighbours_recall_and_scores(spark, clustered, monkeypatch):
     assert hits / (20 * len(want)) >= 0.95
 
 
+def test_tied_neighbours_are_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "GROUP_ROWS", 300)
+    rng = np.random.default_rng(6)
+    # groups of copies, and different vectors of equal scores
+    v = np.concatenate([rng.standard_normal((300, 12)), np.repeat(rng.standard_normal((3, 12)) * 1.5, 400, axis=0),
+                        rng.integers(-1, 2, (900, 12)) + np.eye(12)[rng.integers(0, 12, 900)] * 4])
+    v = v[rng.permutation(len(v))].astype(np.float32).astype(np.float64)
+    monkeypatch.setattr(nearest, "TARGET", 1.0)
+    monkeypatch.setattr(nearest, "EPSILON", 9.0)
+    ids = np.concatenate([np.arange(len(v) - 60), np.full(60, 40)])
+    rows = [(int(i), x.tolist()) for i, x in zip(ids, v)]
+    got = defaultdict(list)
+    for r in nearest.digest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in got:
+        own = np.array(min(x for i, x in rows if i == q))
+        others = np.flatnonzero(ids != q)
+        s = np.einsum("ij,ij->i", v[others], np.broadcast_to(own, (len(others), 12)))
+        assert got[q] == ids[others[np.lexsort((ids[others], -s))][:20]].tolist(), q
+    assert len(got) == len({i for i in ids.tolist() if i % 20 == 0})
+
+
 def test_neighbour_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]),
             (8, [float("inf"), 0.0]), (20, [2.0, 0.0]), (20, [3.0, 0.0]), (40, [0.0, 0.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
