@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by an adaptive dimension scan over probed lists.
 
-*Index.*  Largest inner product becomes smallest distance by one dimension more (what a vector's norm
-lacks to the largest one).  Centroids are fitted on a bounded sample; every vector is assigned to its
-list.  Vectors are turned by a random rotation, so that any first dimensions are a fair sample.
+*Index.*  Vectors are split into bands, each of norms down to half its largest, and queries are scaled to norm 1.
+In a band, largest inner product becomes smallest distance by one dimension more (what a vector's norm
+lacks to the band's largest one).  Centroids of every band are fitted on a bounded sample; every vector is
+assigned to a list of its band.  Scaling goes by powers of two, so norms of any size neither overflow nor round.  Vectors are turned by a random rotation, so that any first dimensions are a fair sample.
 
-*Search.*  A query probes its nearest lists.  Candidates are scanned in column blocks: after each block
+*Search.*  A query probes its nearest lists of every band.  Candidates are scanned in column blocks: after each block
 the partial distance, scaled to all dimensions, is tested against the query's current k-th best, and a
 candidate is abandoned if it is farther by more than ``1 + EPSILON / sqrt(d)`` allows.  Those that
 reach the last block no farther than the k-th best, or tied with it within float error (``SLACK``), are scored in
@@ -12,9 +13,9 @@ double precision on the original vectors and compete for the k best by score and
 
 Equal vectors are one candidate, which stands for its smallest ids (as many as any query can get).
 
-The number of probed lists is measured when the index is fitted: the smallest that finds ``TARGET`` of
-the true neighbours of sample queries in the sample, by brute force (data without clusters probes
-nearly all lists).
+The number of probed lists is measured for each band when the index is fitted: the smallest that finds ``TARGET``
+of the true neighbours of sample queries in the sample, by brute force in double precision (data without
+clusters probes nearly all lists).
 
 Lists are dealt to groups of about ``GROUP_ROWS`` vectors; lists above that, and queries above
 ``GROUP_QUERIES`` in a group, are split by hash, so a task holds bounded blocks.  A query meets each
@@ -75,46 +76,101 @@ def distinct(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(ids.alias("ids")).select("ids", "v")
 
 
+def log_norms(v: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the norms."""
+    e = np.frexp(np.abs(v).max(1))[1]
+    x = np.ldexp(v, -e[:, None])
+    return e + 0.5 * np.log2((x * x).sum(1))
+
+
 class Index:
-    """Centroids, rotation and the number of probed lists."""
+    """Centroids and numbers of probed lists of every band of norms, and the rotation.  ``top``: binary logarithm of the
+    largest norm; ``rows``: vectors in each band that has any (band b: norms from 2 ** (top - b) down)."""
 
-    def __init__(self, sample: np.ndarray, rows: int, norm: float, k: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, rows: dict[int, int], top: float, k: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         d = sample.shape[1] + 1
-        self.norm = norm
+        self.top, self.exponent = top, math.ceil(top)
         self.turn = np.linalg.qr(rng.standard_normal((d, d)))[0].astype(np.float32)
-        x = self.lifted(sample)
-        lists = max(1, min(4096, round(math.sqrt(rows) / 4), len(x) // 8))
-        self.centroids = x[rng.choice(len(x), lists, replace=False)]
-        for _ in range(ITERATIONS):
-            own = self.ranked(x)[:, 0]
-            for c in range(lists):
-                if (own == c).any():
-                    self.centroids[c] = x[own == c].mean(0)
-        own = self.ranked(x)[:, 0]
-        self.probes = lists
-        if len(x) > 2 * k and lists > 1:
-            q = self.lifted(sample[:SAMPLE_QUERIES], query=True)
-            near = np.argpartition(self.distances(q, x), k, axis=1)[:, :k + 1]
-            order = self.ranked(q)
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.arange(lists)[None, :].repeat(len(q), 0), 1)
-            needed = np.sort(np.take_along_axis(place, own[near], 1).ravel()) + 1
-            self.probes = int(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)))])
+        x, band = self.lifted(sample), self.bands(sample)
+        centroids, self.first, at = [], {}, 0
+        for b in sorted(rows):
+            y = x[band == b]
+            lists = max(1, min(4096, round(math.sqrt(rows[b]) / 4), len(y) // 8))
+            self.first[b] = (at, at + lists)
+            at += lists
+            c = y[rng.choice(len(y), lists, replace=False)] if len(y) else np.zeros((1, d), np.float32)
+            for _ in range(ITERATIONS if lists > 1 else 0):
+                own = self.distances(y, c).argmin(1)
+                for one in range(lists):
+                    if (own == one).any():
+                        c[one] = y[own == one].mean(0)
+            centroids.append(c)
+        self.centroids = np.concatenate(centroids)
+        #: of every list
+        self.band, self.probes = (np.zeros(at, np.int64) for _ in range(2))
+        for b, (i, j) in self.first.items():
+            self.band[i:j], self.probes[i:j] = b, j - i
+        if len(x) > 2 * k and at > len(rows):
+            own = self.lists(sample)
+            q, _ = self.scaled(sample[:SAMPLE_QUERIES])
+            near = np.argpartition(-(q @ self.shrunk(sample).T), k, axis=1)[:, :k + 1]
+            needed = np.take_along_axis(self.places(self.lifted(sample[:SAMPLE_QUERIES], query=True)), own[near], 1) + 1
+            for b, (i, j) in self.first.items():
+                some = np.sort(needed[self.band[own[near]] == b])
+                self.probes[i:j] = some[min(len(some) - 1, math.ceil(TARGET * len(some)))] if len(some) else 1
+
+    def bands(self, v: np.ndarray) -> np.ndarray:
+        return np.floor(np.maximum(self.top - log_norms(v), 0)).astype(np.int64)
+
+    @staticmethod
+    def scaled(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries of components up to 1, and the exponents taken from them."""
+        e = np.frexp(np.abs(queries).max(1, initial=0))[1]
+        return np.ldexp(queries, -e[:, None]), e
+
+    def shrunk(self, v: np.ndarray) -> np.ndarray:
+        """Vectors by the scale of the largest norm."""
+        return np.ldexp(v, -self.exponent)
 
     def lifted(self, v: np.ndarray, query: bool = False) -> np.ndarray:
-        """Vectors with the dimension that makes norms equal (0 for queries), rotated."""
-        extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.norm ** 2 - (v * v).sum(1), 0))
-        return (np.concatenate([v, extra[:, None]], 1) / self.norm).astype(np.float32) @ self.turn
+        """Vectors by their band's largest norm with the dimension that makes norms equal, or queries of norm 1 with 0
+        there; rotated."""
+        if query:
+            x, _ = self.scaled(v)
+            x = x / np.sqrt((x * x).sum(1))[:, None]
+            extra = np.zeros(len(v))
+        else:
+            x = np.ldexp(v, (self.bands(v) - self.exponent)[:, None]) / 2.0 ** (self.top - self.exponent)
+            extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+        return np.concatenate([x, extra[:, None]], 1).astype(np.float32) @ self.turn
+
+    def lists(self, v: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        x, band, out = self.lifted(v), self.bands(v), np.zeros(len(v), np.int64)
+        for b in np.unique(band):
+            i, j = self.first[int(b)]
+            of = band == b
+            out[of] = i + self.distances(x[of], self.centroids[i:j]).argmin(1)
+        return out
+
+    def places(self, q: np.ndarray) -> np.ndarray:
+        """How many lists of its band are nearer to each query than each list."""
+        out = np.zeros((len(q), len(self.centroids)), np.int64)
+        for i, j in self.first.values():
+            order = np.argsort(self.distances(q, self.centroids[i:j]), axis=1, kind="stable")
+            np.put_along_axis(out[:, i:j], order, np.arange(j - i)[None, :].repeat(len(q), 0), 1)
+        return out
+
+    def limits(self, score: np.ndarray, queries: np.ndarray, band: int) -> np.ndarray:
+        """Distances at which candidates of a band have these (scaled) scores."""
+        with np.errstate(over="ignore"):
+            return 2 - 2 * np.ldexp(score, band) / (np.sqrt((queries * queries).sum(1)) * 2.0 ** (self.top - self.exponent))
 
     @staticmethod
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
 
-    def limits(self, score: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        """Distances at which candidates have these scores."""
-        return (self.norm ** 2 + (queries * queries).sum(1) - 2 * score) / self.norm ** 2
-
     @staticmethod
     def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         out = np.empty(len(queries))
@@ -122,10 +178,6 @@ class Index:
             out[i:i + (1 << 14)] = np.einsum("ij,ij->i", queries[i:i + (1 << 14)], candidates[i:i + (1 << 14)])
         return out
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        """Lists from the nearest on."""
-        return np.argsort(self.distances(x, self.centroids), axis=1, kind="stable")
-
 
 def _matrix(column) -> np.ndarray:
     flat = column.flatten().to_numpy()
@@ -134,9 +186,22 @@ def _matrix(column) -> np.ndarray:
 
 def fit(rows: DataFrame, k: int) -> tuple[Index, int]:
     """The index of ``rows`` (ids, v), and their number."""
-    count, norm = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    def highest(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([log_norms(_matrix(batch.column(0))).max()]), pa.array([batch.num_rows])], ["top", "n"])
+
+    top, count = rows.select("v").mapInArrow(highest, "top double, n long").agg(F.max("top"), F.sum("n")).first()
     if not count:
         return None, 0
+
+    def banded(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.maximum(top - log_norms(_matrix(batch.column(0))), 0)).astype(np.int64))], ["band"])
+
+    # one row per band: powers of two between the norms, of which there are few
+    sizes = {r["band"]: r["count"] for r in rows.select("v").mapInArrow(banded, "band long").groupBy("band").count().collect()}
     rate = min(1.0, 1.5 * SAMPLE / count)
     order = F.xxhash64("v", F.lit("sample"))
     drawn = rows.where(F.pmod(order, F.lit(1 << 32)) <= F.lit(rate * (1 << 32))).select("v", order.alias("hash")).orderBy("hash", "v").limit(SAMPLE)
@@ -146,17 +211,18 @@ def fit(rows: DataFrame, k: int) -> tuple[Index, int]:
         v, hashes = (np.concatenate(x) for x in zip(*parts))
         rng = np.random.default_rng(3)
         v = v[np.lexsort((*v.T[::-1], hashes))][rng.permutation(len(v))]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Index(v, count, math.sqrt(norm), k))])], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Index(v, sizes, top, k))])], ["model"])
 
     model = drawn.repartition(1).mapInArrow(work, "model binary").first().model
     return pickle.loads(model), count
 
 
-def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarray, sole: np.ndarray, queries: np.ndarray, own: np.ndarray, probed: np.ndarray, k: int):
-    """(query row, candidate row, score) of the k nearest of each query among the candidates of its probed
-    lists (``probed``: queries x lists, the group's lists numbered as ``lists`` is).  ``ids``: the two smallest
+def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarray, sole: np.ndarray, queries: np.ndarray, own: np.ndarray, probed: np.ndarray, bands: np.ndarray, k: int):
+    """(query row, candidate row, scaled score) of the k nearest of each query among the candidates of its probed
+    lists (``probed``: queries x lists, the group's lists numbered as ``lists`` is; ``bands``: theirs).  ``ids``: the two smallest
     different ids of each candidate; ``sole``: it has the first one only."""
     c, q = index.lifted(candidates), index.lifted(queries, query=True)
+    candidates, (queries, _) = index.shrunk(candidates), index.scaled(queries)
     d = c.shape[1]
     cuts = [0, *range(min(2 * BLOCK, d), d, BLOCK), d]
     best = np.full((len(q), k), -np.inf)
@@ -172,7 +238,7 @@ def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarra
             for j in range(0, len(askers), 256):
                 who = askers[j:j + 256]
                 x, y = q[who], c[rows]
-                limit = index.limits(best[who, -1], queries[who]).astype(np.float32)
+                limit = index.limits(best[who, -1], queries[who], int(bands[one])).astype(np.float32)
                 partial = np.zeros((len(who), len(rows)), np.float32)
                 pairs = None
                 for a, z in zip(cuts[:-1], cuts[1:]):
@@ -181,7 +247,7 @@ def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarra
                     else:
                         partial[pairs] += ((x[pairs[0], a:z] - y[pairs[1], a:z]) ** 2).sum(1)
                     if z < d:
-                        bound = limit * np.float32((1 + EPSILON / math.sqrt(z)) ** 2 * z / d) + np.float32(SLACK)
+                        bound = np.maximum(limit, 0) * np.float32((1 + EPSILON / math.sqrt(z)) ** 2 * z / d) + np.float32(SLACK)
                         if pairs is None:
                             dead = partial > bound[:, None]
                             partial[dead] = np.inf
@@ -214,7 +280,8 @@ def scan(index: Index, candidates: np.ndarray, lists: np.ndarray, ids: np.ndarra
     return np.nonzero(found)[0], at[found], best[found]
 
 
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+#: ``key`` orders the scores of a query, also where ``score`` overflows.
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("key", T.DoubleType())])
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -232,8 +299,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                order = shared.value.ranked(shared.value.lifted(_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order[:, 0].astype(np.int32))], ["ids", "v", "list"])
+                lists = shared.value.lists(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.astype(np.int32))], ["ids", "v", "list"])
 
     listed = stored(nodes.mapInArrow(assign, "ids array<long>, v array<double>, list int"), "ann-lists")
     sizes = np.zeros(len(index.centroids), np.int64)
@@ -251,15 +318,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = shared.value.ranked(shared.value.lifted(_matrix(batch.column(1)), query=True))
-            enough = np.cumsum(sizes[order], axis=1) - sizes[order] <= k
-            taken = (np.arange(order.shape[1])[None, :] < shared.value.probes) | enough
-            row, col = np.nonzero(taken)
-            chosen = order[row, col]
+            place = shared.value.places(shared.value.lifted(_matrix(batch.column(1)), query=True))
+            member = place < shared.value.probes
+            order = np.argsort(np.where(member, -1, place), axis=1, kind="stable")
+            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            np.put_along_axis(member, order, np.take_along_axis(member, order, 1) | (before <= k), 1)
+            row, chosen = np.nonzero(member)
             key = np.unique(row * groups + group_of[chosen])
             row_of, group = key // groups, key % groups
-            member = np.zeros((batch.num_rows, len(sizes)), bool)
-            member[row, chosen] = True
             lists = [np.flatnonzero(member[r] & (group_of == g)).tolist() for r, g in zip(row_of, group)]
             picked = batch.take(pa.array(row_of))
             yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(group.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))],
@@ -280,7 +346,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     def meet(c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "key": pa.array([], pa.float64())})
         names = c["ids"].combine_chunks()
         flat, starts = names.flatten().to_numpy(), np.concatenate([[0], np.cumsum(names.value_lengths().to_numpy())])
         own = q["vec"].to_numpy()
@@ -295,7 +361,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         probed = np.zeros((len(own), len(held)), bool)
         for r, some in enumerate(q["lists"].to_pylist()):
             probed[r, [lookup[x] for x in some if x in lookup]] = True
-        a, b, score = scan(shared.value, v, lists, ids, sole, w, own, probed, k)
+        a, b, score = scan(shared.value, v, lists, ids, sole, w, own, probed, shared.value.band[held], k)
         # every candidate found is as many rows as it has ids
         size = np.diff(starts)[b]
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[b], size)
@@ -306,10 +372,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         a, score, vec = a[order], score[order], vec[order]
         kept = np.arange(len(a)) - np.searchsorted(a, a) < k
         a, score, vec = a[kept], score[kept], vec[kept]
-        return pa.table({"query_id": own[a], "vec_id": vec, "score": score})
+        with np.errstate(over="ignore"):
+            whole = np.ldexp(score, shared.value.scaled(w)[1][a] + shared.value.exponent)
+        return pa.table({"query_id": own[a], "vec_id": vec, "score": whole, "key": score})
 
     met = left.groupBy("grp", "cut", "ask").cogroup(right.groupBy("grp", "cut", "ask")).applyInArrow(meet, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

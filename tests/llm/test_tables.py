@@ -118,15 +118,11 @@ def test_neighbours_recall_and_scores(spark, clustered, monkeypatch):
     assert hits / (20 * len(want)) >= 0.95
 
 
-def test_tied_neighbours_are_the_smallest_ids(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "GROUP_ROWS", 300)
+def test_tied_neighbours_are_the_smallest_ids(spark):
     rng = np.random.default_rng(6)
     # groups of copies, and different vectors of equal scores
-    v = np.concatenate([rng.standard_normal((300, 12)), np.repeat(rng.standard_normal((3, 12)) * 1.5, 400, axis=0),
-                        rng.integers(-1, 2, (900, 12)) + np.eye(12)[rng.integers(0, 12, 900)] * 4])
+    v = np.concatenate([rng.standard_normal((10, 12)), rng.integers(-1, 2, (10, 12)) + np.eye(12)[:10] * 4]).repeat(60, axis=0)
     v = v[rng.permutation(len(v))].astype(np.float32).astype(np.float64)
-    monkeypatch.setattr(nearest, "TARGET", 1.0)
-    monkeypatch.setattr(nearest, "EPSILON", 9.0)
     ids = np.concatenate([np.arange(len(v) - 60), np.full(60, 40)])
     rows = [(int(i), x.tolist()) for i, x in zip(ids, v)]
     got = defaultdict(list)
@@ -140,6 +136,38 @@ def test_tied_neighbours_are_the_smallest_ids(spark, monkeypatch):
     assert len(got) == len({i for i in ids.tolist() if i % 20 == 0})
 
 
+def test_scan_keeps_the_smallest_ids_of_many_tied_vectors(monkeypatch):
+    monkeypatch.setattr(nearest, "EPSILON", 99.0)
+    rng = np.random.default_rng(8)
+    v = np.unique(rng.choice([-1.0, 1.0], (3000, 12)), axis=0)
+    n = len(v)
+    ids = rng.permutation(n)
+    index = nearest.Index(v, {0: n}, float(nearest.log_norms(v).max()), 20)
+    a, b, score = nearest.scan(index, v, np.zeros(n, np.int64), np.stack([ids, ids], 1), np.ones(n, bool), v[:40], ids[:40], np.ones((40, 1), bool), np.zeros(1, np.int64), 20)
+    for q in range(40):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert set(b[a == q].tolist()) == set(np.lexsort((ids, -s))[:20].tolist())
+
+
+@pytest.mark.parametrize("large", [1e4, 1e200])
+def test_neighbours_of_heavy_tailed_norms(spark, monkeypatch, large):
+    monkeypatch.setattr(nearest, "GROUP_ROWS", 300)
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((1500, 24)) * np.exp(rng.standard_normal((1500, 1)))
+    # three vectors of large norm, which half of the queries do not point to
+    v[[101, 702, 1203]] = np.abs(v[[101, 702, 1203]]) * large * [[1.0], [0.5], [0.01]]
+    ids = np.arange(1500)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.digest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+        assert abs(r.score - v[r.query_id] @ v[r.vec_id]) <= 1e-9 * np.abs(v[r.query_id] * v[r.vec_id]).sum()
+    want = brute_nearest(ids, v, 20)
+    assert set(got) == set(want)
+    assert sum(len(set(got[q]) & set(near.tolist())) for q, (near, _) in want.items()) / (20 * len(want)) >= 0.95
+
+
 def test_neighbour_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]),
             (8, [float("inf"), 0.0]), (20, [2.0, 0.0]), (20, [3.0, 0.0]), (40, [0.0, 0.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
