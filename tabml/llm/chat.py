@@ -20,9 +20,10 @@ do meet in one task; nothing else is gathered by conversation.
 
 Defined cases: null text is empty, null role is empty, null score is 0; a message whose parent is
 null or unknown is a root; in a chain, equal turns are ordered by role and text (nulls
-first) and repeated rows all stay; a null conversation id is a conversation of its own; a
+first) and repeated rows all stay; in a tree an id is one message, of rows that share it the smallest by parent,
+role, text and score (nulls first), and a null id is none; a null conversation id is a conversation of its own; a
 conversation without assistant text has an empty mask; an empty table gives an empty result.
-Messages in a cycle have no root and are left out.
+Messages in a cycle (also replies to themselves), and those below one, have no root and are left out.
 """
 
 from __future__ import annotations
@@ -72,29 +73,31 @@ def _links(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     base = nodes.join(known, ["tree", "parent"], "left").select(
         "tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     state, jumps = stored(base, "chat-links"), []
+    largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while True:
         going = state.where("up IS NOT NULL")
         if going.isEmpty():
             return state, jumps
+        if 1 << len(jumps) >= largest:  # more steps up than messages: a cycle
+            return state.where("up IS NULL"), jumps
         jumps.append(going.select("tree", "id", "up"))
         ahead = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
         # only messages that have not reached their root take part: fewer in every round
         farther = going.join(ahead, ["tree", "up"]).select(
             "tree", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score"))
         state = stored(state.where("up IS NULL").unionByName(farther), "chat-links")
-        if len(jumps) >= 62:
-            raise ValueError("a conversation has a cycle of replies")
 
 
-def _acyclic(nodes: DataFrame) -> DataFrame:
-    """Nodes without those whose chain of parents never ends (self-replies and cycles)."""
-    return nodes.where("parent IS NULL OR parent <> id")
+def _unique(nodes: DataFrame) -> DataFrame:
+    """One row per (tree, id): the smallest by parent, role, text and score (nulls first)."""
+    row = F.min(F.struct("parent", "role", "text", "score", "conv")).alias("row")
+    return nodes.where("id IS NOT NULL").groupBy("tree", "id").agg(row).select("tree", "id", "row.*")
 
 
 def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     """The best ``paths`` root-to-leaf paths of every tree of ``messages`` (conv, id, parent, role,
     text, score): conv, tree, leaf, rank, and one row per message with its ``step`` (0: root)."""
-    nodes = stored(_acyclic(_tree(messages)), "chat-nodes")
+    nodes = stored(_unique(_tree(messages)), "chat-nodes")
     links, jumps = _links(nodes.select("tree", "id", "parent", "score"))
     inner = nodes.select("tree", F.col("parent").alias("id")).where("id IS NOT NULL").distinct()
     leaves = links.join(inner, ["tree", "id"], "left_anti")

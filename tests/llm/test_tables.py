@@ -84,6 +84,16 @@ def test_reply_trees(spark):
     assert dict(got) == {(1, 1): ["q", "a", "d"], (1, 2): ["q", "b", "c"], (2, 1): ["z"]}
 
 
+def test_reply_trees_with_repeats_and_cycles(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 3.0), (1, 4, 3, "user", "c", 5.0)]
+    rows = rows * 3 + [(1, 4, 3, "user", "d", 9.0), (1, 10, 12, "user", "x", 9.0), (1, 11, 10, "user", "y", 9.0), (1, 12, 11, "user", "z", 9.0),
+                       (1, 13, 12, "user", "below", 9.0), (2, 1, 2, "user", "u", 1.0), (2, 2, 1, "user", "v", 1.0), (3, 1, 1, "user", "w", 1.0), (3, 2, 1, "user", "w2", 1.0)]
+    df = spark.createDataFrame(rows, "conv long, id long, parent long, role string, text string, score double")
+    paths = chat.best_paths(df, paths=4)
+    got = [(r.conv, r["rank"], [m["text"] for m in r.messages]) for r in chat.read_back(chat.format_paths(paths)).orderBy("conv", "rank").collect()]
+    assert got == [(1, 1, ["q", "b", "c"]), (1, 2, ["q", "a"])]
+
+
 def brute_nearest(ids, v, k):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
