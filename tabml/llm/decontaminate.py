@@ -4,9 +4,9 @@ Every slice of the documents is a shard.  In a shard the words are numbered by t
 benchmark's vocabulary (0: no benchmark word) and the shard's suffix array is built: the
 word positions sorted by the words that follow.  Suffixes that no test window can match,
 as fewer benchmark words follow than the shortest window has, are left out.  Every test
-suffix is then looked up by binary search; its neighbours in the array give the longest
-verbatim match with its place, and the range of suffixes that begin with a test window
-gives all its occurrences.
+suffix is then looked up by binary search, and the range of suffixes that begin with a test window
+gives all its occurrences.  For longest matches the suffixes of shard and benchmark are sorted to their full
+length by prefix doubling; a test suffix's neighbours of the shard give its longest verbatim match with its place.
 
 The benchmark reaches the shards in blocks of bounded bytes, one broadcast and one pass
 over the documents each; the documents are never shuffled.
@@ -102,6 +102,28 @@ def _columns(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth:
     return out.view(f"S{4 * depth}").ravel()
 
 
+def _ranks(words: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of ``run`` words from each place (equal for equal ones): by the first word, then, only
+    where they tie, by twice as many words in each round."""
+    order = np.argsort(words, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.searchsorted(words[order], words[order]) + 1
+    tied, h = np.flatnonzero(run > 0), 1
+    while len(tied):
+        more = np.where(run[tied] > h, rank[np.minimum(tied + h, len(rank) - 1)], 0)
+        order = np.lexsort((more, rank[tied]))
+        tied, more, old = tied[order], more[order], rank[tied[order]]
+        group = np.searchsorted(old, old)
+        new = np.flatnonzero(np.concatenate([[True], (old[1:] != old[:-1]) | (more[1:] != more[:-1])]))
+        size = np.diff(np.append(new, len(tied)))
+        begin = np.repeat(new, size)
+        rank[tied] = old + begin - group
+        h *= 2
+        # those that end within the words compared are equal for good
+        tied = tied[(np.repeat(size, size) > 1) & (more > 0)]
+    return rank
+
+
 class Shard:
     """The suffix array of a slice of documents against one block."""
 
@@ -139,17 +161,22 @@ class Shard:
 
     def longest(self) -> Iterator[tuple[int, int, int, int]]:
         """(position, item row, item place, words) of the longest match of every
-        test suffix, at its neighbour in the suffix array; matches shorter than the
+        test suffix, at its neighbour among the sorted suffixes; matches shorter than the
         shortest window are left out."""
         b = self.block
         if not len(self.positions) or not len(b.words):
             return
         starts = np.arange(len(b.words))
-        keys = _columns(b.words, starts, np.minimum(b.left, b.window), b.window, 0)
-        at = np.searchsorted(self.keys, keys)
+        rank = _ranks(np.concatenate([self.words, b.words]), np.concatenate([self.run, b.left]))
+        known = rank[self.positions]
+        order = np.lexsort((self.positions, known))
+        positions, known = self.positions[order], known[order]
+        at = np.searchsorted(known, rank[len(self.words):], "right")
+        # of equal suffixes the first in text order
+        before = np.searchsorted(known, known[np.maximum(at - 1, 0)])
         best, where = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        for near in (at - 1, at):
-            p = self.positions[np.clip(near, 0, len(self.positions) - 1)]
+        for near in (before, at):
+            p = positions[np.minimum(near, len(positions) - 1)]
             most = np.minimum(self.run[p], b.left)
             length = np.zeros(len(starts), np.int64)
             going = np.flatnonzero(most > 0)

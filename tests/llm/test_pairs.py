@@ -1,5 +1,6 @@
 """n-gram join, suffix dedup and decontamination against brute force."""
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -191,3 +192,27 @@ def test_longest_matches(spark):
     doc = "x y " + " ".join(f"A{i}," for i in range(2, 18)) + " z"
     best = decontaminate.longest_matches(frame(spark, [doc, "q"], [8, 9]), bench).orderBy("item_word").first()
     assert (best["item"], best.item_word, best.doc, best.doc_word, best.n_words) == ("1", 2, 8, 2, 16)
+
+
+def test_longest_matches_of_shared_passages(spark):
+    rng = random.Random(9)
+    words = [f"b{i}" for i in range(12)]
+    item = [rng.choice(words) for _ in range(60)]
+    docs = [["q", *item[5:18], words[i % 12], *rng.choices(words, k=20)] for i in range(12)]
+    docs += [["z", *item[5:45], "z"], [*item[5:30], "q", *item[:20]], item[40:] * 2, *([rng.choice(words) for _ in range(80)] for _ in range(5))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[30:44]))], "item_id long, text string")
+    got = {(r["item"], r.item_word): r for r in decontaminate.longest_matches(frame(spark, [" ".join(d) for d in docs]).coalesce(1), bench).collect()}
+    for name, text in (("1", item), ("2", item[30:44])):
+        for s in range(len(text)):
+            best = 0
+            for d in docs:
+                for p in range(len(d)):
+                    n = 0
+                    while s + n < len(text) and p + n < len(d) and text[s + n] == d[p + n]:
+                        n += 1
+                    best = max(best, n)
+            if best < 13:
+                assert (name, s) not in got
+            else:
+                r = got[name, s]
+                assert r.n_words == best and docs[r.doc][r.doc_word:r.doc_word + best] == text[s:s + best]
