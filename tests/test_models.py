@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, SF_MID
+from paths import SF_SMALL, SF_MID
 from tabml.operators import features as FE
 from tabml.operators import neighbors as NB
 from tabml.operators import outliers as OUT

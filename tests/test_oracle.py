@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as E
 from tools.oracle_check import canon
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 #: Fits of every model on the prepared table: minutes each, checked by tools/oracle_check.py.
 SLOW = ("e_classifiers_", "e_regressors_", "f5_every_")

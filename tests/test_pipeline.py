@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from tabml.operators import neighbors as NB
 from tabml.operators.clean import DataError, require_min_rows
 from tabml.functions.columns import sanitize_names

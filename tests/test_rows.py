@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from tabml.operators import rows as RW
 from tabml.plans import views as V
 

@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from tabml.functions import quantiles as Q
 from tabml.operators import explore
 from tabml.operators import features as FE

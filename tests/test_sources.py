@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from tabml.sources import databases as DB
 from tabml.sources import tables as TB
 from tabml.sources import workbook as WB
