@@ -57,10 +57,12 @@ def document_masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         "D": F.col("text").rlike(r"[#$%&*|]"),
     })
     rows = stored(read.select("id", "part", F.unhex(F.sha2("text", 256)).alias("same"), own.alias("own")), "audit-rows")
-    first = rows.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    # tables of their own, so that the joins with them can split a hot text or id
+    first = stored(rows.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"), "audit-first")
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False)).cast("long")).alias("good"),
         F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("long")).alias("toxic"))
+    known = stored(known, "audit-labels")
     again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     return rows.join(first, "same", "left").join(known, "id", "left").select(
         "part", (F.col("own") + F.when(again, F.lit(1 << 4)).otherwise(0)).alias("mask"),
