@@ -168,7 +168,8 @@ def findings(versions: DataFrame, ledger: str, paths: list[str], rules=RULES, te
         F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_set(F.struct("f.start", "place", "f.stop"))).alias("found"))
     named = F.transform("found", lambda s: F.struct(
         F.element_at(F.array(*[F.lit(r.kind) for r in rules]), s["place"].cast("int")).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    facts = facts.select("__blob", named.alias("found"))
+    # a table of its own, so that the join with it can split a hot blob
+    facts = stored(facts.select("__blob", named.alias("found")), "ledger-findings")
     return at.join(facts, "__blob", "left").select(
         *[F.col(f"`{p}`") for p in paths], F.lower(F.hex("__blob")).alias("blob"),
         F.coalesce("found", F.array().cast("array<struct<kind: string, start: long, stop: long>>")).alias("found"))
