@@ -8,6 +8,19 @@ from tabml.plans.recipe import Recipe, prepare
 from tabml.plans.train import evaluate, fit_model
 
 
+_PREPARED: dict = {}
+
+
+def prepared(spark, sf_dir, target: str = "quality"):
+    """``doc_stats`` prepared for ``target``, once per session and input: the prepared parts are
+    written tables, and the model queries share them."""
+    where = (spark.sparkContext.applicationId, sf_dir, target)
+    if where not in _PREPARED:
+        df = V.doc_stats(spark, sf_dir)
+        _PREPARED[where] = prepare(df if target == "quality" else df.drop("n_words"), target=target, key="doc_id")
+    return _PREPARED[where]
+
+
 def flagship_fit(spark, sf_dir, model: str = "Random Forest", recipe: Recipe | None = None):
     df = V.doc_stats(spark, sf_dir)
     fr = prepare(df, target="quality", recipe=recipe or Recipe.auto(), key="doc_id")

@@ -21,6 +21,7 @@ from tabml.session import shared_dir
 from tabml.sources import tables
 
 from .common import LINEITEM_KEY, r, rounded, sql_md5_bucket, with_views
+from .flagship import prepared
 from .registry import _fclassif_sql, _freg_sql, register
 
 
@@ -153,9 +154,7 @@ def _d14(spark, sf):
 
 # ------------------------------------------------------------ models on doc_stats
 
-def _fit(spark, sf, target="quality", **options):
-    df = V.doc_stats(spark, sf)
-    return prepare(df if target == "quality" else df.drop("n_words"), target=target, key="doc_id", **options)
+_fit = prepared
 
 
 @register("e4_logistic_score_equations", " UNION ALL ".join(

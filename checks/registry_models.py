@@ -15,6 +15,7 @@ from tabml.plans.recipe import Contract
 from tabml.plans.score import align_to_schema
 
 from .common import LINEITEM_KEY, r, rounded, sql_md5_bucket, sql_seeded_hash60, with_views
+from .flagship import prepared
 from .registry import register
 
 # ------------------------------------------------------------------ D3
@@ -242,18 +243,14 @@ def _automl(spark, sf):
 
 @register("f5_compare_classifiers")
 def _f5c(spark, sf):
-    from tabml.plans.recipe import prepare
     from tabml.plans.train import compare_models
-    fr = prepare(V.doc_stats(spark, sf), target="quality", key="doc_id")
-    return compare_models(fr)[0]
+    return compare_models(prepared(spark, sf))[0]
 
 
 @register("f5_compare_regressors")
 def _f5r(spark, sf):
-    from tabml.plans.recipe import prepare
     from tabml.plans.train import compare_models
-    fr = prepare(V.doc_stats(spark, sf).drop("n_words"), target="n_chars", key="doc_id")
-    return compare_models(fr)[0]
+    return compare_models(prepared(spark, sf, "n_chars"))[0]
 
 
 @register("f6_best_model")
@@ -296,24 +293,17 @@ def _d2(spark, sf):
 
 # ------------------------------------------------------- rows-only: models
 
-def _prepared(spark, sf, target="quality"):
-    from tabml.plans.recipe import prepare
-    if target == "quality":
-        return prepare(V.doc_stats(spark, sf), target="quality", key="doc_id")
-    return prepare(V.doc_stats(spark, sf).drop("n_words"), target="n_chars", key="doc_id")
-
-
 @register("g11_feature_importance")
 def _g11(spark, sf):
     from tabml.plans.train import fit_model
-    fr = _prepared(spark, sf)
+    fr = prepared(spark, sf)
     return rounded(M.feature_importance(fit_model(fr, "Random Forest"), fr.feature_names, spark=spark))
 
 
 @register("f2_grid_search_logistic")
 def _f2(spark, sf):
     from tabml.plans.train import grid_search
-    fr = _prepared(spark, sf)
+    fr = prepared(spark, sf)
     best, table = grid_search(fr, "Logistic Regression")
     return spark.createDataFrame([(str(p), float(s), p == best) for p, s in table],
                                  "params string, mean_accuracy double, best boolean")
@@ -322,7 +312,7 @@ def _f2(spark, sf):
 @register("f3_cross_validate_forest")
 def _f3(spark, sf):
     from tabml.plans.train import cross_validate
-    fr = _prepared(spark, sf, "n_chars")
+    fr = prepared(spark, sf, "n_chars")
     folds, mean, std = cross_validate(fr, "Random Forest")
     return spark.createDataFrame([(f, float(s), float(mean), float(std)) for f, s in folds],
                                  "fold int, r2 double, mean_r2 double, std_r2 double")
@@ -340,7 +330,7 @@ def _d8p(spark, sf):
 @register("h4_kernel_shap_logistic")
 def _h4(spark, sf):
     from tabml.plans.train import fit_model
-    fr = _prepared(spark, sf)
+    fr = prepared(spark, sf)
     model = fit_model(fr, "Logistic Regression")
     rows = X.explain_sample_vectors(fr.test, "_row_id", 1000, 42)
     background = X.explain_sample_vectors(fr.train, "_row_id", 100, 7)
@@ -354,7 +344,7 @@ def _a13(spark, sf):
     from tabml.plans.train import fit_model, full_pipeline
     from tabml.session import shared_dir
     import uuid
-    fr = _prepared(spark, sf)
+    fr = prepared(spark, sf)
     bundle = ScoringBundle.from_fit(fr, full_pipeline(fr, fit_model(fr, "Gaussian Naive Bayes")))
     path = shared_dir(spark, f"bundle-{uuid.uuid4().hex}")
     save_bundle(bundle, path)
