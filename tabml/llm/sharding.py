@@ -35,6 +35,8 @@ SHARDS = 16
 ROUNDS = 8
 #: Rows of a hash bucket that are ranked together.
 BUCKET_ROWS = 50_000
+#: Rows of one group in a bucket, about: a group of more is in as many buckets of its own as that takes.
+GROUP_ROWS = 512
 #: Hash buckets of groups in an admission cell.
 CELLS = 64
 
@@ -50,7 +52,7 @@ def _ranked(df: DataFrame, part: str, rows: int, by_group: bool) -> DataFrame:
     n = max(1, math.ceil(rows / BUCKET_ROWS))
     bucket = F.floor(_fraction("key", "copy", F.lit("place")) * n)
     if by_group:  # groups stay together as far as a bucket reaches
-        df = df.withColumn("b1", F.floor(_fraction("grp", F.lit("place")) * n)).withColumn("b2", F.floor(_fraction("key", "copy") * 8))
+        df = df.withColumn("b1", F.floor(_fraction("grp", F.lit("place")) * n)).withColumn("b2", F.floor(_fraction("key", "copy") * F.ceil(F.col("n") / GROUP_ROWS)))
     else:
         df = df.withColumn("b1", bucket).withColumn("b2", F.lit(0).cast("long"))
     sums = df.groupBy(part, "b1", "b2").agg(F.sum("weight").alias("w"), F.count("*").alias("c"))
@@ -97,7 +99,7 @@ def _round(labels: DataFrame, capacity: float, shards: int, number: int) -> Data
     allowed = wishes.join(admitted, ["shard", "target", "gain", "cell"]).select("grp", "shard", "target", "part")
     moved = F.coalesce(_fraction("key", "copy", F.lit(number)) < F.col("part"), F.lit(False))
     return (labels.join(allowed, ["grp", "shard"], "left")
-            .select("key", "copy", "grp", "weight", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
+            .select("key", "copy", "grp", "n", "weight", F.when(moved, F.col("target")).otherwise(F.col("shard")).alias("shard"),
                     F.col("part").isNotNull().alias("wished")))
 
 
@@ -108,12 +110,12 @@ def balanced_shards(nodes: DataFrame, shards: int = SHARDS, law: str = "rows", r
     weight = F.lit(1).cast("long") if law == "rows" else F.col("size")
     nodes = nodes.select("key", "copy", "grp", weight.alias("weight"))
     # a table of its own, so that the joins with it can split a hot group
-    groups = stored(nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "shard-groups")
+    groups = stored(nodes.where("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
     total, rows = nodes.agg(F.sum("weight"), F.count("*")).first()
     total = total or 0
     edges = [total * s // shards for s in range(shards + 1)]
-    linked = nodes.join(groups, "grp", "left_semi").withColumn("shard", F.floor(_fraction("key", "copy", F.lit("start")) * shards).cast("int"))
-    labels = stored(linked.select("key", "copy", "grp", "weight", "shard"), "shard-labels")
+    linked = nodes.join(groups, "grp").withColumn("shard", F.floor(_fraction("key", "copy", F.lit("start")) * shards).cast("int"))
+    labels = stored(linked.select("key", "copy", "grp", "n", "weight", "shard"), "shard-labels")
     for number in range(rounds if total else 0):
         done = stored(_round(labels, total / shards, shards, number), "shard-labels")
         labels = done.drop("wished")
