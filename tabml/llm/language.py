@@ -11,8 +11,10 @@ all texts in a slice step through the automaton at once as NumPy arrays; whole t
 stretches of ``STRETCH`` letters.
 
 Learning takes the whole texts of a bounded sample of rows: of every language the ``documents`` distinct labelled
-texts with letters whose hash is smallest, however long they are and however many languages there are.  One
-task builds a language's automaton; its transitions are packed into one array (about 32 bytes a
+texts with letters whose hash is smallest, however long they are and however many languages there are.  A language's
+text is dealt into blocks of ``BLOCK`` characters, each with an automaton of its own that one task builds, so a
+task's memory follows the block; a phrase ends where all blocks have ended it, so it is the longest of any block.
+Blocks of one text overlap by ``OVERLAP`` characters.  Transitions are packed into one array (about 32 bytes a
 letter), and the automata of all languages are one broadcast.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without labelled
@@ -33,11 +35,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from .frames import ready
 
 DOCUMENTS = 48
 STRETCH = 512
+#: Characters of labelled text in an automaton, and those that it shares with the next one of the same text.
+BLOCK = 1 << 19
+OVERLAP = 256
 SHARPNESS = 8.0
 #: Characters parsed at once.
 SLICE = 1 << 20
@@ -154,15 +160,14 @@ def packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndar
     return first, table
 
 
-class Reference:
-    """One language: its letters' symbols, its automaton and the length of its text."""
+class Block:
+    """A block of a language's text: its letters' symbols, its automaton and its length."""
 
-    def __init__(self, name: str, text: str):
+    def __init__(self, text: str):
         codes, _, _ = letters_of([text])
-        # symbol 0: letters that the reference does not have; each one that it has is a symbol
-        self.name, self.known = name, np.unique(codes)
-        self.size = max(2, len(codes))
-        # a letter that the reference does not have is a phrase by itself: a state that nothing follows
+        # symbol 0: letters that the block does not have; each one that it has is a symbol
+        self.known, self.length = np.unique(codes), len(codes)
+        # a letter that the block does not have is a phrase by itself: a state that nothing follows
         self.first, self.table = packed(automaton(self.symbols(codes).tolist()), len(self.known) + 1)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
@@ -175,21 +180,36 @@ class Reference:
         return out
 
 
-def phrases(grid: np.ndarray, live: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of each column of a grid of symbols (columns by falling length; ``live[t]`` of them
-    are longer than ``t``)."""
-    count, state = np.ones(grid.shape[1], np.int32), first.take(grid[0])
+class Reference:
+    """One language: the blocks of its text (a text given whole is one)."""
+
+    def __init__(self, name: str, blocks: list[Block] | str):
+        self.name, self.blocks = name, [Block(blocks)] if isinstance(blocks, str) else blocks
+        self.size = max(2, sum(b.length for b in self.blocks))
+
+
+def phrases(grids: list[np.ndarray], live: np.ndarray, blocks: list[Block]) -> np.ndarray:
+    """Phrases of each column of a grid (for each block, in its symbols; columns by falling length, ``live[t]`` of
+    them are longer than ``t``)."""
+    count = np.ones(grids[0].shape[1], np.int32)
+    states = [b.first.take(g[0]) for b, g in zip(blocks, grids)]
     for t in range(1, len(live)):
         k = live[t]
-        symbol = grid[t, :k]
-        to = table.take(state[:k] + symbol)
-        ended = to >> 32 != state[:k]
+        steps = []
+        for b, grid, state in zip(blocks, grids, states):
+            to = b.table.take(state[:k] + grid[t, :k])
+            steps.append((to, to >> 32 != state[:k]))
+        ended = steps[0][1]
+        for _, other in steps[1:]:
+            ended = ended & other
         count[:k] += ended
-        state[:k] = np.where(ended, first.take(symbol), to & 0xFFFFFFFF)
+        for (to, stop), b, grid, state in zip(steps, blocks, grids, states):
+            # a block that has ended waits in place 0, that nothing follows, until all have
+            state[:k] = np.where(ended, b.first.take(grid[t, :k]), np.where(stop, 0, to & 0xFFFFFFFF))
     return count
 
 
-def parse(codes: np.ndarray, bounds: np.ndarray, references: list[Reference], maps: list[np.ndarray]) -> np.ndarray:
+def parse(codes: np.ndarray, bounds: np.ndarray, references: list[Reference], maps: list[list[np.ndarray]]) -> np.ndarray:
     """Phrases of each text under each language."""
     n = np.diff(bounds)
     pieces = -(-n // STRETCH)
@@ -205,15 +225,16 @@ def parse(codes: np.ndarray, bounds: np.ndarray, references: list[Reference], ma
     steps = int(length[0])
     live = np.searchsorted(-length, -np.arange(steps), "left")
     at = np.minimum(start[None, :] + np.arange(steps)[:, None], len(codes) - 1)
-    for k, (r, m) in enumerate(zip(references, maps)):
-        out[:, k] = np.bincount(owner, phrases(m.take(codes, mode="clip")[at], live, r.first, r.table), len(n)).astype(np.int64)
+    for k, (r, of) in enumerate(zip(references, maps)):
+        grids = [m.take(codes, mode="clip")[at] for m in of]
+        out[:, k] = np.bincount(owner, phrases(grids, live, r.blocks), len(n)).astype(np.int64)
     return out
 
 
 class Judge:
     def __init__(self, references: list[Reference]):
         self.references = references
-        self.maps = [r.map() for r in references]
+        self.maps = [[b.map() for b in r.blocks] for r in references]
         self.bits = np.log2([r.size for r in references])
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -230,7 +251,7 @@ class Judge:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where=None,
-          documents: int = DOCUMENTS) -> list[Reference]:
+          documents: int = DOCUMENTS, block: int = BLOCK) -> list[Reference]:
     """Automata of the languages, sorted by name.  ``where``: a condition on the column ``id``."""
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), F.col(f"`{lang_col}`").alias("name")).where(
         "name IS NOT NULL AND body IS NOT NULL")
@@ -245,12 +266,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     distinct = drawn.groupBy("name", "draw", "body").agg(F.count("*"))
     first = distinct.selectExpr("name", "body", "row_number() OVER (PARTITION BY name ORDER BY draw, body) AS k").where(F.col("k") <= documents)
 
-    def build(rows: pa.Table) -> pa.Table:
-        name, texts = rows["name"][0].as_py(), rows.sort_by("k")["body"].to_pylist()
-        return pa.table({"model": pa.array([pickle.dumps(Reference(name, " ".join(texts)))], pa.binary())})
+    size = F.length("body")
+    pieces = first.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int")))).select(
+        "name", "k", "piece", F.substring("body", F.col("piece") * block + 1, F.lit(block + OVERLAP)).alias("body"))
+    # whole texts fill a block up together; a longer one has blocks of its own
+    before = F.sum(F.least(F.length("body"), F.lit(block))).over(Window.partitionBy("name").orderBy("k", "piece"))
+    pieces = pieces.withColumn("block", F.floor((before - 1) / block))
 
-    found = first.groupBy("name").applyInArrow(build, "model binary").collect()  # one row per language
-    return sorted((pickle.loads(r.model) for r in found), key=lambda r: r.name)
+    def build(rows: pa.Table) -> pa.Table:
+        texts = rows.sort_by([("k", "ascending"), ("piece", "ascending")])["body"].to_pylist()
+        return pa.table({"name": rows["name"][:1], "block": rows["block"][:1], "model": pa.array([pickle.dumps(Block(" ".join(texts)))], pa.binary())})
+
+    found = pieces.groupBy("name", "block").applyInArrow(build, "name string, block long, model binary").collect()  # the blocks' automata
+    blocks: dict[str, list[Block]] = {}
+    for r in sorted(found, key=lambda r: (r.name, r.block)):
+        blocks.setdefault(r.name, []).append(pickle.loads(r.model))
+    return [Reference(name, of) for name, of in sorted(blocks.items())]
 
 
 def detect(docs: DataFrame, references: list[Reference], text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
