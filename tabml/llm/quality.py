@@ -10,7 +10,8 @@ The sample is balanced, so the score is the probability of label 1 at equal clas
 
 Defined cases: a null or empty text has no features and gets the bias' score; without
 labels every score is 0.5; labels other than 0 and 1 and null ids are not learned from; an id
-labelled twice counts as label 0; repeated documents get equal scores; other columns pass through.
+labelled twice counts as label 0, and one in several documents is learned from once, with its smallest text;
+repeated documents get equal scores; other columns pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import unused
 from .subword import Subwords, Training, fit, score
 
 FEATURES = Subwords(lower=False, repeats=3)
@@ -32,8 +34,8 @@ def held_out(id_col: str = "doc_id"):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
                    text_col: str = "text", out: str = "score", train_docs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with the quality score.  ``train_docs``: the documents that labels belong to, if
-    other than ``docs``."""
+    """``docs`` with the quality score in column ``out`` (in place of one that they have).  ``train_docs``: the
+    documents that labels belong to, if other than ``docs``."""
     source = docs if train_docs is None else train_docs
     model = fit(source, labels, label_col, FEATURES, HOW, id_col, text_col, learn=~held_out("id"))
     return score(docs, model, FEATURES, text_col, out)
@@ -41,7 +43,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """``docs`` without those scored under ``threshold``."""
-    return quality_scores(docs, labels, out="__quality", **options).where(F.col("__quality") >= threshold).drop("__quality")
+    out = unused(docs, "__quality")
+    return quality_scores(docs, labels, out=out, **options).where(F.col(out) >= threshold).drop(out)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ from .words import LOWER, SPACE, VERBATIM, slices
 
 #: Bytes scored at a time.
 PIECE = 1 << 20
+#: Passages of more than twice this size are cut.
+PASSAGE_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -98,7 +100,19 @@ class Subwords:
         at = np.repeat(piece.offsets[:-1], n)
         later = place > 0
         at[later] = piece.starts[word[later]]
-        return np.append(at, piece.offsets[-1]), first
+        return self._cut(np.append(at, piece.offsets[-1]), first)
+
+    @staticmethod
+    def _cut(edges: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with every bag of more than twice ``PASSAGE_BYTES`` in even pieces of that size at most."""
+        size = np.diff(edges)
+        n = np.where(size > 2 * PASSAGE_BYTES, -(-size // PASSAGE_BYTES), 1)
+        if (n == 1).all():
+            return edges, first
+        total = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(total[-1]) - np.repeat(total[:-1], n)
+        at = np.repeat(edges[:-1], n) + place * np.repeat(size, n) // np.repeat(n, n)
+        return np.append(at, edges[-1]), total[first]
 
     def sample(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """One whole text for training: buckets and counts, or, with passages, the
@@ -278,13 +292,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, features: Subwords,
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.groupBy("id", "order").agg(F.min("label").alias("label"))  # an id labelled twice is taken once
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
-    sample = texts.join(F.broadcast(chosen), "id").select("order", "label", "body")
+    # one text an id, before anything leaves the scan's tasks: an id may be in any number of rows
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "order", "label").agg(F.min("body").alias("body")).select("order", "label", "body")
     model = sample.mapInArrow(_count(features), COUNTED).repartition(1).mapInArrow(_fit(features, how), MODEL).first()
     return np.frombuffer(model.logits, np.float32), model.bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], features: Subwords, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 in column ``out``."""
+    """``docs`` with the probability of label 1 in column ``out``, in place of one of that name."""
     ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -299,4 +314,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], features: Subwords,
     names = docs.columns
     df = docs.toDF(*[f"c{i}" for i in range(len(names))])
     schema = T.StructType([*df.schema.fields, T.StructField(f"s{len(names)}", T.DoubleType())])
-    return df.mapInArrow(work, schema).toDF(*names, out)
+    kept = [i for i, n in enumerate(names) if n.lower() != out.lower()]
+    return df.mapInArrow(work, schema).select(*[f"c{i}" for i in kept], f"s{len(names)}").toDF(*[names[i] for i in kept], out)
