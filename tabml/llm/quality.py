@@ -23,7 +23,7 @@ from .frames import unused
 from .subword import Subwords, Training, fit, score
 
 FEATURES = Subwords(lower=False, repeats=3)
-HOW = Training(per_class=1500)
+HOW = Training(per_class=2500)
 THRESHOLD = 0.7
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .subword import Subwords, Training, fit, score
 
 FEATURES = Subwords(lower=True, passage=8, once=True, pad=100)
-HOW = Training(per_class=1500, epochs=2, sharp=6, prior=1e-3, below=2)
+HOW = Training(per_class=2500, epochs=2, sharp=6, prior=1e-3, below=2)
 THRESHOLD = 0.5
 
 
