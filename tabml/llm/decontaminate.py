@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import ready
+from .frames import ready, unused
 from .words import LOWER, NON_ALNUM, slices
 
 WINDOW = 13
@@ -294,7 +294,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones, columns as they were."""
-    return mark(docs, benchmark, out="__verdict", **options).where(~F.col("__verdict.contaminated")).drop("__verdict")
+    out = unused(docs, "__verdict")
+    return mark(docs, benchmark, out=out, **options).where(~F.col(f"{out}.contaminated")).drop(out)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

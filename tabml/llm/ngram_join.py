@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components, local_roots
-from .frames import ready, row_key, settle, settled, shuffle_parts, stored
+from .frames import ready, row_key, settle, settled, shuffle_parts, stored, unused
 from .words import LOWER, SPACE, grams, mix, slices, whole
 
 #: Growth of the size classes.
@@ -391,12 +391,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     rows once).  Documents without words all stay."""
     found = stored(ngram_jaccard_join(docs, id_col, text_col, words, num, den).where("component IS NOT NULL").select("key", "doc", "component"), "ngram-found")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("best")).select("component", F.col("best.key").alias("best"))
-    rows = found.groupBy("component", "key").agg(F.count("*").alias("rows")).join(best, "component")
+    # members don't meet by component: a key is the best of its own or of none
+    rows = found.groupBy("key").agg(F.count("*").alias("rows")).join(best.select(F.col("best").alias("key"), "best"), "key", "left")
     # what goes, and what stays but is there more than once: small tables beside the texts, which move only if these are large
-    gone = stored(rows.where("key <> best OR rows > 1").select(F.col("key").alias("__key")), "ngram-gone")
-    repeated = stored(rows.where("key = best AND rows > 1").select(F.col("key").alias("__key")), "ngram-repeated")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    once = keyed.join(gone, "__key", "left_anti").drop("__key").select(docs.columns)
+    mark = unused(docs, "__key")
+    gone = stored(rows.where("best IS NULL OR rows > 1").select(F.col("key").alias(mark)), "ngram-gone")
+    repeated = stored(rows.where("best IS NOT NULL AND rows > 1").select(F.col("key").alias(mark)), "ngram-repeated")
+    keyed = docs.withColumn(mark, row_key(id_col, text_col))
+    once = keyed.join(gone, mark, "left_anti").drop(mark).select(docs.columns)
     if repeated.isEmpty():
         return once
-    return once.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key").select(docs.columns))
+    return once.unionByName(keyed.join(repeated, mark, "left_semi").dropDuplicates([mark]).drop(mark).select(docs.columns))
