@@ -1,22 +1,13 @@
-"""Exact k-nearest neighbours by block pairs.
-
-Exact KNN compares every query with every reference row, so its cost is
-quadratic by nature; what we control is memory and shuffle volume.  Queries
-and references are cut into blocks of ``block_rows`` rows (by a hash); a
-``cogroup`` over (query block, reference block) hands one pair of blocks to
-one task, which computes the distance matrix with NumPy and emits only the
-k best candidates per query.  A second aggregation merges the candidates
-(at most k per reference block) into the final k.  No pair of rows is ever
-materialised as a Spark row, and no task holds more than two blocks.
+"""Exact k-nearest neighbours, as classifier, regressor and imputer.
+
+The search (``cells``) deals the reference rows into cells around pivots and reads, for each query, only
+the cells whose lower bound does not exceed the distance of the k-th neighbour found so far.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -24,10 +15,11 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable,
                              DefaultParamsWriter)
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .cells import nearest
 
 BLOCK_ROWS = 2048
 
@@ -64,21 +56,6 @@ class _RowsModel(DefaultParamsReadable, DefaultParamsWritable):
         return _RowsReader(cls)
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, int(math.ceil(n / float(block_rows))))
-
-
-def _pair_up(queries: DataFrame, refs: DataFrame, n_q: int, n_r: int, block_rows: int):
-    """Key both sides by (qb, rb): each query row is repeated once per
-    reference block and each reference row once per query block."""
-    qb, rb = _blocks(n_q, block_rows), _blocks(n_r, block_rows)
-    q = (queries.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
-         .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    r = (refs.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.lit(rb)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb"))
-
-
 def _numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a row number ``_qid``, written to the shared folder: the numbers are data from
     then on, and no recomputation can deal them out anew."""
@@ -89,59 +66,15 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(numbered.schema).parquet(path)
 
 
-def _stack(series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=float) for v in series])
-
-
-def _lex_topk(D: np.ndarray, V: np.ndarray, k: int) -> np.ndarray:
-    """Per row, the column indices of the k smallest (distance, value); -1 where no finite one is left."""
-    kk = min(k, D.shape[1])
-    order = np.lexsort((np.broadcast_to(V, D.shape), D), axis=-1)[:, :kk]
-    return np.where(np.isfinite(np.take_along_axis(D, order, 1)), order, -1)
-
-
 # ---------------------------------------------------------------- E6 / E13
 
-CAND_SCHEMA = "_qid long, _rid long, _dist double, _y double"
-
-
-def _sq_dists(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances from exact differences, so equal rows tie exactly."""
-    out = np.zeros((Q.shape[0], R.shape[0]))
-    for c in range(Q.shape[1]):
-        diff = Q[:, c][:, None] - R[:, c][None, :]
-        out += diff * diff
-    return out
-
-
-def _topk_pairs(k: int):
-    def fn(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or rdf.empty:
-            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"),
-                                 "_dist": pd.Series([], dtype=float), "_y": pd.Series([], dtype=float)})
-        Q, R = _stack(qdf["_vec"]), _stack(rdf["_vec"])
-        d2 = _sq_dists(Q, R)
-        rids = rdf["_rid"].to_numpy()
-        top = _lex_topk(d2, rids.astype(float), k)
-        rows, slot = np.nonzero(top >= 0)
-        cols = top[rows, slot]
-        return pd.DataFrame({"_qid": qdf["_qid"].to_numpy()[rows], "_rid": rids[cols],
-                             "_dist": np.sqrt(d2[rows, cols]), "_y": rdf["_y"].to_numpy(dtype=float)[cols]})
-    return fn
-
-
 def knn_candidates(queries: DataFrame, refs: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
-                   n_q: int | None = None, n_r: int | None = None) -> DataFrame:
+                   n_q: int | None = None, n_r: int | None = None, counted: dict | None = None) -> DataFrame:
     """queries: (_qid, _vec array); refs: (_rid, _vec array, _y).  Returns the
     exact k nearest (_qid, _rid, _dist, _y, _rank) by (distance, _rid)."""
-    n_q = n_q if n_q is not None else queries.count()
     n_r = n_r if n_r is not None else refs.count()
-    cands = _pair_up(queries, refs, n_q, n_r, block_rows).applyInPandas(_topk_pairs(k), CAND_SCHEMA)
-    # at most k candidates per query per reference block reach this window
-    w = Window.partitionBy("_qid").orderBy("_dist", "_rid")
-    return cands.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    found = nearest(queries, refs, k, n_r, block_rows, counted=counted)
+    return found.select("_qid", "_rid", "_dist", F.col("_v").alias("_y"), "_rank")
 
 
 def knn_predict(cands: DataFrame, task: str) -> DataFrame:
@@ -202,7 +135,7 @@ class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, _Row
         q = keyed.select("_qid", vector_to_array(self.getFeaturesCol()).alias("_vec"))
         refs = spark.read.parquet(self.getOrDefault(self.trainPath))
         cands = knn_candidates(q, refs, self.getOrDefault(self.k), self.getOrDefault(self.blockRows),
-                               n_q=keyed.count(), n_r=self.getOrDefault(self.nTrain))
+                               n_r=self.getOrDefault(self.nTrain))
         pred = knn_predict(cands, self.getOrDefault(self.task))
         out = keyed.join(pred, "_qid", "left").withColumnRenamed("_pred", self.getPredictionCol()).drop("_qid")
         return out
@@ -210,48 +143,6 @@ class KNeighborsModel(Model, HasFeaturesCol, HasLabelCol, HasPredictionCol, _Row
 
 # ---------------------------------------------------------------------- D3
 
-IMP_SCHEMA = "_qid long, _j int, _dist double, _v double"
-
-
-def _impute_pairs(k: int, d: int):
-    def fn(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_j": pd.Series([], dtype="int32"),
-                              "_dist": pd.Series([], dtype=float), "_v": pd.Series([], dtype=float)})
-        if qdf.empty or rdf.empty:
-            return empty
-        Q, R = _stack(qdf["_vec"]), _stack(rdf["_vec"])
-        qm, rm = np.isnan(Q), np.isnan(R)
-        # squared distance over the coordinates present in both rows, exact
-        # differences column by column (no expansion, so ties stay ties)
-        sq = np.zeros((Q.shape[0], R.shape[0]))
-        common = np.zeros_like(sq)
-        for c in range(d):
-            both = (~qm[:, c])[:, None] & (~rm[:, c])[None, :]
-            diff = np.where(both, Q[:, c][:, None] - R[:, c][None, :], 0.0)
-            sq += diff * diff
-            common += both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(common > 0, np.sqrt(sq * d / np.where(common > 0, common, 1.0)), np.inf)
-        out = []
-        qids = qdf["_qid"].to_numpy()
-        for j in range(d):
-            recv = np.flatnonzero(qm[:, j])
-            donors = np.flatnonzero(~rm[:, j])
-            if recv.size == 0 or donors.size == 0:
-                continue
-            D = dist[np.ix_(recv, donors)]
-            V = R[donors, j]
-            top = _lex_topk(D, V, k)
-            rr, cc = np.nonzero(top >= 0)
-            pick = top[rr, cc]
-            dd = D[rr, pick]
-            ok = np.isfinite(dd)
-            out.append(pd.DataFrame({"_qid": qids[recv[rr[ok]]], "_j": np.full(int(ok.sum()), j, dtype=np.int32),
-                                     "_dist": dd[ok], "_v": V[pick[ok]]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-    return fn
-
-
 class KnnImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """D3: each missing value becomes the mean of that column over the k
     nearest training rows that have it, by the missing-aware Euclidean
@@ -300,18 +191,13 @@ class KnnImputerModel(Model, HasInputCols, _RowsModel):
             any_null = any_null | F.col(c).isNull()
         complete = df.where(~any_null)
         recv = _numbered(df.where(any_null), "knn-gaps")
-        n_recv = recv.count()
-        if n_recv == 0:
+        if recv.isEmpty():
             return df.withColumns({c: F.col(c).cast("double") for c in cols})
         vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])
         q = recv.select("_qid", vec.alias("_vec"))
         refs = spark.read.parquet(self.getOrDefault(self.donorPath))
         k = self.getOrDefault(self.k)
-        cands = _pair_up(q, refs, n_recv, self.getOrDefault(self.nDonors),
-                         self.getOrDefault(self.blockRows)).applyInPandas(_impute_pairs(k, len(cols)), IMP_SCHEMA)
-        # at most k candidates per (row, column) per donor block
-        w = Window.partitionBy("_qid", "_j").orderBy("_dist", "_v")
-        best = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        best = nearest(q, refs.withColumn("_y", F.lit(0.0)), k, self.getOrDefault(self.nDonors), self.getOrDefault(self.blockRows), values=True)
         # one averaged value per missing column: each row's map has <= d entries
         per = best.groupBy("_qid", "_j").agg(F.avg("_v").alias("_v"))
         filled = per.groupBy("_qid").agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("_m"))
