@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabml.functions.hashing import md5_bucket
@@ -204,6 +205,105 @@ def _h6(spark, sf):
     return d.select("row_id", F.round("value", 6).alias("value"), F.round("phi", 2).alias("phi"))
 
 
+# ------------------------------------- H2, H4: Shapley values that SQL computes by subsets
+
+_TREE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+#: A fixed tree: leaf -> (low, high] of quantity, discount and tax.
+_FIXED_TREE = {"A": ((None, 10), (None, 0.05), None), "B": ((10, 24), (None, 0.05), None), "C": ((None, 24), (0.05, None), None),
+               "D": ((24, None), None, (None, 0.04)), "E": ((24, None), (None, 0.02), (0.04, None)), "G": ((24, None), (0.02, None), (0.04, None))}
+
+
+def _leaf_of_fixed_tree():
+    q, d, t = (F.col(c) for c in _TREE_FEATURES)
+    low = F.when(d > 0.05, "C").when(q <= 10, "A").otherwise("B")
+    return F.when(q <= 24, low).when(t <= 0.04, "D").when(d <= 0.02, "E").otherwise("G")
+
+
+_LEAF_SQL = """CASE WHEN l_quantity <= 24 THEN CASE WHEN l_discount > 0.05 THEN 'C' WHEN l_quantity <= 10 THEN 'A' ELSE 'B' END
+  WHEN l_tax <= 0.04 THEN 'D' WHEN l_discount <= 0.02 THEN 'E' ELSE 'G' END"""
+
+
+def _fixed_leaves(li):
+    """The fixed tree's leaves, with the covers and mean prices of ``li``."""
+    at = {x["leaf"]: (x["n"], x["v"]) for x in li.groupBy(_leaf_of_fixed_tree().alias("leaf")).agg(
+        F.count("*").alias("n"), F.avg("l_extendedprice").alias("v")).collect()}
+    n = {k: float(at.get(k, (0, 0.0))[0]) for k in _FIXED_TREE}
+    low, left, high, right = n["A"] + n["B"], n["A"] + n["B"] + n["C"], n["E"] + n["G"], n["D"] + n["E"] + n["G"]
+    total = left + right
+    cover = {"A": (left / total * n["A"] / low, low / left, 1), "B": (left / total * n["B"] / low, low / left, 1),
+             "C": (left / total, n["C"] / left, 1), "D": (right / total, 1, n["D"] / right),
+             "E": (right / total, n["E"] / high, high / right), "G": (right / total, n["G"] / high, high / right)}
+    rows = []
+    for i, (leaf, bounds) in enumerate(_FIXED_TREE.items()):
+        on = [j for j, b in enumerate(bounds) if b]
+        ends = [[float("-inf") if bounds[j][0] is None else float(bounds[j][0]), float("inf") if bounds[j][1] is None else float(bounds[j][1])] for j in on]
+        rows.append((0, i, on, [a for a, _ in ends], [z for _, z in ends], [None] * len(on), [[]] * len(on), [float(cover[leaf][j]) for j in on], [float(at[leaf][1])]))
+    return li.sparkSession.createDataFrame(rows, X.LEAVES)
+
+
+def _leaf_condition(bounds, column):
+    if bounds is None:
+        return "1.0"
+    low, high = bounds
+    parts = [f"{column} > {low}"] * (low is not None) + [f"{column} <= {high}"] * (high is not None)
+    return f"CAST({' AND '.join(parts)} AS DOUBLE)"
+
+
+_SUBSETS = "({a} - {za}) * ({zb} * {zc} / 3 + {b} * {zc} / 6 + {zb} * {c} / 6 + {b} * {c} / 3)"
+
+
+@register("h2_leaf_paths_by_subsets", f"""
+WITH li AS (SELECT *, {LINEITEM_KEY} AS row_id, {_LEAF_SQL} AS leaf FROM lineitem),
+n AS (SELECT count(*)::DOUBLE AS total, """ + ", ".join(f"(count(*) FILTER (leaf = '{k}'))::DOUBLE AS n{k}, avg(l_extendedprice) FILTER (leaf = '{k}') AS v{k}" for k in _FIXED_TREE) + """ FROM li),
+z AS (SELECT *, nA + nB AS low, nA + nB + nC AS lft, nE + nG AS high, nD + nE + nG AS rgt FROM n),
+leaf AS (
+  SELECT 'A' AS leaf, vA AS v, lft / total * nA / low AS zq, low / lft AS zd, 1.0 AS zt FROM z UNION ALL
+  SELECT 'B', vB, lft / total * nB / low, low / lft, 1.0 FROM z UNION ALL SELECT 'C', vC, lft / total, nC / lft, 1.0 FROM z UNION ALL
+  SELECT 'D', vD, rgt / total, 1.0, nD / rgt FROM z UNION ALL SELECT 'E', vE, rgt / total, nE / high, high / rgt FROM z UNION ALL
+  SELECT 'G', vG, rgt / total, nG / high, high / rgt FROM z),
+o AS (""" + " UNION ALL ".join(
+    f"SELECT row_id, rid, '{k}' AS leaf, {_leaf_condition(b[0], 'l_quantity')} AS oq, {_leaf_condition(b[1], 'l_discount')} AS od, {_leaf_condition(b[2], 'l_tax')} AS ot "
+    "FROM (SELECT *, row_number() OVER () AS rid FROM li)" for k, b in _FIXED_TREE.items()) + """),
+phi AS (SELECT row_id, rid,
+  sum(v * """ + _SUBSETS.format(a="oq", za="zq", b="od", zb="zd", c="ot", zc="zt") + """) AS l_quantity,
+  sum(v * """ + _SUBSETS.format(a="od", za="zd", b="oq", zb="zq", c="ot", zc="zt") + """) AS l_discount,
+  sum(v * """ + _SUBSETS.format(a="ot", za="zt", b="oq", zb="zq", c="od", zc="zd") + f""") AS l_tax
+  FROM o JOIN leaf USING (leaf) GROUP BY row_id, rid)
+""" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {r(c, 4)} AS phi FROM phi" for c in _TREE_FEATURES))
+def _h2l(spark, sf):
+    """A fixed tree over the whole of lineitem: intervals met twice on a path, features missing from paths."""
+    li = V.lineitem_keyed(spark, sf)
+    rows = VectorAssembler(inputCols=_TREE_FEATURES, outputCol="features").transform(li).select("row_id", "features")
+    phi, _ = X.leaf_shap(_fixed_leaves(li), rows, _TREE_FEATURES, key="row_id")
+    return rounded(phi.select("row_id", "feature", "phi"), 4)
+
+
+class _Product:
+    """quantity * discount + tax: a model that is nothing but its ``transform``."""
+
+    @staticmethod
+    def transform(df):
+        x = vector_to_array("features")
+        return df.withColumn("prediction", x[0] * x[1] + x[2])
+
+
+def _sampled_sql(seed, n):
+    return (f"SELECT {LINEITEM_KEY} AS row_id, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t FROM lineitem "
+            f"ORDER BY {sql_seeded_hash60(seed, LINEITEM_KEY)}, row_id LIMIT {n}")
+
+
+@register("h4_kernel_shap_by_subsets", f"""
+WITH x AS ({_sampled_sql(42, 1000)}), b AS ({_sampled_sql(7, 50)}),
+m AS (SELECT avg(q) AS mq, avg(d) AS md, avg(q * d) AS mqd, avg(t) AS mt FROM b),
+phi AS (SELECT row_id, ((q * md - mqd) + (q * d - mq * d)) / 2 AS l_quantity, ((mq * d - mqd) + (q * d - q * md)) / 2 AS l_discount, t - mt AS l_tax FROM x, m)
+""" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {r(c)} AS phi FROM phi" for c in _TREE_FEATURES))
+def _h4p(spark, sf):
+    """A model known by its ``transform`` alone, the H1 sample of 1000 rows against a background of 50."""
+    li = VectorAssembler(inputCols=_TREE_FEATURES, outputCol="features").transform(V.lineitem_keyed(spark, sf)).select("row_id", "features")
+    phi, _ = X.kernel_shap(_Product, X.explain_sample_vectors(li, "row_id", 1000, 42), X.explain_sample_vectors(li, "row_id", 50, 7), _TREE_FEATURES, key="row_id")
+    return rounded(phi.select("row_id", "feature", "phi"))
+
+
 # ------------------------------------------------------------------ I1
 
 _CONTRACT = Contract(
