@@ -159,6 +159,39 @@ def _e11(spark, sf):
     return _lin_round(_lin_model(spark, sf, "ElasticNet", alpha=1e4, l1_ratio=0.5))
 
 
+# ------------------------------------------- F2: grids of the linear family by folds
+
+_LINEAR_GRIDS = {"Linear Regression": [{}], "Ridge": [{"alpha": 1e5}, {"alpha": 1e7}], "Lasso": [{"alpha": 1e3}, {"alpha": 1e5}],
+                 "ElasticNet": [{"alpha": 1e2, "l1_ratio": 0.1}, {"alpha": 1e4, "l1_ratio": 0.9}]}
+
+
+def _slope_sql(name, alpha=0.0, l1_ratio=0.5):
+    if name in ("Linear Regression", "Ridge"):
+        return f"sxy / (sxx + {alpha})"
+    l1, l2 = (alpha, 0.0) if name == "Lasso" else (alpha * l1_ratio, alpha * (1 - l1_ratio))
+    return f"sign(sxy) * greatest(abs(sxy / n) - {l1}, 0) / (sxx / n + {l2})"
+
+
+@register("f2_linear_grids_by_folds", f"""
+WITH x AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice AS y, {sql_md5_bucket(LINEITEM_KEY)} % 5 AS fold FROM lineitem),
+f AS (SELECT DISTINCT fold FROM x),
+t AS (SELECT f.fold, count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM f JOIN x ON x.fold <> f.fold GROUP BY f.fold),
+w AS (""" + " UNION ALL ".join(f"SELECT '{name}' AS model, {i} AS point, fold, mx, my, {_slope_sql(name, **p)} AS b FROM t"
+                               for name, grid in _LINEAR_GRIDS.items() for i, p in enumerate(grid)) + f""")
+SELECT model, CAST(point AS INTEGER) AS point, CAST(fold AS INTEGER) AS fold,
+  {r('1 - sum((y - my - b * (x - mx)) ^ 2) / any_value(tot)')} AS r2
+FROM w JOIN x USING (fold) JOIN (SELECT fold, regr_syy(y, x) AS tot FROM x GROUP BY fold) USING (fold) GROUP BY model, point, fold""")
+def _f2l(spark, sf):
+    """Every grid point on every fold of the whole lineitem table, from one pass."""
+    from tabml.plans.linear_stats import grid_by_folds, moments
+    li = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(
+        V.table(spark, sf, "lineitem").withColumn("fold", md5_bucket(V.lineitem_key()) % 5))
+    folds = moments(li, "fold", label_col="l_extendedprice")
+    rows = [(name, i, f, score) for name, grid in _LINEAR_GRIDS.items()
+            for i, scores in enumerate(grid_by_folds(folds, name, grid)) for f, score in zip(sorted(folds), scores)]
+    return rounded(spark.createDataFrame(rows, "model string, point int, fold int, r2 double"))
+
+
 # ------------------------------------------------------------- H1, H3, H5, H6
 
 _LI4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import rows as RW
+from .linear_stats import LINEAR_FAMILY, grid_scores, moments
 from .models import CLASSIFIERS, REGRESSORS, make_model, param_grid
 from .recipe import FEATURES, KEY, LABEL, FitResult, build_feature_pipeline, resample_part
 
@@ -106,8 +107,9 @@ def grid_search(fr: FitResult, name: str, grid: list[dict] | None = None, parall
     """every grid point x every fold; outliers, balancing and the whole feature pipeline are redone
     on each fold's training part (no leak from the validation part), once
     per fold, and the grid points of one fold run in parallel threads (each
-    fit is itself a distributed job).  Returns (best params, table of
-    (params, mean score))."""
+    fit is itself a distributed job).  The linear family is not refitted: one pass over a fold gives
+    the cross-products that all its grid points are solved and scored from (``linear_stats``).
+    Returns (best params, table of (params, mean score))."""
     grid = grid if grid is not None else param_grid(fr.task, name)
     k = fold_count(fr)
     if k < 2:
@@ -117,6 +119,13 @@ def grid_search(fr: FitResult, name: str, grid: list[dict] | None = None, parall
     for f in range(k):
         tr, va = _fold_parts(fr, folded, f)
         fm, _, _ = build_feature_pipeline(tr, fr.numeric, fr.categorical, fr.other, fr.recipe, fr.task)
+        if fr.task != CLASSIFICATION and name in LINEAR_FAMILY:
+            both = fm.transform(tr).select(LABEL, FEATURES, F.lit(0).alias("_part")).unionByName(
+                fm.transform(va).select(LABEL, FEATURES, F.lit(1).alias("_part")))
+            parts = moments(both, "_part", FEATURES, LABEL)
+            for i, s in enumerate(grid_scores(parts[0], parts[1], name, grid)):
+                scores[i][f] = s
+            continue
         tr_t = fm.transform(tr).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
         va_t = fm.transform(va).select(KEY, LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
 
