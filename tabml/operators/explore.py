@@ -3,6 +3,7 @@ over the whole table, then a free unpivot of the single result row."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions.columns import (column_roles, datetime_columns, is_datetime,
                                  numeric_columns, string_columns)
 from ..functions.quantiles import column_quantiles, quantiles_of_counts, value_counts
 from ..functions.stack import unpivot_wide
+from .gram import gram, long_rows
 
 QUANTILE_ACCURACY = 10_000
 
@@ -126,27 +128,13 @@ def box_stats(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """Pearson r for every ordered pair of numeric columns (booleans as
-    0/1), pairwise complete; a constant column gives null.  All pairs in one
-    aggregate job (declarative partial aggregates)."""
+    0/1), pairwise complete; a constant column gives null.  One pass (``gram``)."""
     cols = _numeric(df, cols)
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            x, y = _as_double(a), _as_double(b)
-            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-            aggs.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"{a}\u0001{b}"))
-    row = df.agg(*aggs).first() if aggs else None
-    out = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            r = row[f"{a}\u0001{b}"]
-            if r is not None and r != r:  # NaN from a constant column
-                r = None
-            out.append((a, b, r))
-            if a != b:
-                out.append((b, a, r))
-    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, r double")
+    schema = "col_a string, col_b string, r double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    _, products, flat = gram(df, cols)
+    return df.sparkSession.createDataFrame(long_rows(cols, np.clip(products.correlation(), -1.0, 1.0), flat), schema)
 
 
 def profile_overview(df: DataFrame) -> DataFrame:

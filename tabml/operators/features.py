@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import datetime_columns, numeric_columns
 from .clean import DataError
+from .gram import gram, long_rows
 
 DATETIME_PARTS = ["year", "month", "day", "dayofweek", "dayofyear", "weekofyear", "quarter",
                   "is_month_start", "is_month_end", "hour", "minute"]
@@ -176,36 +177,20 @@ def select_k_best(df: DataFrame, cols, label: str, task: str, k: int | None = No
 
 
 def covariance_matrix(df: DataFrame, cols) -> DataFrame:
-    """Population covariance of every pair (the D8 input), one aggregate."""
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}\u0001{b}"))
-    row = df.agg(*aggs).first()
-    out = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            v = row[f"{a}\u0001{b}"]
-            out.append((a, b, v))
-            if a != b:
-                out.append((b, a, v))
-    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, cov double")
+    """Population covariance of every pair (the D8 input), in one pass (``gram``)."""
+    return df.sparkSession.createDataFrame(long_rows(cols, gram(df, cols)[1].covariance()), "col_a string, col_b string, cov double")
 
 
 def fit_pca(df: DataFrame, cols, k: int):
-    """Centred PCA from the covariance matrix (one aggregate; the d x d
-    eigen problem is solved on the driver, d <= tens).  Signs are fixed so
+    """Centred PCA from the covariance matrix (one pass, ``gram``; the d x d
+    eigen problem is solved on the driver, d <= hundreds).  Signs are fixed so
     the largest absolute loading of each component is positive.
     Returns (means, components[k][d], explained_variance[k])."""
-    d = len(cols)
-    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-                   *[F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}")
-                     for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]).first()
-    means = np.array([stats[f"m{i}"] for i in range(d)], dtype=float)
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = stats[f"c{i}_{j}"] or 0.0
+    means, products, _ = gram(df, cols)
+    n = products.mm
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = np.nan_to_num(products.covariance() * n / (n - 1), posinf=0.0, neginf=0.0)
+    means = np.nan_to_num(means)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:k]
     comps = vecs[:, order].T

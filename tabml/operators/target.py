@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_datetime, is_numeric, is_string
+from ..session import shared_dir
 from .clean import DataError
 
 CLASSIFICATION = "classification"
@@ -34,12 +36,26 @@ def task_stats(df: DataFrame, target: str, approx: bool = False) -> DataFrame:
                         F.lit(numeric).alias("is_numeric"), task.alias("task"))
 
 
+def _n_distinct(df: DataFrame, c: str) -> int:
+    return df.select(F.col(c).alias("v")).where("v IS NOT NULL").distinct().count()
+
+
+def modes(df: DataFrame, cols) -> dict:
+    """The most frequent value of each column (of one type), the smallest on ties; columns without values are left out.  Values
+    are counted with partial sums, so no task holds more than its share of them."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("x")).select("x.*")
+    counts = long.where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+    return {r["c"]: r["v"] for r in best.collect()}  # one row a column
+
+
 def input_stats(df: DataFrame, target: str, id_candidates=()) -> dict:
-    """C1 + C3/C4 guard + C6 in ONE aggregate job: rows, distinct target
-    values, missing targets and distinct values of every ID-like column."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(target)).alias("nd"),
-                 F.sum(F.col(target).isNull().cast("long")).alias("nulls"),
-                 *[F.count_distinct(F.col(c)).alias(f"id{i}") for i, c in enumerate(id_candidates)]).first()
+    """C1 + C3/C4 guard + C6: rows, distinct target values, missing targets and distinct values of every ID-like
+    column.  Distinct values are counted column by column: beside other aggregates they would make Spark
+    repeat every row for each of them."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).isNull().cast("long")).alias("nulls")).first().asDict()
+    row["nd"] = _n_distinct(df, target)
+    row |= {f"id{i}": _n_distinct(df, c) for i, c in enumerate(id_candidates)}
     dt = df.schema[target].dataType
     numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
     n, nd = int(row["n"]), int(row["nd"])
@@ -79,7 +95,7 @@ def impute_target(df: DataFrame, target: str, how: str, approx: bool = False) ->
     ``approx=True``).  The statistic is one aggregate job whose single value
     is folded into the plan as a literal."""
     if how == "mode":
-        fill = df.agg(F.mode(F.col(target), True).alias("v")).first()["v"]
+        fill = modes(df, [target]).get(target)
         expr = F.coalesce(F.col(target), F.lit(fill).cast(df.schema[target].dataType))
     elif how == "median":
         from ..functions.quantiles import column_quantiles
@@ -129,17 +145,32 @@ def fit_label_map(df: DataFrame, target: str) -> LabelMap:
     return LabelMap(target, tuple(sorted(r["v"] for r in distinct.collect())), numeric, dt.simpleString())
 
 
+def sorted_places(values: DataFrame, col: str, out_col: str) -> DataFrame:
+    """Distinct ``values`` with their place in order (0 on).  Ranges of values are sorted in tasks of their own
+    and written; a place is that in its range after the sizes of the ranges before (one row a range)."""
+    from pyspark.sql import Window
+    spark = values.sparkSession
+    path = shared_dir(spark, f"sorted-places-{uuid.uuid4().hex}")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = values.repartitionByRange(parts, col).sortWithinPartitions(col).select(
+        col, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").select(col, (F.col("_start") + F.col("_at")).alias(out_col))
+
+
 def encode_label_table(df: DataFrame, target: str, out_col: str = "label") -> DataFrame:
     """C5 as a table: the class code (0..k-1, classes sorted as numbers or as
     text) next to every row.  The class table is joined, so any number of classes will do;
     a missing target has no code."""
-    from pyspark.sql import Window
     dt = df.schema[target].dataType
     numeric = is_numeric(dt) or isinstance(dt, T.BooleanType)
     value = F.col(target).cast("double") if numeric else F.col(target).cast("string")
     classes = df.select(value.alias("_class")).where("_class IS NOT NULL").distinct()
-    # over one row per class
-    codes = classes.withColumn(out_col, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_class")) - 1).cast("bigint"))
+    codes = sorted_places(classes, "_class", out_col)
     return df.withColumn("_class", value).join(codes, "_class", "left").select(*df.columns, out_col)
 
 
@@ -181,12 +212,14 @@ def require_features(df: DataFrame, target: str) -> list[str]:
 
 def infer_input_defaults(df: DataFrame, cols=None) -> DataFrame:
     """Column, default (as text): numeric median (0.0 when all null),
-    string mode (smallest on ties), earliest datetime, else ''.  One job."""
+    string mode (smallest on ties), earliest datetime, else ''."""
     from ..functions.quantiles import column_quantiles
     cols = cols or df.columns
     aggs, kinds = [], {}
     nums = [c for c in cols if is_numeric(df.schema[c].dataType) or isinstance(df.schema[c].dataType, T.BooleanType)]
     medians = column_quantiles(df, nums, [0.5]) if nums else {}
+    texts = [c for c in cols if c not in nums and is_string(df.schema[c].dataType)]
+    common = modes(df, texts) if texts else {}
     for c in cols:
         dt = df.schema[c].dataType
         if is_numeric(dt) or isinstance(dt, T.BooleanType):
@@ -195,7 +228,7 @@ def infer_input_defaults(df: DataFrame, cols=None) -> DataFrame:
             aggs.append(F.lit(0.0 if med is None else float(med)).cast("string").alias(c))
         elif is_string(dt):
             kinds[c] = "str"
-            aggs.append(F.coalesce(F.mode(F.col(c), True), F.lit("")).alias(c))
+            aggs.append(F.lit(common.get(c, "")).alias(c))
         elif is_datetime(dt):
             kinds[c] = "dt"
             aggs.append(F.coalesce(F.min(F.col(c)).cast("string"), F.lit("")).alias(c))
