@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import datetime_columns, numeric_columns
 from .clean import DataError
-from .gram import gram, long_rows
+from .gram import gram
 
 DATETIME_PARTS = ["year", "month", "day", "dayofweek", "dayofyear", "weekofyear", "quarter",
                   "is_month_start", "is_month_end", "hour", "minute"]
@@ -177,8 +177,20 @@ def select_k_best(df: DataFrame, cols, label: str, task: str, k: int | None = No
 
 
 def covariance_matrix(df: DataFrame, cols) -> DataFrame:
-    """Population covariance of every pair (the D8 input), in one pass (``gram``)."""
-    return df.sparkSession.createDataFrame(long_rows(cols, gram(df, cols)[1].covariance()), "col_a string, col_b string, cov double")
+    """Population covariance of every pair of a few columns, one aggregate (for many: ``gram``, as ``fit_pca`` does)."""
+    aggs = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            aggs.append(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}\u0001{b}"))
+    row = df.agg(*aggs).first()
+    out = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            v = row[f"{a}\u0001{b}"]
+            out.append((a, b, v))
+            if a != b:
+                out.append((b, a, v))
+    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, cov double")
 
 
 def fit_pca(df: DataFrame, cols, k: int):
