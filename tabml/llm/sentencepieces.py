@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import ready
+from .frames import ready, settled
 
 SPACE = "▁"
 #: Characters that are segmented at once.
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
     names, at = docs.columns, docs.columns.index(text_col)
     df = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return df.mapInArrow(lambda batches: encoded_batches(model_of(shared.value), batches, at),
+    return df.mapInArrow(settled(lambda batches: encoded_batches(model_of(shared.value), batches, at)),
                          T.StructType([*df.schema.fields, *ENCODED])).toDF(*names, "ids", "starts", "ends")
 
 
@@ -319,7 +319,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "d"])
 
     df = encoded.toDF(*[f"c{i}" for i in range(len(names))])
-    return df.mapInArrow(work, T.StructType([*df.schema.fields, T.StructField("d", T.StringType())])).toDF(*names, out)
+    return df.mapInArrow(settled(work), T.StructType([*df.schema.fields, T.StructField("d", T.StringType())])).toDF(*names, out)
 
 
 DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
