@@ -9,16 +9,16 @@ library's objective:
 * lasso ``alpha`` -> regParam = alpha, elasticNetParam = 1
 * elastic net     -> A = alpha l1, B = alpha (1 - l1) s;
                      regParam = A + B, elasticNetParam = A / (A + B)
+* boosting        -> ``boosting``: second-order gain; growth by levels with an L2 penalty of 1
+                     ("XGBoost"), by leaves with 31 leaves of 20 rows at least ("LightGBM")
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, NaiveBayes,
-                                       OneVsRest, RandomForestClassifier)
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
 CLASSIFIERS = ["Random Forest", "XGBoost", "LightGBM", "Logistic Regression", "SVC",
                "K-Nearest Neighbors", "Gaussian Naive Bayes"]
@@ -32,8 +32,11 @@ MAX_TREE_DEPTH = 30
 # spark.checkpoint.dir every 10 iterations) and give the per-level histogram
 # aggregation room for many nodes per pass.
 TREE_OPTS = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
-# Depth used for the LightGBM stand-in when its depth is -1 (about 31 leaves).
-LGBM_UNLIMITED_DEPTH = 5
+# Regularisation that the two boosted models have by default.
+BOOSTING = {
+    "XGBoost": {"growth": "level", "l2": 1.0, "minHessian": 1.0, "minRows": 1, "maxLeaves": 0},
+    "LightGBM": {"growth": "leaf", "l2": 0.0, "minHessian": 1e-3, "minRows": 20, "maxLeaves": 31},
+}
 
 # Defaults of the comparison table (library defaults).
 COMPARE_DEFAULTS = {
@@ -71,6 +74,15 @@ def _depth(d, unlimited):
     return int(d)
 
 
+def _boosting(task, name, p, ctx, common):
+    from .boosting import HistogramBoosting
+    depth = 0 if p["max_depth"] is None or int(p["max_depth"]) <= 0 else int(p["max_depth"])
+    if name == "XGBoost" and depth == 0:
+        depth = MAX_TREE_DEPTH
+    return HistogramBoosting(task=task, nClasses=max(2, ctx.n_classes), rounds=int(p["n_estimators"]), rate=float(p["learning_rate"]),
+                             maxDepth=depth, **BOOSTING[name], **common)
+
+
 def make_model(task: str, name: str, ctx: FitContext, **params):
     """Return an unfitted estimator for ``name`` with ``params`` applied."""
     p = {**COMPARE_DEFAULTS.get(name, {}), **params}
@@ -83,14 +95,7 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
                                           maxDepth=_depth(p["max_depth"], MAX_TREE_DEPTH),
                                           featureSubsetStrategy="sqrt", seed=ctx.seed, **TREE_OPTS, **common)
         if name in ("XGBoost", "LightGBM"):
-            unlimited = LGBM_UNLIMITED_DEPTH if name == "LightGBM" else MAX_TREE_DEPTH
-            gbt = GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"], unlimited),
-                                stepSize=float(p["learning_rate"]), seed=ctx.seed, **TREE_OPTS, **common)
-            if ctx.n_classes > 2:
-                from .kernel import OneVsRestProbability
-                # a GBT's class-1 probability is the logistic of twice its margin
-                return Pipeline(stages=[OneVsRest(classifier=gbt, **common), OneVsRestProbability(scale=2.0)])
-            return gbt
+            return _boosting(task, name, p, ctx, common)
         if name == "Logistic Regression":
             return LogisticRegression(regParam=1.0 / (float(p["C"]) * n), elasticNetParam=0.0,
                                       standardization=False, maxIter=1000, **common)
@@ -122,9 +127,7 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
                                          maxDepth=_depth(p["max_depth"], MAX_TREE_DEPTH),
                                          featureSubsetStrategy="all", seed=ctx.seed, **TREE_OPTS, **common)
         if name in ("XGBoost", "LightGBM"):
-            unlimited = LGBM_UNLIMITED_DEPTH if name == "LightGBM" else MAX_TREE_DEPTH
-            return GBTRegressor(maxIter=int(p["n_estimators"]), maxDepth=_depth(p["max_depth"], unlimited),
-                                stepSize=float(p["learning_rate"]), seed=ctx.seed, **TREE_OPTS, **common)
+            return _boosting(task, name, p, ctx, common)
         if name == "SVR":
             from .kernel import RbfSVR
             return RbfSVR(C=float(p["C"]), gamma=str(p["gamma"]), epsilon=float(p.get("epsilon", 0.1)),
