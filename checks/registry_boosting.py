@@ -1,4 +1,4 @@
-"""Boosted trees against SQL that finds every split itself."""
+"""Boosted trees and forests of one tree against SQL that finds every split itself."""
 
 from __future__ import annotations
 
@@ -99,3 +99,37 @@ def _e2s(spark, sf):
     model = make_model("classification", "XGBoost", FitContext(n_rows=1, n_classes=3), n_estimators=1, max_depth=1).fit(df)
     p = vector_to_array("probability")
     return model.transform(df).select("row_id", *[(F.round(p[c], 6) + 0.0).alias(f"p{c}") for c in range(3)])
+
+
+_STUMP = ["CAST(l_discount AS DOUBLE)", "CAST(l_tax AS DOUBLE)", "CAST(floor(l_quantity / 5) AS DOUBLE)", "CAST(year(l_shipdate) AS DOUBLE)"]
+
+
+def _stump_sql(label: str, digits: int) -> str:
+    """The split of least impurity (Gini for 0/1 labels is twice the variance) and the mean label on both sides."""
+    names = [f"f{j}" for j in range(len(_STUMP))]
+    columns = ", ".join(f"{e} AS {n}" for e, n in zip(_STUMP, names))
+    return f"""WITH a AS MATERIALIZED (SELECT {LINEITEM_KEY} AS row_id, {columns}, CAST({label} AS DOUBLE) AS g, 1.0::DOUBLE AS h, 0 AS c FROM lineitem),
+b AS MATERIALIZED (SELECT * FROM ({_candidates('a', names, 'c', 0.0, 1.0, 1)}) ORDER BY gain DESC, j, x LIMIT 1)
+SELECT row_id, {r("CASE WHEN " + _side(names) + " = 'L' THEN gl / hl ELSE (ga - gl) / (ha - hl) END", digits)} AS mean FROM a, b"""
+
+
+def _stump(spark, sf, task, label):
+    li = V.lineitem_keyed(spark, sf).select(
+        "row_id", label.cast("double").alias("label"), F.col("l_discount").cast("double").alias("f0"), F.col("l_tax").cast("double").alias("f1"),
+        F.floor(F.col("l_quantity") / 5).cast("double").alias("f2"), F.year("l_shipdate").cast("double").alias("f3"))
+    df = VectorAssembler(inputCols=[f"f{j}" for j in range(4)], outputCol="features").transform(li)
+    model = make_model(task, "Random Forest", FitContext(n_rows=1), n_estimators=1, max_depth=1, max_features="all", bootstrap=False).fit(df)
+    return model.transform(df)
+
+
+@register("e1_stump_of_least_gini", _stump_sql("CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END", 9))
+def _e1s(spark, sf):
+    """A forest of one stump over all rows: every row's class share."""
+    out = _stump(spark, sf, "classification", F.col("l_returnflag") == "N")
+    return out.select("row_id", (F.round(vector_to_array("probability")[1], 9) + 0.0).alias("mean"))
+
+
+@register("e14_stump_of_least_variance", _stump_sql("l_extendedprice", 4))
+def _e14s(spark, sf):
+    """A forest of one stump over all rows: every row's mean price."""
+    return _stump(spark, sf, "regression", F.col("l_extendedprice")).select("row_id", (F.round("prediction", 4) + 0.0).alias("mean"))

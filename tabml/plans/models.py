@@ -93,7 +93,8 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
         if name == "Random Forest":
             return RandomForestClassifier(numTrees=int(p["n_estimators"]),
                                           maxDepth=_depth(p["max_depth"], MAX_TREE_DEPTH),
-                                          featureSubsetStrategy="sqrt", seed=ctx.seed, **TREE_OPTS, **common)
+                                          featureSubsetStrategy=str(p.get("max_features", "sqrt")), bootstrap=bool(p.get("bootstrap", True)),
+                                          seed=ctx.seed, **TREE_OPTS, **common)
         if name in ("XGBoost", "LightGBM"):
             return _boosting(task, name, p, ctx, common)
         if name == "Logistic Regression":
@@ -125,7 +126,8 @@ def make_model(task: str, name: str, ctx: FitContext, **params):
         if name == "Random Forest":
             return RandomForestRegressor(numTrees=int(p["n_estimators"]),
                                          maxDepth=_depth(p["max_depth"], MAX_TREE_DEPTH),
-                                         featureSubsetStrategy="all", seed=ctx.seed, **TREE_OPTS, **common)
+                                         featureSubsetStrategy=str(p.get("max_features", "all")), bootstrap=bool(p.get("bootstrap", True)),
+                                         seed=ctx.seed, **TREE_OPTS, **common)
         if name in ("XGBoost", "LightGBM"):
             return _boosting(task, name, p, ctx, common)
         if name == "SVR":
