@@ -122,10 +122,11 @@ def _stump(spark, sf, task, label):
     return model.transform(df)
 
 
-@register("e1_stump_of_least_gini", _stump_sql("CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END", 9))
+@register("e1_stump_of_least_gini", _stump_sql("CASE WHEN l_extendedprice > 30000 THEN 1 ELSE 0 END", 9))
 def _e1s(spark, sf):
-    """A forest of one stump over all rows: every row's class share."""
-    out = _stump(spark, sf, "classification", F.col("l_returnflag") == "N")
+    """A forest of one stump over all rows: every row's class share.  Spark merges two leaves that predict the same class,
+    which the SQL does not: the label is one whose leaves differ."""
+    out = _stump(spark, sf, "classification", F.col("l_extendedprice") > 30000)
     return out.select("row_id", (F.round(vector_to_array("probability")[1], 9) + 0.0).alias("mean"))
 
 
