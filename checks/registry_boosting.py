@@ -104,13 +104,15 @@ def _e2s(spark, sf):
 _STUMP = ["CAST(l_discount AS DOUBLE)", "CAST(l_tax AS DOUBLE)", "CAST(floor(l_quantity / 5) AS DOUBLE)", "CAST(year(l_shipdate) AS DOUBLE)"]
 
 
-def _stump_sql(label: str, digits: int) -> str:
-    """The split of least impurity (Gini for 0/1 labels is twice the variance) and the mean label on both sides."""
+def _stump_sql(label: str, digits: int, classes: bool = False) -> str:
+    """The split of least impurity (Gini for 0/1 labels is twice the variance) and the mean label on both sides; of
+    ``classes``, sides that predict the same one are one leaf."""
+    one = "(gl / hl > 0.5) = ((ga - gl) / (ha - hl) > 0.5)" if classes else "false"
     names = [f"f{j}" for j in range(len(_STUMP))]
     columns = ", ".join(f"{e} AS {n}" for e, n in zip(_STUMP, names))
     return f"""WITH a AS MATERIALIZED (SELECT {LINEITEM_KEY} AS row_id, {columns}, CAST({label} AS DOUBLE) AS g, 1.0::DOUBLE AS h, 0 AS c FROM lineitem),
 b AS MATERIALIZED (SELECT * FROM ({_candidates('a', names, 'c', 0.0, 1.0, 1)}) ORDER BY gain DESC, j, x LIMIT 1)
-SELECT row_id, {r("CASE WHEN " + _side(names) + " = 'L' THEN gl / hl ELSE (ga - gl) / (ha - hl) END", digits)} AS mean FROM a, b"""
+SELECT row_id, {r("CASE WHEN " + one + " THEN ga / ha WHEN " + _side(names) + " = 'L' THEN gl / hl ELSE (ga - gl) / (ha - hl) END", digits)} AS mean FROM a, b"""
 
 
 def _stump(spark, sf, task, label):
@@ -122,11 +124,10 @@ def _stump(spark, sf, task, label):
     return model.transform(df)
 
 
-@register("e1_stump_of_least_gini", _stump_sql("CASE WHEN l_extendedprice > 30000 THEN 1 ELSE 0 END", 9))
+@register("e1_stump_of_least_gini", _stump_sql("CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END", 9, True))
 def _e1s(spark, sf):
-    """A forest of one stump over all rows: every row's class share.  Spark merges two leaves that predict the same class,
-    which the SQL does not: the label is one whose leaves differ."""
-    out = _stump(spark, sf, "classification", F.col("l_extendedprice") > 30000)
+    """A forest of one stump over all rows: every row's class share.  Spark merges two leaves that predict the same class."""
+    out = _stump(spark, sf, "classification", F.col("l_returnflag") == "N")
     return out.select("row_id", (F.round(vector_to_array("probability")[1], 9) + 0.0).alias("mean"))
 
 
