@@ -92,10 +92,12 @@ ORACLE["op3_decontaminate"] = rf"""
 WITH item AS (
   SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-win AS (
-  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS s
-  FROM (SELECT item_id, w, least(len(w), 13) AS l, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+spot AS (
+  SELECT item_row, item_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS s
+  FROM (SELECT row_number() OVER () AS item_row, item_id, w, least(len(w), 13) AS l,
+               unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
         FROM item WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item_id, l, s FROM spot),
 doc AS (
   SELECT row_number() OVER () AS rid, doc_id,
     coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
@@ -104,11 +106,19 @@ word AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM
 ahead AS (
   SELECT rid, pos, list(word) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS f
   FROM word),
-occ AS (
-  SELECT a.rid, a.pos, win.l, win.item_id
+met AS (
+  SELECT a.rid, a.pos, spot.l, spot.item_id, spot.item_row, spot.i
   FROM (SELECT rid, pos, lens.l, array_to_string(f[1:lens.l], ' ') AS s
         FROM ahead, (SELECT DISTINCT l FROM win) lens WHERE len(f) >= lens.l) a
-  JOIN win ON win.l = a.l AND win.s = a.s),
+  JOIN spot ON spot.l = a.l AND spot.s = a.s),
+occ AS (SELECT DISTINCT rid, pos, l, item_id FROM met),
+match AS (
+  SELECT rid, CAST(item_id AS VARCHAR) AS item, min(pos) - 1 AS place, count(*) + max(l) - 1 AS n
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY rid, item_row, pos - i ORDER BY pos) AS stretch FROM met)
+  GROUP BY rid, item_row, item_id, pos - i, stretch),
+best AS (
+  SELECT rid, item, place, n
+  FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n DESC, place, item) AS k FROM match) WHERE k = 1),
 hit AS (
   SELECT rid, count(DISTINCT p) AS n_hit
   FROM (SELECT rid, unnest(range(pos, pos + l)) AS p FROM (SELECT DISTINCT rid, pos, l FROM occ)) GROUP BY rid),
@@ -116,8 +126,9 @@ found AS (
   SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  CAST(coalesce(n, 0) AS BIGINT) AS longest_words, item AS longest_item, CAST(place AS BIGINT) AS longest_at
+FROM doc LEFT JOIN hit USING (rid) LEFT JOIN found USING (rid) LEFT JOIN best USING (rid)"""
 
 ORACLE["op10_ngram_join"] = rf"""
 WITH RECURSIVE doc AS (

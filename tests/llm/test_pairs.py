@@ -5,9 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tabml.llm import components, decontaminate, ngram_join, suffix_dedup
+from tabml.llm import components, decontaminate, ngram_join, suffix_dedup, words
 from llm_helpers import DOCS, LOWER, frame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +181,17 @@ def test_contamination_equals_brute_force(spark):
                         found |= windows[x]
             assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(w), len(hit), sorted(found)), i
             assert got[i].contaminated == (len(hit) > 0 and 20 * len(hit) >= len(w))
+            longest = (0, None, None)
+            for item, t2 in items:
+                other = words.findall((t2 or "").translate(LOWER)) if item is not None else []
+                for p in range(len(w)):
+                    for q in range(len(other)):
+                        n = 0
+                        while p + n < len(w) and q + n < len(other) and w[p + n] == other[q + n]:
+                            n += 1
+                        if n and n >= min(13, len(other)):
+                            longest = min(longest, (-n, p, str(item)))
+            assert (-got[i].longest_words, got[i].longest_at, got[i].longest_item) == longest, i
     digest = {r.doc_id: r for r in decontaminate.digest(frame(spark, docs), bench).collect()}
     assert digest[6].items_sha256 == hashlib.sha256(b"").hexdigest()
     none = spark.createDataFrame([], "item_id long, text string")
@@ -216,3 +228,29 @@ def test_longest_matches_of_shared_passages(spark):
             else:
                 r = got[name, s]
                 assert r.n_words == best and docs[r.doc][r.doc_word:r.doc_word + best] == text[s:s + best]
+
+
+def test_matches_of_random_texts_equal_brute_force():
+    """Few words, so that suffixes tie for long: spans and longest matches, window of 4, items shorter than it."""
+    rng = random.Random(4)
+    for case in range(60):
+        vocabulary = [f"v{i}" for i in range(rng.choice([1, 2, 5]))]
+        items = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 9, 25]))] for _ in range(4)]
+        docs = [[rng.choice([*vocabulary, "q"]) for _ in range(rng.choice([0, 2, 30]))] for _ in range(5)]
+        docs += [["q", *rng.choice(items), "q", *rng.choice(items)]]
+        block = decontaminate.Block(list(range(4)), [" ".join(x) for x in items], 4)
+        piece = next(words.slices(pa.array([" ".join(d) for d in docs]), 1 << 20))
+        for d, got in zip(docs, decontaminate._found(piece, block)):
+            hit, found, longest = set(), set(), (0, None, None)
+            for i, x in enumerate(items):
+                for p in range(len(d)):
+                    for q in range(len(x)):
+                        n = 0
+                        while p + n < len(d) and q + n < len(x) and d[p + n] == x[q + n]:
+                            n += 1
+                        if n >= min(4, len(x)):
+                            hit.update(range(p, p + n))
+                            found.add(str(i))
+                            longest = min(longest, (-n, p, str(i)))
+            spans = {w for a, z in zip(got[1][::2], got[1][1::2]) for w in range(a, z)}
+            assert (got[0], spans, got[2], (-got[3], got[5], got[4])) == (len(d), hit, sorted(found), longest), (case, d, items)
