@@ -25,6 +25,7 @@ U+FFFD, one each.  Other columns pass through, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -70,98 +71,125 @@ def _fields(data: bytes):
 
 
 class Normaliser:
-    """Text normalisation with source alignment, from a model's normaliser settings."""
+    """Text normalisation with source alignment, from a model's normaliser settings: the longest mapped prefixes of
+    all places at once, over byte arrays.  A model without a map has no byte that begins a prefix."""
 
     def __init__(self, settings: bytes, symbols: list[bytes] = (), suffix: bool = False):
         known = dict(_fields(settings))
-        self.map = known.get(2, b"")
+        mapped = known.get(2, b"")
         self.prefix = bool(known.get(3, 1))
         self.squeeze = bool(known.get(4, 1))
         self.escape = bool(known.get(5, 1))
         self.suffix = suffix
-        self.symbols = sorted(symbols, key=len, reverse=True)
-        self.plain = not self.map and not self.squeeze and not self.symbols and self.escape and not suffix
-        if self.map:
-            size = int.from_bytes(self.map[:4], "little")
-            self.units = np.frombuffer(self.map, "<u4", size // 4, 4).tolist()
-            self.targets = self.map[4 + size:]
-
-    def longest(self, data: bytes, at: int) -> tuple[bytes, int]:
-        """The replacement of the longest mapped prefix at ``at`` and its length, or one character."""
-        for s in self.symbols:
-            if data.startswith(s, at):
-                return s, len(s)
-        found = None
-        if self.map:
-            units = self.units
-            unit = units[0]
-            node = (unit >> 10) << ((unit & 0x200) >> 6)
-            for i in range(at, len(data)):
-                c = data[i]
-                node ^= c
-                unit = units[node] if node < len(units) else 0
-                if unit & 0x800000FF != c:
-                    break
-                node ^= (unit >> 10) << ((unit & 0x200) >> 6)
-                if unit >> 8 & 1:
-                    found = units[node] & 0x7FFFFFFF, i + 1 - at
-        if found:
-            end = self.targets.index(b"\0", found[0])
-            return self.targets[found[0]:end], found[1]
-        lead = data[at]
-        size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        try:
-            data[at:at + size].decode("utf-8")
-            return data[at:at + size], size
-        except UnicodeDecodeError:
-            return b"\xef\xbf\xbd", 1
+        size = int.from_bytes(mapped[:4], "little")
+        #: the map's double array, and its targets, each ended by a zero
+        self.units = np.frombuffer(mapped, "<u4", size // 4, 4).astype(np.int64) if size else np.zeros(1, np.int64)
+        self.targets = np.frombuffer(mapped[4 + size:] + b"\0", np.uint8)
+        self.ends = np.flatnonzero(self.targets == 0)
+        first = np.arange(256)
+        node = _offset(self.units[:1]) ^ first
+        #: bytes that begin a mapped prefix
+        self.heads = (first > 0) & (self.units[np.minimum(node, len(self.units) - 1)] & 0x800000FF == first) & (node < len(self.units))
+        ordered = sorted(symbols, key=len, reverse=True)
+        self.symbols = re.compile(b"(?=(" + b"|".join(map(re.escape, ordered)) + b"))") if ordered else None
+
+    def longest(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every place with a mapped prefix, the bytes of the longest one, and its target's place."""
+        at = np.flatnonzero(self.heads[data])
+        size, value = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        walking, node, depth = np.arange(len(at)), np.repeat(_offset(self.units[:1]), len(at)), 0
+        while len(walking):
+            byte = data[at[walking] + depth].astype(np.int64)
+            node = node ^ byte
+            unit = self.units[np.minimum(node, len(self.units) - 1)]
+            on = (byte > 0) & (node < len(self.units)) & (unit & 0x800000FF == byte)
+            walking, node, unit = walking[on], (node ^ _offset(unit))[on], unit[on]
+            depth += 1
+            leaf = unit >> 8 & 1 == 1
+            size[walking[leaf]] = depth
+            value[walking[leaf]] = self.units[node[leaf]] & 0x7FFFFFFF
+            inside = at[walking] + depth < len(data)
+            walking, node = walking[inside], node[inside]
+        found = size > 0
+        return at[found], size[found], value[found]
+
+    def replaced(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parsed from the left, longest prefix first: the bytes after replacement, their source bytes, and where
+        a replacement's bytes, or a byte of its own, begin."""
+        at, size, value = self.longest(data)
+        if self.symbols:  # a symbol stands for itself, whatever the map says
+            own = [(m.start(), len(m.group(1))) for m in self.symbols.finditer(data.tobytes())]
+            rest = ~np.isin(at, [p for p, _ in own])
+            at = np.concatenate([at[rest], np.array([p for p, _ in own], np.int64)])
+            size = np.concatenate([size[rest], np.array([n for _, n in own], np.int64)])
+            value = np.concatenate([value[rest], np.full(len(own), -1)])
+            order = np.argsort(at)
+            at, size, value = at[order], size[order], value[order]
+        if (at[1:] < (at + size)[:-1]).any():  # prefixes that begin inside one already taken are none
+            following, taken, i = np.searchsorted(at, at + size).tolist(), [], 0
+            while i < len(at):
+                taken.append(i)
+                i = following[i]
+            at, size, value = at[taken], size[taken], value[taken]
+        at, size, value = at[value >= 0], size[value >= 0], value[value >= 0]
+        count = np.ones(len(data), np.int64)
+        edge = np.zeros(len(data) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size, -1)
+        count[np.cumsum(edge[:-1]) > 0] = 0
+        long = self.ends[np.searchsorted(self.ends, value)] - value
+        count[at] = long
+        source = np.repeat(np.arange(len(data)), count)
+        out = data[source]
+        start = (np.cumsum(count) - count)[at]
+        begins = np.ones(len(out), bool)
+        step = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        here = np.repeat(start, long) + step
+        out[here] = self.targets[np.repeat(value, long) + step]
+        begins[here] = step == 0
+        return out, source, begins
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and the source byte of each of its bytes (and its end)."""
-        data = text.encode("utf-8")
-        if not data:
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        end = len(data)
+        if not end:
             return "", np.zeros(1, np.int64)
         mark = SPACE.encode() if self.escape else b" "
-        if self.plain:
-            raw = np.frombuffer(data, np.uint8)
-            align = np.repeat(np.arange(len(raw)), np.where(raw == 32, 3, 1))
-            ahead = np.zeros(3 * self.prefix, np.int64)
-            return SPACE * self.prefix + text.replace(" ", SPACE), np.concatenate([ahead, align, [len(raw)]])
-        at, out, align = 0, bytearray(), []
+        out, source, begins = self.replaced(data)
+        lead = 0
         if self.squeeze:
-            while at < len(data):
-                to, used = self.longest(data, at)
-                if to != b" ":
-                    break
-                at += used
-            if at == len(data):
-                return "", np.array([at])
-
-        def put(part, source):
-            out.extend(part)
-            align.extend([source] * len(part))
-
+            blank = out == 32
+            # spaces that a replacement begins with go if a space, or nothing, comes before it
+            solid = np.cumsum(~blank)
+            unit = np.maximum.accumulate(np.where(begins, np.arange(len(out)), 0))
+            before = np.concatenate([[True], blank])[unit]
+            dropped = blank & before & (solid == np.concatenate([[0], solid])[unit])
+            single = begins & np.append(begins[1:], True) & blank
+            n = int(np.argmin(np.append(single, False)))
+            lead = int(source[n]) if n < len(out) else end
+            if lead == end:
+                return "", np.array([end])
+            out, source = out[~dropped], source[~dropped]
+        normal = out.tobytes().replace(b" ", mark)
+        align = np.repeat(source, np.where(out == 32, len(mark), 1))
         if self.prefix and not self.suffix:
-            put(mark, at)
-        after_space = self.squeeze
-        while at < len(data):
-            to, used = self.longest(data, at)
-            while after_space and to.startswith(b" "):
-                to = to[1:]
-            if to:
-                for c in to:
-                    put(mark if c == 32 else bytes([c]), at)
-                after_space = to.endswith(b" ") and self.squeeze
-            at += used
+            normal, align = mark + normal, np.concatenate([np.full(len(mark), lead), align])
         if self.squeeze:
-            while out.endswith(mark):
-                del out[-len(mark):]
-                at = align[len(out)]
-                del align[len(out):]
+            kept = len(normal)
+            while normal.endswith(mark, 0, kept):
+                kept -= len(mark)
+            if kept < len(normal):
+                end = int(align[kept])
+                normal, align = normal[:kept], align[:kept]
         if self.prefix and self.suffix:
-            put(mark, at)
-        align.append(at)
-        return out.decode("utf-8"), np.array(align, np.int64)
+            normal, align = normal + mark, np.concatenate([align, np.full(len(mark), end)])
+        return normal.decode("utf-8"), np.append(align, end)
+
+
+def _offset(units: np.ndarray) -> np.ndarray:
+    """Where the children of a double array's units begin."""
+    return units >> 10 << ((units & 0x200) >> 6)
 
 
 class Model:

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tabml.llm import language, quality, sentencepieces, subword, toxicity
 from tabml.llm.queries import PIECES
 from llm_helpers import frame, prose
+from paths import SF_SMALL
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 MODEL = sentencepieces.model_of(sentencepieces.load(PIECES))
@@ -50,15 +51,16 @@ def charsmap(rules: dict[str, str]) -> bytes:
     for source, target in rules.items():
         places[source.encode()] = len(targets)
         targets += target.encode() + b"\0"
-    units, used = {0: 0}, {0}
+    units, used, bases = {0: 0}, {0}, set()
     todo = [(0, b"")]
     while todo:
         node, prefix = todo.pop()
         nexts = sorted({k[len(prefix)] for k in places if k.startswith(prefix) and len(k) > len(prefix)})
         leaf = prefix in places
         base = 1
-        while any((base ^ c) in used for c in [*nexts, *([0] if leaf else [])]) or node ^ base >= 1 << 21:
+        while base in bases or any((base ^ c) in used for c in [*nexts, *([0] if leaf else [])]) or node ^ base >= 1 << 21:
             base += 1
+        bases.add(base)
         units[node] = units[node] | ((node ^ base) << 10) | (leaf << 8)
         for c in [*nexts, *([0] if leaf else [])]:
             used.add(base ^ c)
@@ -67,8 +69,8 @@ def charsmap(rules: dict[str, str]) -> bytes:
         for c in nexts:
             units[base ^ c] = c
             todo.append((base ^ c, prefix + bytes([c])))
-    size = max(units) + 1
-    trie = np.array([units.get(i, 0) for i in range(size)], np.uint32).tobytes()
+    size = -(-(max(units) + 1) // 256) * 256
+    trie = np.array([units.get(i, 1 << 31) for i in range(size)], np.uint32).tobytes()
     return len(trie).to_bytes(4, "little") + trie + targets
 
 
@@ -91,7 +93,35 @@ def test_longest_prefix_normalisation_keeps_source_places():
     assert b"".join(spans).strip() == source.strip()
     assert n("   ")[0] == "" and n("")[0] == ""
     plain = sentencepieces.Normaliser(settings_of(b"", True, False))
-    assert plain.plain and plain(" a ")[0] == "▁▁a▁" and plain(" a ")[1].tolist() == [0, 0, 0, 0, 0, 0, 1, 2, 2, 2, 3]
+    assert plain(" a ")[0] == "▁▁a▁" and plain(" a ")[1].tolist() == [0, 0, 0, 0, 0, 0, 1, 2, 2, 2, 3]
+
+
+RULES = {**{chr(65 + i): chr(97 + i) for i in range(26)}, "ﬁ": "fi", "AB": "x", "ABCD": "y ", "é": "e", "\t": " ", "\n": " ", "…": "...",
+         "Z": "", "¼": " 1/4 ", "the": "THE", "ther": "r", "　": " ", ".": "  .", "e\u0301": "é"}
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_a_mapped_model_equals_the_library_on_a_whole_table(spark, squeeze, prefix):
+    """The model with a character map and symbols of the user's, over all documents and odd texts."""
+    settings = settings_of(charsmap(RULES), prefix, squeeze)
+    size, n = b"", len(settings)
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    data = sentencepieces.load(PIECES) + b"\x1a" + size + bytes([n]) + settings
+    for symbol in ("Aéq", "the thing", "ABﬁ", "…q"):
+        symbol = symbol.encode()
+        piece = b"\x0a" + bytes([len(symbol)]) + symbol + b"\x15\0\0\0\0\x18\x04"
+        data += b"\x0a" + bytes([len(piece)]) + piece
+    model, library = sentencepieces.Model(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(6)
+    odd = ["Aéq", "ABﬁ", "…q", "ABCD", "AB", "A", "the", "ther", "the thing", "ﬁ", "é", "e\u0301", "Z", " ", "  ", "\t", ".", "¼", "…", "　", "▁", "q", "漢", "\0"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(1500)]
+    texts += [r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()]
+    for t in texts:
+        ids, starts, ends = model.encode(t or "")
+        assert ids.tolist() == library.encode(t or ""), t
+        assert (starts[1:] == ends[:-1]).all() and (starts <= ends).all() and (not len(ids) or ends[-1] <= len(t.encode()))
 
 
 def test_encode_edge_cases(spark):
