@@ -125,6 +125,8 @@ class Normaliser:
             value = np.concatenate([value[rest], np.full(len(own), -1)])
             order = np.argsort(at)
             at, size, value = at[order], size[order], value[order]
+        if not len(at):
+            return data, np.arange(len(data)), np.ones(len(data), bool)
         if (at[1:] < (at + size)[:-1]).any():  # prefixes that begin inside one already taken are none
             following, taken, i = np.searchsorted(at, at + size).tolist(), [], 0
             while i < len(at):
