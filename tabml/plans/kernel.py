@@ -4,9 +4,9 @@ The RBF kernel exp(-gamma |x - y|^2) is approximated by
 z(x) = sqrt(2 / D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
 (Rahimi and Recht, 2007), so the kernel machine becomes a linear one on z:
 
-* SVC: ``LinearSVC`` on z (``OneVsRest`` for 3+ classes), penalty
-  regParam = 1 / (C n); probabilities by Platt scaling (a logistic fit on
-  the margin).
+* SVC: ``LinearSVC`` on z, penalty regParam = 1 / (C n); probabilities by
+  Platt scaling (a logistic fit on the margin).  3+ classes: calibrated and
+  coupled pairs (``pairwise``).
 * SVR: squared epsilon-insensitive loss on z, solved by an active-set Newton
   iteration; each step is ONE distributed pass that sums Z'Z and Z't over the
   active rows (D x D partial sums per task), and the D x D solve happens on
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pairwise import fit_pairs
+
 RFF_COL = "_rff"
 N_COMPONENTS = 256
 
@@ -70,19 +72,24 @@ class RandomFourierFeatures(Transformer, HasFeaturesCol, DefaultParamsReadable,
         return RandomFourierFeatures(featuresCol=features_col, weights=W.ravel().tolist(),
                                      offsets=b.tolist(), outputCol=output_col)
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def size(self) -> int:
+        return len(self.getOrDefault(self.offsets))
+
+    def lift(self):
+        """A function from rows of features to rows of z."""
         b = np.asarray(self.getOrDefault(self.offsets))
-        D = b.size
-        W = np.asarray(self.getOrDefault(self.weights)).reshape(D, -1)
-        scale = np.sqrt(2.0 / D)
+        W = np.asarray(self.getOrDefault(self.weights)).reshape(b.size, -1)
+        scale = np.sqrt(2.0 / b.size)
+        return lambda X: scale * np.cos(X @ W.T + b)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        raised = self.lift()
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def rff(xs: pd.Series) -> pd.Series:
             if len(xs) == 0:
                 return pd.Series([], dtype=object)
-            X = np.stack([np.asarray(v, dtype=float) for v in xs])
-            Z = scale * np.cos(X @ W.T + b)
-            return pd.Series(list(Z))
+            return pd.Series(list(raised(np.stack([np.asarray(v, dtype=float) for v in xs]))))
 
         return df.withColumn(self.getOrDefault(self.outputCol),
                              array_to_vector(rff(vector_to_array(self.getFeaturesCol()))))
@@ -105,25 +112,6 @@ class PlattScaling(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn("probability", array_to_vector(F.array(1.0 - p, p)))
 
 
-class OneVsRestProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """probability of 3+ classes: the logistic of every class's margin, scaled to sum 1."""
-    scale = _p("scale", "factor of the margins", TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, scale=1.0):
-        super().__init__()
-        self._setDefault(scale=1.0)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df):
-        scale = F.lit(self.getOrDefault(self.scale))
-        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-scale * m)))
-        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-        even = F.transform(each, lambda x: F.lit(1.0) / F.size(each))
-        return df.withColumn("probability", array_to_vector(
-            F.when(total > 0, F.transform(each, lambda x: F.try_divide(x, total))).otherwise(even)))
-
-
 class _RbfParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
     C = _p("C", "inverse penalty", TypeConverters.toFloat)
     gamma = _p("gamma", "'scale', 'auto' or a number", TypeConverters.toString)
@@ -144,14 +132,13 @@ class RbfSVC(Estimator, _RbfParams, DefaultParamsReadable, DefaultParamsWritable
         fc, lc = self.getFeaturesCol(), self.getLabelCol()
         gamma, d = resolve_gamma(df, fc, self.getOrDefault(self.gamma))
         rff = RandomFourierFeatures.draw(d, gamma, self.getOrDefault(self.nComponents), self.getSeed(), fc)
+        if self.getOrDefault(self.nClasses) > 2:
+            return PipelineModel(stages=[rff, fit_pairs(df, fc, lc, rff, self.getOrDefault(self.nClasses),
+                                                        self.getOrDefault(self.C), self.getPredictionCol())])
         z = rff.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
         n = z.count()
         svc = LinearSVC(featuresCol=RFF_COL, labelCol=lc, regParam=1.0 / (self.getOrDefault(self.C) * n),
                         standardization=False, maxIter=100)
-        if self.getOrDefault(self.nClasses) > 2:
-            fitted = OneVsRest(classifier=svc, featuresCol=RFF_COL, labelCol=lc).fit(z)
-            z.unpersist()
-            return PipelineModel(stages=[rff, fitted, OneVsRestProbability()])
         fitted = svc.fit(z)
         margins = fitted.transform(z).select(vector_to_array("rawPrediction")[1].alias("m"), F.col(lc))
         from pyspark.ml.feature import VectorAssembler
