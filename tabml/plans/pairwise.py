@@ -3,8 +3,8 @@
 * Every pair (i, j) has a squared-hinge machine on the random Fourier features of the rows of both classes, once
   on all rows and once without each fold.  An active-set Newton step of all machines is ONE pass over the rows: Gram
   matrices of the rows within the margin, summed in two levels; the D x D solves happen on the driver.
-* Platt's sigmoid of a pair is fitted by Newton steps to the log odds that the margins of held-out rows stand for
-  (each by the machine that has not seen its fold), its targets smoothed by the class counts; six sums a pair and pass.
+* Platt's sigmoid of a pair is fitted by Newton steps to the margins of held-out rows (each by the machine that has not
+  seen its fold), or to the log odds they stand for, whichever has less log loss there, its targets smoothed by the class counts; six sums a pair and pass.
 * The pairs' probabilities r_ij are coupled to those of the classes: the p of sum 1 that minimises
   sum (r_ji p_i - r_ij p_j)^2 (Wu, Lin and Weng, 2004).  The class predicted is that of the most pairs, ties by the
   sum of their margins.
@@ -105,7 +105,8 @@ def fit_machines(rows: DataFrame, lift, size: int, problems: list, C: float, ste
 
 
 def fit_sigmoids(rows: DataFrame, lift, pairs: list, held_out: np.ndarray, steps: int = NEWTON_STEPS) -> np.ndarray:
-    """Slope and intercept of every pair's sigmoid, by Newton steps with halving; ``held_out[fold, pair]`` are weights."""
+    """Slope, intercept and kind (0: of the margin, 1: of its log odds) of every pair's sigmoid: both kinds by Newton
+    steps with halving, the one of less log loss is kept; ``held_out[fold, pair]`` are weights."""
     P = len(pairs)
 
     def counted(total, batch):
@@ -115,31 +116,41 @@ def fit_sigmoids(rows: DataFrame, lift, pairs: list, held_out: np.ndarray, steps
 
     n = summed(rows, counted, 2 * P).reshape(P, 2)
     high, low = (n[:, 0] + 1) / (n[:, 0] + 2), 1 / (n[:, 1] + 2)
-    best = np.stack([np.zeros(P), np.log((n[:, 0] + 1) / (n[:, 1] + 1))], 1)
-    now, step, least = best.copy(), np.zeros((P, 2)), np.full(P, np.inf)
+    best = np.zeros((P, 2, 2))
+    best[:, :, 1] = np.log((n[:, :1] + 1) / (n[:, 1:] + 1))
+    now, step, least = best.copy(), np.zeros((P, 2, 2)), np.full((P, 2), np.inf)
     for _ in range(steps):
         def add(total, batch, now=now):
             Z, y, fold = lift(batch["x"]), batch["y"].to_numpy(), batch["fold"].to_numpy()
             for k, (i, j) in enumerate(pairs):
                 of = np.flatnonzero((y == i) | (y == j))
-                m = log_odds(np.einsum("nd,nd->n", Z[of], held_out[fold[of], k]))
+                margin = np.einsum("nd,nd->n", Z[of], held_out[fold[of], k])
                 t = np.where(y[of] == i, high[k], low[k])
-                u = now[k, 0] * m + now[k, 1]
-                p = _sigmoid(u)
-                v = p * (1.0 - p)
-                total[6 * k:6 * k + 6] += (np.logaddexp(0.0, u) - t * u).sum(), (m * (p - t)).sum(), (p - t).sum(), \
-                    (m * m * v).sum(), (m * v).sum(), v.sum()
-
-        for k, (loss, ga, gb, haa, hab, hbb) in enumerate(summed(rows, add, 6 * P).reshape(P, 6)):
-            if loss <= least[k]:
-                best[k], least[k] = now[k], loss
-                step[k] = -np.linalg.solve([[haa + 1e-12, hab], [hab, hbb + 1e-12]], [ga, gb])
+                for kind, m in enumerate((margin, log_odds(margin))):
+                    u = now[k, kind, 0] * m + now[k, kind, 1]
+                    p = _sigmoid(u)
+                    v = p * (1.0 - p)
+                    at = 6 * (2 * k + kind)
+                    total[at:at + 6] += (np.logaddexp(0.0, u) - t * u).sum(), (m * (p - t)).sum(), (p - t).sum(), \
+                        (m * m * v).sum(), (m * v).sum(), v.sum()
+
+        for at, (loss, ga, gb, haa, hab, hbb) in zip(np.ndindex(P, 2), summed(rows, add, 12 * P).reshape(-1, 6)):
+            if loss <= least[at]:
+                best[at], least[at] = now[at], loss
+                step[at] = -np.linalg.solve([[haa + 1e-12, hab], [hab, hbb + 1e-12]], [ga, gb])
             else:
-                step[k] /= 2
+                step[at] /= 2
         if (np.abs(step) <= 1e-9 * (1 + np.abs(best))).all():
             break
         now = best + step
-    return best
+    kind = least.argmin(1)
+    return np.column_stack([best[np.arange(P), kind], kind])
+
+
+def calibrated(margins: np.ndarray, sigmoids: np.ndarray) -> np.ndarray:
+    """The probability of every pair's first class, from ``margins[row, pair]``."""
+    m = np.where(sigmoids[:, 2] == 1, log_odds(margins), margins)
+    return _sigmoid(m * sigmoids[:, 0] + sigmoids[:, 1])
 
 
 def coupled(r: np.ndarray, pairs: list, classes: int) -> np.ndarray:
@@ -165,7 +176,7 @@ class CoupledPairs(Model, HasPredictionCol, DefaultParamsReadable, DefaultParams
     inputCol = _p("inputCol", "vector column of the lifted features", TypeConverters.toString)
     nClasses = _p("nClasses", "number of classes", TypeConverters.toInt)
     weights = _p("weights", "row-major weights of every pair, intercept last", TypeConverters.toListFloat)
-    sigmoids = _p("sigmoids", "slope and intercept of every pair", TypeConverters.toListFloat)
+    sigmoids = _p("sigmoids", "slope, intercept and kind of every pair", TypeConverters.toListFloat)
 
     @keyword_only
     def __init__(self, inputCol="z", nClasses=3, weights=None, sigmoids=None, predictionCol="prediction"):
@@ -176,7 +187,7 @@ class CoupledPairs(Model, HasPredictionCol, DefaultParamsReadable, DefaultParams
         K = self.getOrDefault(self.nClasses)
         pairs = list(combinations(range(K), 2))
         W = np.asarray(self.getOrDefault(self.weights)).reshape(len(pairs), -1)
-        S = np.asarray(self.getOrDefault(self.sigmoids)).reshape(-1, 2)
+        S = np.asarray(self.getOrDefault(self.sigmoids)).reshape(-1, 3)
 
         @F.pandas_udf("raw array<double>, probability array<double>")
         def scored(zs: pd.Series) -> pd.DataFrame:
@@ -190,7 +201,7 @@ class CoupledPairs(Model, HasPredictionCol, DefaultParamsReadable, DefaultParams
                     total[:, i] += m[:, k]
                     total[:, j] -= m[:, k]
                 raw.extend(votes + total / (3 * (np.abs(total) + 1)))
-                probability.extend(coupled(_sigmoid(log_odds(m) * S[:, 0] + S[:, 1]), pairs, K))
+                probability.extend(coupled(calibrated(m, S), pairs, K))
             return pd.DataFrame({"raw": raw, "probability": probability})
 
         names = df.columns

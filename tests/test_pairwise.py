@@ -7,6 +7,8 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from checks.registry_flows import noisy_orders_scored
+from paths import SF_MID
 from tabml.plans import pairwise
 from tabml.plans.models import FitContext, make_model
 
@@ -49,9 +51,10 @@ def test_sigmoids_meet_their_score_equations(spark):
         Z = np.stack(xs.to_numpy())
         return np.column_stack([Z, np.ones(len(Z))])
 
-    for k, ((i, j), (a, b)) in enumerate(zip(pairs, pairwise.fit_sigmoids(rows, lift, pairs, w))):
+    for k, ((i, j), (a, b, kind)) in enumerate(zip(pairs, pairwise.fit_sigmoids(rows, lift, pairs, w))):
         of = (y == i) | (y == j)
-        m = pairwise.log_odds(np.column_stack([X[of], np.ones(of.sum())]) @ w[0, k])
+        m = np.column_stack([X[of], np.ones(of.sum())]) @ w[0, k]
+        m = pairwise.log_odds(m) if kind else m
         n1, n2 = (y == i).sum(), (y == j).sum()
         t = np.where(y[of] == i, (n1 + 1) / (n1 + 2), 1 / (n2 + 2))
         p = 1 / (1 + np.exp(-(a * m + b)))
@@ -106,3 +109,13 @@ def test_a_class_without_rows_and_an_empty_batch(spark):
     P = np.stack(model.transform(df).select(vector_to_array("probability").alias("p")).toPandas()["p"])
     assert P.shape[1] == 4 and np.isfinite(P).all() and P[:, 3].max() < 0.2
     assert model.transform(df.where("a > 1e9")).select("prediction", "probability").collect() == []
+
+
+def test_noisy_orders_are_calibrated(spark):
+    """Steps of probability, at sf0.01: ten bins are off by less than 0.05 on average.  It does not hold for the
+    1,500 orders of sf0.001, too few for machines on random features to follow the steps (README)."""
+    rows = noisy_orders_scored(spark, SF_MID).toPandas()
+    P, hit = np.stack(rows["p"]), np.eye(3)[rows["label"].to_numpy()]
+    bins = np.minimum((P * 10).astype(int), 9).ravel()
+    off = np.abs(np.bincount(bins, P.ravel(), 10) - np.bincount(bins, hit.ravel(), 10)).sum() / P.size
+    assert off < 0.05
