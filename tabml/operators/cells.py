@@ -16,9 +16,11 @@ Missing values are NaN.  The distance is ``sqrt(d / common * sum of squared diff
 columns)``, the Euclidean one where nothing is missing; rows without a common column, and non-finite distances, are
 no neighbours.
 
-Scale: rows of a cell travel as packs (one row each of at most about ``block_rows`` rows), as do the queries that visit
-it; packs meet in an equi-join on the cell, which Spark can split, and every pair of packs is one matrix in a task.  A query is repeated
-for the cells that it visits only.  The driver holds the cells' figures: at most ``MAX_CELLS`` rows.
+Scale: neighbouring cells form groups of about ``GROUP_ROWS`` rows, and rows travel as packs (one row each) of a group; a
+crowded cell is cut into several.  Queries are packed by the group they are nearest to.  A pack of queries is repeated for the groups
+that its queries visit only, with a mask of the cells that each of them visits; packs meet in an equi-join on the group, which
+Spark can split, and a task goes through a pair of packs by matrices of ``MATRIX`` numbers.  The driver holds the cells' figures: at
+most ``MAX_CELLS`` rows.
 """
 
 from __future__ import annotations
@@ -36,10 +38,14 @@ from ..session import shared_dir
 MAX_CELLS = 2048
 #: Numbers in the cells' figures at most (wide rows get fewer cells).
 MAX_FIGURES = 1 << 21
+#: Rows of a group of cells (wide rows: fewer, ``PACK_NUMBERS`` numbers), and numbers of a matrix that a task works on at a time.
+GROUP_ROWS = 2048
+PACK_NUMBERS = 1 << 18
+MATRIX = 1 << 18
 #: Part of a bound that rounding may add to it.
 ROUNDING = 1e-9
 CANDIDATES = "_qid long, _j int, _rid long, _dist double, _v double"
-_PACK = "_cell int, _part long, _ids binary, _rows binary, _ys binary"
+_PACK = "_cell int, _part long, _ids binary, _rows binary, _ys binary, _ats binary"
 
 
 def stack(series) -> np.ndarray:
@@ -53,9 +59,11 @@ def distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     d = Q.shape[1]
     total = np.zeros((len(Q), len(R)))
     if not np.isnan(Q).any() and not np.isnan(R).any():
+        diff = np.empty_like(total)
         for c in range(d):
-            diff = Q[:, c][:, None] - R[:, c][None, :]
-            total += diff * diff
+            np.subtract(Q[:, c][:, None], R[:, c][None, :], out=diff)
+            diff *= diff
+            total += diff
         return np.sqrt(total)
     common = np.zeros_like(total)
     for c in range(d):
@@ -68,28 +76,85 @@ def distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
 
 def least(D: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the ``k`` smallest finite (distance, tie) of each row."""
-    order = np.lexsort((np.broadcast_to(tie, D.shape), D), axis=-1)[:, :min(k, D.shape[1])]
-    rows, slot = np.nonzero(np.isfinite(np.take_along_axis(D, order, 1)))
-    return rows, order[rows, slot]
+    near = np.isfinite(D)
+    if D.shape[1] > k:
+        near &= D <= np.partition(D, k - 1, axis=1)[:, k - 1:k]
+    rows, cols = np.nonzero(near)
+    return _first_of_rows(rows, cols, D[rows, cols], tie, k)[:2]
+
+
+def _first_of_rows(rows, cols, dist, tie, k: int):
+    """Of pairs (row, column, distance), the ``k`` smallest (distance, tie) of each row, in that order."""
+    order = np.lexsort((tie[cols], dist, rows))
+    by_row = rows[order]
+    mine = order[np.arange(len(order)) - np.searchsorted(by_row, by_row) < k]
+    return rows[mine], cols[mine], dist[mine]
 
 
 def _table(qid, j, rid, dist, v) -> pd.DataFrame:
     return pd.DataFrame({"_qid": qid, "_j": np.broadcast_to(np.int32(j), qid.shape), "_rid": rid, "_dist": dist, "_v": v})
 
 
+def _near_pairs(Q: np.ndarray, R: np.ndarray, seen, tau: np.ndarray, k: int):
+    """Pairs that may be among the ``k`` nearest of their row, with their distances; None where products cannot tell.
+
+    Products of whole matrices give the squared distances up to ``slack``: the k nearest lie within twice that of the k-th
+    such figure.  Only the pairs within it get their distance, by differences as in ``distances``."""
+    if np.isnan(Q).any() or np.isnan(R).any():
+        return None
+    with np.errstate(over="ignore", invalid="ignore"):
+        q, r = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", R, R)
+        about = q[:, None] + r - 2.0 * (Q @ R.T)
+        slack = 16 * (Q.shape[1] + 4) * np.finfo(float).eps * (q + r.max(initial=0.0)) + 1e-300
+        reach = tau * tau * (1 + 1e-12) + slack
+    if not np.isfinite(about).all():
+        return None
+    if seen is not None:
+        about[~seen] = np.inf
+    if len(R) > k:
+        reach = np.minimum(reach, np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * slack)
+    near = about <= reach[:, None]
+    if seen is not None:
+        near &= seen
+    rows, cols = np.nonzero(near)
+    total = np.zeros(len(rows))
+    for c in range(Q.shape[1]):
+        diff = Q[rows, c] - R[cols, c]
+        total += diff * diff
+    return rows, cols, np.sqrt(total)
+
+
+def _seen_distances(Q: np.ndarray, R: np.ndarray, at: np.ndarray, mask: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """Distances to the rows of the cells that ``mask`` has (``at``: the rows' places in it); inf elsewhere and beyond ``tau``."""
+    D = np.full((len(Q), len(R)), np.inf)
+    for c in np.unique(at):
+        rows, cols = np.flatnonzero(mask[:, c]), np.flatnonzero(at == c)
+        if len(rows):
+            D[np.ix_(rows, cols)] = distances(Q[rows], R[cols])
+    D[D > tau[:, None]] = np.inf
+    return D
+
+
 def rows_of_block(k: int):
     """Per query the ``k`` nearest rows of a block by (distance, id); ``_v`` is the row's label."""
-    def block(qid, Q, rid, R, y):
-        D = distances(Q, R)
-        rows, cols = least(D, rid.astype(float), k)
-        yield _table(qid[rows], 0, rid[cols], D[rows, cols], y[cols])
+    def block(qid, Q, rid, R, y, at, mask, tau):
+        pairs = _near_pairs(Q, R, None if mask.all() else mask[:, at], tau, k)
+        if pairs is None:
+            D = _seen_distances(Q, R, at, mask, tau)
+            rows, cols = least(D, rid, k)
+            dist = D[rows, cols]
+        else:
+            rows, cols, dist = pairs
+            good = np.isfinite(dist) & (dist <= tau[rows])
+            rows, cols, dist = _first_of_rows(rows[good], cols[good], dist[good], rid, k)
+        yield _table(qid[rows], 0, rid[cols], dist, y[cols])
     return block
 
 
 def values_of_block(k: int):
     """Per query and missing column the ``k`` nearest rows of a block that have it, by (distance, value); ``_v`` is the value."""
-    def block(qid, Q, rid, R, y):
-        D = distances(Q, R)
+    def block(qid, Q, rid, R, y, at, mask, tau):
+        D = _seen_distances(Q, R, at, mask, tau)
         for j in range(Q.shape[1]):
             gaps, donors = np.flatnonzero(np.isnan(Q[:, j])), np.flatnonzero(~np.isnan(R[:, j]))
             if not len(gaps) or not len(donors):
@@ -160,14 +225,20 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _chunks(n: int, width: int):
+    """Slices of ``n`` rows so that a matrix of ``width`` columns holds ``MATRIX`` numbers or so."""
+    step = max(1, MATRIX // max(1, width))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
 def _nearest_pivot(pivots: np.ndarray):
     def work(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            D = distances(stack(pdf["_vec"]), pivots)
-            cell = np.where(np.isfinite(D), D, np.inf).argmin(axis=1)
-            yield pdf.assign(_cell=cell.astype(np.int32), _away=D[np.arange(len(D)), cell])
+            for part in _chunks(len(pdf), len(pivots)):
+                some = pdf.iloc[part]
+                D = distances(stack(some["_vec"]), pivots)
+                cell = np.where(np.isfinite(D), D, np.inf).argmin(axis=1)
+                yield some.assign(_cell=cell.astype(np.int32), _away=D[np.arange(len(D)), cell])
     return work
 
 
@@ -214,40 +285,91 @@ def place(refs: DataFrame, n: int, block_rows: int) -> tuple[DataFrame, Cells |
     return placed, cells
 
 
+def grouped(cells: Cells, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Group of each cell, its place in the group, and the rows of a pack.  Cells join along a chain of nearest pivots until a group
+    has a pack's rows."""
+    size = max(block_rows, min(GROUP_ROWS, PACK_NUMBERS // max(1, cells.pivot.shape[1])))
+    n = len(cells.count)
+    left, chain, away = np.ones(n, bool), [0], np.zeros(n)
+    while len(chain) < n:
+        left[chain[-1]] = False
+        away = np.where(left, np.nan_to_num(distances(cells.pivot[chain[-1]:chain[-1] + 1], cells.pivot)[0], nan=np.inf, posinf=1e300), np.inf)
+        chain.append(int(away.argmin()))
+    group, place, now, rows = np.zeros(n, int), np.zeros(n, int), -1, 0
+    for c in chain:
+        if now < 0 or rows + cells.count[c] > size:
+            now, rows, at = now + 1, 0, 0
+        group[c], place[c] = now, at
+        rows, at = rows + cells.count[c], at + 1
+    return group, place, size
+
+
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("_id")
     return pd.DataFrame({"_cell": pdf["_cell"][:1], "_part": pdf["_part"][:1], "_ids": [pdf["_id"].to_numpy(np.int64).tobytes()],
-                         "_rows": [stack(pdf["_vec"]).tobytes()], "_ys": [pdf["_y"].to_numpy(float).tobytes()]})
+                         "_rows": [stack(pdf["_vec"]).tobytes()], "_ys": [pdf["_y"].to_numpy(float).tobytes()],
+                         "_ats": [pdf["_at"].to_numpy(np.int32).tobytes()]})
 
 
 def packs(rows: DataFrame, counts: DataFrame, block_rows: int) -> DataFrame:
-    """``rows`` (_id, _vec, _y, _cell) in packs of about ``block_rows``; ``counts``: rows of each cell."""
+    """``rows`` (_id, _vec, _y, _cell and, if they have it, _at) in packs of about ``block_rows``; ``counts``: rows of each cell."""
     parts = counts.select("_cell", F.ceil(F.col("n") / block_rows).alias("_parts"))
     dealt = rows.join(F.broadcast(parts), "_cell").withColumn("_part", F.pmod(F.xxhash64("_id"), "_parts"))
-    return dealt.select("_cell", "_part", "_id", "_vec", "_y").groupBy("_cell", "_part").applyInPandas(_pack, _PACK)
+    at = F.col("_at") if "_at" in rows.columns else F.lit(0)
+    return dealt.select("_cell", "_part", "_id", "_vec", "_y", at.cast("int").alias("_at")).groupBy("_cell", "_part").applyInPandas(_pack, _PACK)
+
+
+_ASKING = "_cell int, q_ids binary, q_rows binary, q_taus binary, q_mask binary, _pairs long"
 
 
 def _compared(block):
     def work(batches):
         for pdf in batches:
-            for q_ids, q_rows, ids, rows, ys in pdf.itertuples(index=False, name=None):
-                qid, rid = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                yield from block(qid, np.frombuffer(q_rows).reshape(len(qid), -1), rid, np.frombuffer(rows).reshape(len(rid), -1), np.frombuffer(ys))
+            for q_ids, q_rows, q_taus, q_mask, ids, rows, ys, ats in pdf.itertuples(index=False, name=None):
+                qid, rid, at = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(ats, np.int32)
+                Q, R = np.frombuffer(q_rows).reshape(len(qid), -1), np.frombuffer(rows).reshape(len(rid), -1)
+                mask, tau, y = np.frombuffer(q_mask, bool).reshape(len(qid), -1), np.frombuffer(q_taus), np.frombuffer(ys)
+                for part in _chunks(len(qid), len(rid)):
+                    yield from block(qid[part], Q[part], rid, R, y, at, mask[part], tau[part])
     return work
 
 
-def _visits(cells: Cells, k: int, values: bool, second: bool):
+def _homes(cells: Cells, group: np.ndarray):
+    """The group that each query is nearest to, as ``_cell``."""
     def work(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            X = stack(pdf["_vec"])
-            bounds = cells.bounds(X)
-            go = cells.first(X, bounds, k, values)
-            if second:
-                go = ~go & (bounds <= pdf["_tau"].to_numpy(float)[:, None]) & np.isfinite(bounds)
-            rows, at = np.nonzero(go & cells.useful(X, values))
-            yield pd.DataFrame({"_id": pdf["_qid"].to_numpy()[rows], "_vec": pdf["_vec"].to_numpy()[rows], "_y": 0.0, "_cell": at.astype(np.int32)})
+            for part in _chunks(len(pdf), len(group) // 4):
+                some = pdf.iloc[part]
+                home = group[cells.bounds(stack(some["_vec"])).argmin(axis=1)]
+                yield pd.DataFrame({"_id": some["_qid"], "_vec": some["_vec"], "_cell": home.astype(np.int32)})
+    return work
+
+
+def _visits(cells: Cells, group: np.ndarray, place: np.ndarray, k: int, values: bool, second: bool):
+    """From packs of queries, a row for each group that they visit: the queries that do, their ``tau`` and the cells that each visits."""
+    order = np.lexsort((place, group))
+    starts = np.searchsorted(group[order], np.arange(group.max() + 2))
+
+    def go(X, tau):
+        bounds = cells.bounds(X)
+        out = cells.first(X, bounds, k, values)
+        if second:
+            out = ~out & (bounds <= tau[:, None]) & np.isfinite(bounds)
+        return out & cells.useful(X, values)
+
+    def work(batches):
+        for pdf in batches:
+            for ids, rows, ys in zip(pdf["_ids"], pdf["_rows"], pdf["_ys"]):
+                qid, tau = np.frombuffer(ids, np.int64), np.frombuffer(ys)
+                X = np.frombuffer(rows).reshape(len(qid), -1)
+                visit = np.concatenate([go(X[part], tau[part]) for part in _chunks(len(qid), len(group) // 4)])[:, order]
+                for g in range(len(starts) - 1):
+                    mask = visit[:, starts[g]:starts[g + 1]]
+                    some = np.flatnonzero(mask.any(axis=1))
+                    if len(some):
+                        pairs = int(mask.sum(axis=0) @ cells.count[order[starts[g]:starts[g + 1]]])
+                        yield pd.DataFrame({"_cell": [np.int32(g)], "q_ids": [qid[some].tobytes()], "q_rows": [X[some].tobytes()],
+                                            "q_taus": [tau[some].tobytes()], "q_mask": [mask[some].tobytes()], "_pairs": [pairs]})
     return work
 
 
@@ -260,31 +382,34 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, n_refs: int, block_rows
     tie = "_v" if values else "_rid"
     if cells is None:
         return spark.createDataFrame([], CANDIDATES + ", _rank int")
-    counts = spark.createDataFrame([(c, int(n)) for c, n in enumerate(cells.count) if n], "_cell int, n long")
-    ref_packs = packs(placed.withColumnRenamed("_rid", "_id"), counts, block_rows)
+    group, at, size = grouped(cells, block_rows)
+    sizes = np.bincount(group, cells.count).astype(int)
+    counts = spark.createDataFrame([(g, int(n)) for g, n in enumerate(sizes) if n], "_cell int, n long")
+    of_cell = F.broadcast(spark.createDataFrame([(c, int(g), int(p)) for c, (g, p) in enumerate(zip(group, at))], "_cell int, _group int, _at int"))
+    dealt = placed.withColumnRenamed("_rid", "_id").join(of_cell, "_cell").drop("_cell").withColumnRenamed("_group", "_cell")
+    ref_packs = packs(dealt, counts, size)
     several = len(cells.count) > 1
     if several:
         ref_packs = _stored(ref_packs, "knn-packs")
     block = (values_of_block if values else rows_of_block)(k)
     best = Window.partitionBy("_qid", "_j").orderBy("_dist", tie)
+    homes = _stored(queries.select("_qid", "_vec").mapInPandas(_homes(cells, group), "_id long, _vec array<double>, _cell int"), "knn-homes")
+    asked = homes.groupBy("_cell").agg(F.count("*").alias("n"))
 
-    def searched(visits: DataFrame) -> DataFrame:
-        visits = _stored(visits, "knn-visits")
-        asked = visits.groupBy("_cell").agg(F.count("*").alias("n"))
+    def searched(rows: DataFrame, second: bool) -> DataFrame:
+        """``rows``: queries with their home and, as ``_y``, ``tau``."""
+        asking = _stored(packs(rows, asked, size).mapInPandas(_visits(cells, group, at, k, values, second), _ASKING), "knn-visits")
         if counted is not None:
-            pairs = asked.join(counts.withColumnRenamed("n", "rows"), "_cell").agg(F.sum(F.col("n") * F.col("rows"))).first()[0]
-            counted.setdefault("pairs", []).append(int(pairs or 0))
-        asking = packs(visits, asked, block_rows).select("_cell", F.col("_ids").alias("q_ids"), F.col("_rows").alias("q_rows"))
-        return ref_packs.join(asking, "_cell").select("q_ids", "q_rows", "_ids", "_rows", "_ys").mapInPandas(_compared(block), CANDIDATES)
+            counted.setdefault("pairs", []).append(int(asking.agg(F.sum("_pairs")).first()[0] or 0))
+        return ref_packs.join(asking, "_cell").select("q_ids", "q_rows", "q_taus", "q_mask", "_ids", "_rows", "_ys", "_ats").mapInPandas(_compared(block), CANDIDATES)
 
-    visit = "_id long, _vec array<double>, _y double, _cell int"
-    found = searched(queries.select("_qid", "_vec").mapInPandas(_visits(cells, k, values, False), visit))
+    found = searched(homes.withColumn("_y", F.lit(float("inf"))), False)
     if several:
         found = _stored(found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank"), "knn-first")
         each = found.groupBy("_qid", "_j").agg(F.count("*").alias("n"), F.max("_dist").alias("tau"))
-        tau = each.groupBy("_qid").agg(F.sum((F.col("n") >= k).cast("int")).alias("full"), F.max("tau").alias("tau"))
+        tau = each.groupBy(F.col("_qid").alias("_id")).agg(F.sum((F.col("n") >= k).cast("int")).alias("full"), F.max("tau").alias("tau"))
         due = F.size(F.filter("_vec", lambda x: F.isnan(x))) if values else F.lit(1)
-        asked = queries.select("_qid", "_vec").join(tau, "_qid", "left").select(
-            "_qid", "_vec", F.when(F.col("full") == due, F.col("tau")).otherwise(F.lit(float("inf"))).alias("_tau"))
-        found = found.unionByName(searched(asked.mapInPandas(_visits(cells, k, values, True), visit)))
+        again = homes.join(tau, "_id", "left").select(
+            "_id", "_vec", "_cell", F.when(F.col("full") == due, F.col("tau")).otherwise(F.lit(float("inf"))).alias("_y"))
+        found = found.unionByName(searched(again, True))
     return found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k)

@@ -92,3 +92,41 @@ def test_a_crowded_cell_is_cut_into_packs(spark):
     rows = spark.range(1000).select(F.col("id").alias("_id"), F.array(F.lit(1.0)).alias("_vec"), F.lit(0.0).alias("_y"), F.lit(0).alias("_cell"))
     sizes = [len(r._ids) // 8 for r in cells.packs(rows, spark.createDataFrame([(0, 1000)], "_cell int, n long"), 50).collect()]
     assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 100
+
+
+def test_queries_are_repeated_for_groups_of_cells_only(spark, monkeypatch):
+    """Rows without structure: every query visits every cell, yet the written visits stay near the size of the queries."""
+    written = []
+
+    def stored(df, name, old=cells._stored):
+        out = old(df, name)
+        if name == "knn-visits":
+            numbers = F.length("q_rows") / 8 if "q_rows" in out.columns else F.size("_vec")
+            written.append(out.agg(F.sum(numbers)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(cells, "_stored", stored)
+    X = np.random.default_rng(7).normal(0, 1, (2600, 32))
+    got = knn_candidates(rows_frame(spark, X[:600]), rows_frame(spark, X[600:], ("_rid", "_vec")), 5, block_rows=16).collect()
+    assert sum(written) < 4 * 600 * 32, written
+    want = brute(X[:600], X[600:], 5)
+    for i in range(0, 600, 50):
+        assert [r._rid for r in sorted((r for r in got if r._qid == i), key=lambda r: r._rank)] == [j for j, _ in want[i]]
+
+
+def test_nearest_of_a_block_by_products_and_by_differences():
+    """Ties, far offsets, infinite values and masked cells give what all distances give."""
+    rng = np.random.default_rng(11)
+    at = np.repeat(np.arange(4), 25).astype(np.int32)
+    for R in (rng.normal(0, 1, (100, 6)), rng.integers(0, 2, (100, 6)).astype(float), rng.normal(1e8, 1e-3, (100, 6)),
+              np.where(rng.random((100, 6)) < 0.02, np.inf, rng.normal(0, 1, (100, 6))), np.where(rng.random((100, 6)) < 0.1, np.nan, rng.normal(0, 1, (100, 6)))):
+        Q = np.vstack([R[:20], R[:20] + 0.5])
+        mask = rng.random((40, 4)) < 0.7
+        tau = np.where(rng.random(40) < 0.5, np.inf, 1.5)
+        D = np.where(mask[:, at] & (cells.distances(Q, R) <= tau[:, None]), cells.distances(Q, R), np.inf)
+        rid = rng.permutation(100).astype(np.int64)
+        got = next(cells.rows_of_block(7)(np.arange(40), Q, rid, R, rid * 0.5, at, mask, tau))
+        for i in range(40):
+            near = sorted((D[i, j], rid[j]) for j in range(100) if np.isfinite(D[i, j]))[:7]
+            mine = got[got["_qid"] == i]
+            assert list(zip(mine["_dist"], mine["_rid"])) == near and (mine["_v"] == mine["_rid"] * 0.5).all()
