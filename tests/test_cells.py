@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabml.operators import cells
-from tabml.operators.neighbors import KnnImputer, knn_candidates
+from tabml.operators.neighbors import KnnImputer, knn_candidates, knn_predict
 
 SCHEMA = "id long, vec array<double>, y double"
 
@@ -130,3 +130,13 @@ def test_nearest_of_a_block_by_products_and_by_differences():
             near = sorted((D[i, j], rid[j]) for j in range(100) if np.isfinite(D[i, j]))[:7]
             mine = got[got["_qid"] == i]
             assert list(zip(mine["_dist"], mine["_rid"])) == near and (mine["_v"] == mine["_rid"] * 0.5).all()
+
+
+def test_votes_of_rows_without_structure(spark):
+    """Majority of the five nearest, smallest class on ties, over many cells that every query visits."""
+    X = np.random.default_rng(9).normal(0, 1, (900, 24))
+    found = knn_candidates(rows_frame(spark, X[:200]), rows_frame(spark, X[200:], ("_rid", "_vec")), 5, block_rows=16)
+    got = {r["_qid"]: r["_pred"] for r in knn_predict(found, "classification").collect()}
+    for i, near in brute(X[:200], X[200:], 5).items():
+        votes = [j % 7 for j, _ in near]
+        assert got[i] == min(votes, key=lambda c: (-votes.count(c), c))
