@@ -111,23 +111,36 @@ def fit_isolation_forest(df: DataFrame, cols, key: str, n_trees: int = 100, max_
     return {"forest": arr, "fills": fills, "psi": psi, "cols": list(cols)}
 
 
+def _depths(forest: dict) -> np.ndarray:
+    """Depth of each node of each tree, from level to level."""
+    depth = np.zeros(forest["feature"].shape)
+    trees, nodes = np.arange(len(depth)), np.zeros(len(depth), dtype=np.int64)
+    level = 0
+    while len(trees):
+        depth[trees, nodes] = level
+        inner = forest["feature"][trees, nodes] >= 0
+        trees, nodes = trees[inner], nodes[inner]
+        trees, nodes = np.concatenate([trees, trees]), np.concatenate([forest["left"][trees, nodes], forest["right"][trees, nodes]])
+        level += 1
+    return depth
+
+
 def score_batch(X: np.ndarray, forest: dict, psi: int) -> np.ndarray:
-    feat, thr, left, right, size = (forest[k] for k in ["feature", "threshold", "left", "right", "size"])
+    feat, thr, size = (forest[k] for k in ["feature", "threshold", "size"])
     n_trees = feat.shape[0]
     total = np.zeros(len(X))
-    rows = np.arange(len(X))
-    for t in range(n_trees):
-        node = np.zeros(len(X), dtype=np.int64)
-        depth = np.zeros(len(X))
-        active = feat[t, node] >= 0
-        while active.any():
-            f = feat[t, node[active]]
-            go_left = X[rows[active], f] < thr[t, node[active]]
-            nxt = np.where(go_left, left[t, node[active]], right[t, node[active]])
-            node[active] = nxt
-            depth[active] += 1
-            active = feat[t, node] >= 0
-        total += depth + avg_path(size[t, node])
+    depth = _depths(forest)
+    # a leaf leads to itself, so that all rows go through a tree level by level; its length of path is known beforehand
+    leaf, own = feat < 0, np.broadcast_to(np.arange(feat.shape[1]), feat.shape)
+    column, left, right = np.where(leaf, 0, feat), np.where(leaf, own, forest["left"]), np.where(leaf, own, forest["right"])
+    length = depth + avg_path(size)
+    for part in (slice(i, i + 4096) for i in range(0, len(X), 4096)):
+        flat, first = np.ascontiguousarray(X[part]).ravel(), np.arange(len(X[part])) * X.shape[1]
+        for t in range(n_trees):
+            node, (f, at, lower, upper) = np.zeros(len(first), dtype=np.int64), (column[t], thr[t], left[t], right[t])
+            for _ in range(int(depth[t].max())):
+                node = np.where(flat[first + f[node]] < at[node], lower[node], upper[node])
+            total[part] += length[t, node]
     mean_path = total / n_trees
     return np.power(2.0, -mean_path / float(avg_path(np.array([psi]))[0] or 1.0))
 
