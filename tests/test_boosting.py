@@ -3,6 +3,7 @@ import heapq
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -155,3 +156,34 @@ def test_many_values_are_cut_at_quantiles(spark):
     assert cuts[1].tolist() == [0, 1, 2, 3, 4, 5]
     held = np.bincount(np.searchsorted(cuts[0], A[:, 0], side="left"))
     assert len(held) == 64 and held.max() < 1.3 * 3000 / 64
+
+
+def test_sums_are_as_wide_as_the_bins_and_travel_in_runs_of_features(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    A = np.column_stack([rng.integers(0, 2, (600, 5)), rng.normal(size=600), rng.integers(0, 4, (600, 3))]).astype(float)
+    y = 3 * A[:, 0] + A[:, 5] + A[:, 8] * A[:, 2]
+    df = _frame(spark, A, y)
+    est = make_model("regression", "XGBoost", FitContext(n_rows=600), n_estimators=2, max_depth=3)
+    one = est.fit(df)
+    seen = []
+    summed = B._Plan.sums
+
+    def watched(self, *args):
+        for c, node, each in summed(self, *args):
+            seen.append(each.shape)
+            yield c, node, each
+
+    monkeypatch.setattr(B._Plan, "sums", watched)
+    plan = B._Plan("regression", 1, (2, 2, 2, 2, 2, 200, 4, 4, 4), 2.0, 1.0, 1.0, 1, 0.3, 3, np.inf, 1, False)
+    tree = B.Tree()
+    block = pd.Series({"bins": rng.integers(0, 2, (50, 9)).astype(np.uint8).tobytes(), "label": y[:50].tobytes(), "margin": np.zeros(50).tobytes()})
+    assert len(list(plan.sums([tree.arrays()], [], [(0, 0)], [[block]]))) == 1 and seen == [(3, 222)]
+    monkeypatch.setattr(B._Plan, "sums", summed)
+    monkeypatch.setattr(B, "RUN_BINS", 7)
+    assert plan.runs() == [(0, 3), (3, 5), (5, 6), (6, 7), (7, 8), (8, 9)]
+    for name in ("TASK_ROWS", "PASS_ROWS"):
+        monkeypatch.setattr(B, name, 100)
+    many = est.fit(df)
+    for column in ("size", "feature", "threshold", "left", "right"):
+        assert one.getOrDefault(column) == many.getOrDefault(column)
+    assert np.allclose(one.getOrDefault("value"), many.getOrDefault("value"))
