@@ -31,8 +31,9 @@ FOLDS = 3
 #: Machines whose matrices (D x D doubles each) a pass holds at once.
 AT_ONCE = 24
 NEWTON_STEPS = 30
-#: Rows that are coupled at once.
+#: Rows that are coupled at once, and that a task lifts at once (whatever the batches that Spark hands to it).
 ROWS = 1000
+LIFTED = 1024
 
 
 def _p(name, doc, conv):
@@ -50,12 +51,12 @@ def log_odds(margins: np.ndarray) -> np.ndarray:
 
 
 def summed(rows: DataFrame, add, size: int) -> np.ndarray:
-    """What ``add(total, batch)`` adds up to over all rows: one array a task, merged in two levels."""
+    """What ``add(total, batch)`` adds up to over all rows, ``LIFTED`` of them at a time: one array a task, merged in two levels."""
     def partial(batches):
         total = np.zeros(size)
         for batch in batches:
-            if len(batch):
-                add(total, batch)
+            for at in range(0, len(batch), LIFTED):
+                add(total, batch.iloc[at:at + LIFTED])
         yield pd.DataFrame({"sums": [total.tobytes()]})
 
     def merged(batches):

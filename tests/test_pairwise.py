@@ -119,3 +119,14 @@ def test_noisy_orders_are_calibrated(spark):
     bins = np.minimum((P * 10).astype(int), 9).ravel()
     off = np.abs(np.bincount(bins, P.ravel(), 10) - np.bincount(bins, hit.ravel(), 10)).sum() / P.size
     assert off < 0.05
+
+
+def test_a_task_lifts_few_rows_at_once_whatever_its_batches(spark):
+    rows = spark.range(0, 5000, 1, 2).selectExpr("cast(id as double) as x")
+
+    def add(total, batch):
+        total[0] += batch["x"].sum()
+        total[1] += len(batch)
+        total[2] += float(len(batch) > pairwise.LIFTED or len(batch) == 0)
+
+    assert pairwise.summed(rows, add, 3).tolist() == [5000 * 4999 / 2, 5000, 0]
