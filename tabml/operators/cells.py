@@ -46,6 +46,10 @@ MATRIX = 1 << 18
 ROUNDING = 1e-9
 CANDIDATES = "_qid long, _j int, _rid long, _dist double, _v double"
 _PACK = "_cell int, _part long, _ids binary, _rows binary, _ys binary, _ats binary"
+#: How packs are written.  Parquet looks at sizes after 100 rows only, 100 MB and more of packs: a page of that size is held and compressed as
+#: one, and a reader holds all rows of a row group.
+PACKED = {"parquet.block.size": 8 << 20, "parquet.page.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1,
+          "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
 
 
 def stack(series) -> np.ndarray:
@@ -221,7 +225,7 @@ class Cells:
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**(PACKED if "binary" in dict(df.dtypes).values() else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -140,3 +140,26 @@ def test_votes_of_rows_without_structure(spark):
     for i, near in brute(X[:200], X[200:], 5).items():
         votes = [j % 7 for j, _ in near]
         assert got[i] == min(votes, key=lambda c: (-votes.count(c), c))
+
+
+def test_written_packs_lie_in_small_row_groups(spark):
+    """A reader or writer holds a row group, so its size must not grow with the packs of a task."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tabml.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/knn-*"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(1 << 20)) / (1 << 20))
+    rows = spark.range(12000).select(F.col("id").alias("_qid"), values.alias("_vec"))
+    refs = rows.where("_qid < 4000").select(F.col("_qid").alias("_rid"), "_vec", F.lit(0.0).alias("_y"))
+    found = knn_candidates(rows, refs, 1, block_rows=128).where("_qid < 4000")
+    assert found.agg(F.count("*").alias("n"), F.sum((F.col("_qid") == F.col("_rid")).cast("int")).alias("own")).first() == (4000, 4000)
+    sizes = {}
+    for path in set(glob.glob(f"{base}/knn-*")) - before:
+        groups = [pq.ParquetFile(f).metadata.row_group(g) for f in glob.glob(f"{path}/*.parquet") for g in range(pq.ParquetFile(f).num_row_groups)]
+        kind = path.split("/")[-1].rsplit("-", 1)[0]
+        sizes[kind] = max([sizes.get(kind, 0), *(g.total_byte_size for g in groups)])
+    pack = cells.PACK_NUMBERS * 8
+    assert 0 < sizes["knn-visits"] < (8 << 20) + 2 * pack and 0 < sizes["knn-packs"] < (8 << 20) + 2 * pack, sizes
