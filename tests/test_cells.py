@@ -163,3 +163,15 @@ def test_written_packs_lie_in_small_row_groups(spark):
         sizes[kind] = max([sizes.get(kind, 0), *(g.total_byte_size for g in groups)])
     pack = cells.PACK_NUMBERS * 8
     assert 0 < sizes["knn-visits"] < (8 << 20) + 2 * pack and 0 < sizes["knn-packs"] < (8 << 20) + 2 * pack, sizes
+
+
+def test_gaps_of_a_training_part_are_searched_once(spark, monkeypatch):
+    """The prepared training part is that of the fit: only the test part is searched besides."""
+    from tabml.operators import neighbors
+    from tabml.plans.recipe import prepare
+    searches = []
+    monkeypatch.setattr(neighbors, "nearest", lambda *a, old=neighbors.nearest, **b: (searches.append(1), old(*a, **b))[1])
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 6 == 0 else float(a), float(b), int(a + b > 1)) for i, (a, b) in enumerate(rng.random((240, 2)))]
+    fr = prepare(spark.createDataFrame(rows, "id long, a double, b double, y int"), target="y", key="id", task="classification")
+    assert fr.train.count() + fr.test.count() > 200 and len(searches) == 2, searches
