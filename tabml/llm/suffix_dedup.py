@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import ready, row_key, settled, shuffle_parts
+from .frames import BROADCAST_KEYS, ready, row_key, settled, shuffle_parts, stored, unused
 from .words import SPACE, _powers, grams, mix, slices
 
 MIN_WORDS = 50
@@ -445,15 +445,18 @@ def _cut(batches):
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated passages cut out of the texts but for their first occurrence;
     a document of which nothing but white space is left goes."""
-    spans = repeated_spans(docs, id_col, text_col, **options).select(F.col("key").alias("__key"), F.col("cut").alias("__cut"))
-    names = docs.columns
+    mark, names = unused(docs, "__key"), docs.columns
+    spans = stored(repeated_spans(docs, id_col, text_col, **options).where(F.size("cut") > 0)
+                   .select(F.col("key").alias(mark), F.col("cut").alias("__cut")), "suffix-cut")
     at = names.index(text_col)
-    packed = docs.select(row_key(id_col, text_col).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-                         F.col(f"`{text_col}`").alias("body"))
-    joined = packed.join(spans.where(F.size("__cut") > 0).hint("shuffle_hash"), "__key", "left")
-    whole = joined.where("__cut IS NULL").select("row.*")
+    # few documents are cut: a small table of their keys beside the texts, and only their texts move (all of them if there are many)
+    keys, few = spans.select(mark), spans.count() <= BROADCAST_KEYS
+    keyed = docs.withColumn(mark, row_key(id_col, text_col))
+    whole = keyed.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), mark, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    packed = (keyed.join(F.broadcast(keys), mark, "left_semi") if few else keyed).select(
+        mark, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("body"))
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("body", T.StringType())])
-    done = joined.where("__cut IS NOT NULL").select("row", "body", "__cut").mapInArrow(_cut, schema)
+    done = packed.join(spans.hint("shuffle_hash"), mark).select("row", "body", "__cut").mapInArrow(_cut, schema)
     rest = done.where(F.col("body").rlike("[^\\x20\\x09-\\x0D]")).select(
         *[F.col("body").alias(c) if i == at else F.col(f"row.`{c}`").alias(c) for i, c in enumerate(names)])
     return whole.unionByName(rest)

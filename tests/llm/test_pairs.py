@@ -7,9 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabml.llm import components, decontaminate, ngram_join, suffix_dedup, words
-from llm_helpers import DOCS, LOWER, frame
+from llm_helpers import DOCS, LOWER, frame, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -254,3 +255,33 @@ def test_matches_of_random_texts_equal_brute_force():
                             longest = min(longest, (-n, p, str(i)))
             spans = {w for a, z in zip(got[1][::2], got[1][1::2]) for w in range(a, z)}
             assert (got[0], spans, got[2], (-got[3], got[5], got[4])) == (len(d), hit, sorted(found), longest), (case, d, items)
+
+
+def shuffle_files(spark):
+    import os
+    return {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+            for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """Steps of the pipeline come one after the other; their shuffle files must not pile up."""
+    from tabml.llm.frames import stored
+    before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    out = stored(spark.range(10_000).withColumn("k", F.col("id") % 7).repartition(4, "id").groupBy("k").count(), "cleaned")
+    assert not shuffle_files(spark) - before and spark.conf.get(setting) == was
+    assert out.agg(F.sum("count")).first()[0] == 10_000
+
+
+def test_only_the_texts_that_are_cut_move(spark):
+    """Few documents hold a passage again: the others stay where they are, whole and in their number."""
+    rng = random.Random(8)
+    passage = " ".join(prose(rng, 60))
+    texts = [f"{' '.join(prose(rng, 12, 9000))} {passage if i % 10 == 0 else ''} {i}" for i in range(60)]
+    out = suffix_dedup.cut_repeats(frame(spark, texts))
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert len(got) == 60 and all(got[i] == t for i, t in enumerate(texts) if i == 0 or i % 10)
+    assert all(passage not in got[i] and got[i].startswith(texts[i][:20]) for i in range(10, 60, 10)) and passage in got[0]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    whole, cut = plan.split("LeftAnti")[1], plan.split("LeftSemi")[1]
+    assert "broadcast" in whole.split("\n")[0] and "broadcast" in cut.split("\n")[0], plan
