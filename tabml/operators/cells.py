@@ -412,7 +412,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, n_refs: int, block_rows
         found = _stored(found.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank"), "knn-first")
         each = found.groupBy("_qid", "_j").agg(F.count("*").alias("n"), F.max("_dist").alias("tau"))
         tau = each.groupBy(F.col("_qid").alias("_id")).agg(F.sum((F.col("n") >= k).cast("int")).alias("full"), F.max("tau").alias("tau"))
-        due = F.size(F.filter("_vec", lambda x: F.isnan(x))) if values else F.lit(1)
+        # a NaN of a list that went through pandas is null
+        due = F.size(F.filter("_vec", lambda x: x.isNull() | F.isnan(x))) if values else F.lit(1)
         again = homes.join(tau, "_id", "left").select(
             "_id", "_vec", "_cell", F.when(F.col("full") == due, F.col("tau")).otherwise(F.lit(float("inf"))).alias("_y"))
         found = found.unionByName(searched(again, True))

@@ -189,8 +189,10 @@ class KnnImputerModel(Model, HasInputCols, _RowsModel):
         any_null = F.lit(False)
         for c in cols:
             any_null = any_null | F.col(c).isNull()
-        complete = df.where(~any_null)
-        recv = _numbered(df.where(any_null), "knn-gaps")
+        # a condition on the row's number is not pushed down, so that no column is computed for the condition and once more for the row
+        rows = df.withColumn("_at", F.monotonically_increasing_id())
+        complete = rows.where(~any_null & (F.col("_at") >= 0)).drop("_at")
+        recv = _numbered(rows.where(any_null & (F.col("_at") >= 0)).drop("_at"), "knn-gaps")
         if recv.isEmpty():
             return df.withColumns({c: F.col(c).cast("double") for c in cols})
         vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])

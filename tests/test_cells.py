@@ -175,3 +175,34 @@ def test_gaps_of_a_training_part_are_searched_once(spark, monkeypatch):
     rows = [(i, None if i % 6 == 0 else float(a), float(b), int(a + b > 1)) for i, (a, b) in enumerate(rng.random((240, 2)))]
     fr = prepare(spark.createDataFrame(rows, "id long, a double, b double, y int"), target="y", key="id", task="classification")
     assert fr.train.count() + fr.test.count() > 200 and len(searches) == 2, searches
+
+
+def test_gaps_read_few_cells(spark):
+    """The third nearest of the first round bounds the second one, which else compares all pairs."""
+    rng = np.random.default_rng(13)
+    X = clustered(rng, 1500, 3)
+    X[::5, 1] = np.nan
+    frame = rows_frame(spark, X, ("_rid", "_vec"))
+    gaps = frame.where("_rid % 5 = 0").select(F.col("_rid").alias("_qid"), "_vec")
+    counted = {}
+    found = cells.nearest(gaps, frame.withColumn("_y", F.lit(0.0)), 3, 1500, 50, values=True, counted=counted)
+    got = {r._qid: r.v for r in found.groupBy("_qid").agg(F.avg("_v").alias("v")).collect()}
+    want = brute_fill(X, 3, np.nanmean(X, axis=0))
+    assert all(np.isclose(got[i], want[i, 1]) for i in range(0, 1500, 5))
+    assert sum(counted["pairs"]) < 0.4 * 300 * 1500, counted
+
+
+def test_columns_are_computed_once_for_a_row_without_gaps(spark):
+    """Whether a row has gaps is told from its computed columns, not by computing them once more."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(i):
+        calls.add(1)
+        return float(i)
+
+    df = spark.range(100).withColumn("a", costly("id")).withColumn("b", F.when(F.col("id") > 0, F.col("id").cast("double")))
+    model = KnnImputer(inputCols=["a", "b"], k=1).fit(df.where("id < 50"))
+    before = calls.value
+    out = model.transform(df).collect()
+    assert len(out) == 100 and all(r.a == r.id and r.b == (r.id or 1) for r in out) and calls.value - before <= 200 + 100, calls.value - before
