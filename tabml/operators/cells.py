@@ -44,6 +44,8 @@ PACK_NUMBERS = 1 << 18
 MATRIX = 1 << 18
 #: Part of a bound that rounding may add to it.
 ROUNDING = 1e-9
+#: Rows of a table that is spread over all cores.
+SPREAD_ROWS = 50_000
 CANDIDATES = "_qid long, _j int, _rid long, _dist double, _v double"
 _PACK = "_cell int, _part long, _ids binary, _rows binary, _ys binary, _ats binary"
 #: How packs are written.  Parquet looks at sizes after 100 rows only, 100 MB and more of packs: a page of that size is held and compressed as
@@ -223,6 +225,12 @@ class Cells:
         return (np.isnan(X).astype(int) @ (self.have > 0).T.astype(int)) > 0
 
 
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    """``df`` over all cores if its ``n`` rows are work for them and lie in fewer partitions: rows of a few numbers lie in few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if n >= SPREAD_ROWS and df.rdd.getNumPartitions() < cores else df
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.options(**(PACKED if "binary" in dict(df.dtypes).values() else {})).parquet(path)
@@ -382,6 +390,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, n_refs: int, block_rows
     """The exact ``k`` nearest of ``refs`` (_rid, _vec, _y) for each of ``queries`` (_qid, _vec): ``CANDIDATES`` and ``_rank``
     by (distance, id), or, if ``values``, of each missing column by (distance, value).  ``counted`` gets the pairs compared in each round."""
     spark = queries.sparkSession
+    if values:
+        refs, queries = _spread(refs, n_refs), _spread(queries, n_refs)
     placed, cells = place(refs.select("_rid", "_vec", F.col("_y").cast("double").alias("_y")), n_refs, block_rows)
     tie = "_v" if values else "_rid"
     if cells is None:

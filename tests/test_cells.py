@@ -206,3 +206,10 @@ def test_columns_are_computed_once_for_a_row_without_gaps(spark):
     before = calls.value
     out = model.transform(df).collect()
     assert len(out) == 100 and all(r.a == r.id and r.b == (r.id or 1) for r in out) and calls.value - before <= 200 + 100, calls.value - before
+
+
+def test_many_rows_in_few_files_go_to_all_cores(spark):
+    rows = spark.range(1000).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert cells._spread(rows, cells.SPREAD_ROWS).rdd.getNumPartitions() == cores
+    assert cells._spread(rows, 1000).rdd.getNumPartitions() == 1
